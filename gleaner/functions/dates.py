@@ -59,7 +59,7 @@ def cascade_date(s: Union[str, Column], as_of) -> Column:
     trying it last is equivalent.
     """
     c = squash_ws(F.trim(_col(s)))
-    parsed = F.coalesce(*[F.try_to_date(c, F.lit(fmt)) for fmt in LISTING_DATE_FORMATS])
+    parsed = F.coalesce(*[F.try_to_date(c, fmt) for fmt in LISTING_DATE_FORMATS])
     return F.date_format(F.coalesce(parsed, _days_ago(s, as_of)), "yyyy-MM-dd")
 
 
@@ -79,7 +79,7 @@ def section_date(s: Union[str, Column]) -> Column:
     c = _col(s)
     wd = F.lower(F.regexp_extract(c, SECTION_DATE_PATTERN, 1))
     body = F.regexp_extract(c, SECTION_DATE_PATTERN, 2)
-    d = F.try_to_date(body, F.lit("d MMM yyyy"))
+    d = F.try_to_date(body, "d MMM yyyy")
     return F.when(wd.isin(WEEKDAYS), F.date_format(d, "yyyy-MM-dd"))
 
 

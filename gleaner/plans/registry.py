@@ -7,6 +7,7 @@ import importlib
 # plan module -> its oracle module
 _MODULES = [
     ("gleaner.plans.links", "gleaner.plans.oracle_links"),
+    ("gleaner.plans.scalars", "gleaner.plans.oracle_scalars"),
 ]
 
 
