@@ -8,6 +8,7 @@ import importlib
 _MODULES = [
     ("gleaner.plans.links", "gleaner.plans.oracle_links"),
     ("gleaner.plans.scalars", "gleaner.plans.oracle_scalars"),
+    ("gleaner.plans.folding", "gleaner.plans.oracle_folding"),
 ]
 
 
