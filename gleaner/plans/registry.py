@@ -9,6 +9,7 @@ _MODULES = [
     ("gleaner.plans.links", "gleaner.plans.oracle_links"),
     ("gleaner.plans.scalars", "gleaner.plans.oracle_scalars"),
     ("gleaner.plans.folding", "gleaner.plans.oracle_folding"),
+    ("gleaner.plans.retrieval", "gleaner.plans.oracle_retrieval"),
 ]
 
 
