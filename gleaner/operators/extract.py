@@ -134,7 +134,7 @@ def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFr
     return src.mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def body_text_udf(html: pd.Series, tag: pd.Series, cls: pd.Series) -> pd.Series:
     return pd.Series([X.body_text(h, t, c if isinstance(c, str) else None)
                       for h, t, c in zip(html, tag, cls)], dtype=object)
