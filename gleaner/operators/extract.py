@@ -112,7 +112,7 @@ def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFr
     carried through.  Rows: keep + (pos, href, title, date_raw, date_kind).
     """
     pf_cols = [PF + k for k, _ in X.PROFILE_COLUMNS]
-    src = df.select(*keep, "html", *pf_cols)
+    src = df.select(*keep, "html", *[c for c in pf_cols if c not in keep])
     keep_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields
                             if f.name in keep)
     schema = f"{keep_schema}, {LISTING_FIELDS}"
