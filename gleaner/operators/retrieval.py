@@ -8,6 +8,7 @@ from typing import Optional, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ HASH_DIMS = 64
 
 # -- text -> tokens -> chunks ------------------------------------------------
 def tokens(text: Column) -> Column:
-    """White-space tokens (runs of space, tab, CR, LF separate)."""
-    return F.filter(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")), " "), lambda x: x != "")
+    """White-space tokens (runs of space, tab, CR, LF separate).  Built-in
+    array functions only (no lambda), so it stays in generated code."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")), " "), "")
 
 
 def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -66,14 +68,20 @@ def hash_buckets(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_
 def hash_embed(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_DIMS,
                out: str = "embedding") -> DataFrame:
     """(key, embedding): L2-normalised bucket counts as ``array<double>``.
-    The default embedding; a model can replace it with a pandas UDF."""
-    b = hash_buckets(df, key, text, dims)
-    m = b.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                    lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("long")), F.lit(0)).cast("double"))
-    m = m.withColumn("_v", v)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    return m.select(*key, F.transform("_v", lambda x: x / norm).alias(out))
+    The default embedding; a model can replace it with a pandas UDF.
+
+    One aggregation: tokens are exploded and counted per key into ``dims``
+    pivot columns (conditional counts, partially aggregated map-side), then
+    assembled into a vector with plain column arithmetic."""
+    w = df.select(*key, F.explode(tokens(F.lower(F.col(text)))).alias("_w"))
+    w = w.select(*key, token_bucket(F.col("_w"), dims).alias("_b"))
+    counts = w.groupBy(*key).pivot("_b", list(range(dims))).count()
+    cells = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("double") for i in range(dims)]
+    sq = cells[0] * cells[0]
+    for c in cells[1:]:
+        sq = sq + c * c
+    counts = counts.select(*key, *[c.alias(f"_c{i}") for i, c in enumerate(cells)], F.sqrt(sq).alias("_norm"))
+    return counts.select(*key, F.array(*[F.col(f"_c{i}") / F.col("_norm") for i in range(dims)]).alias(out))
 
 
 def model_embed(text: Column, fn, dims: int) -> Column:
@@ -147,15 +155,17 @@ def cosine_topk(queries: DataFrame, collection: DataFrame, k: int,
     compared at ``tie_digits`` decimals (float noise is not an order); ties go
     to the lower id.
     """
-    n_q = queries.count()
-    n_c = collection.count()
-    B = max(1, math.ceil(n_q / q_block))
-    C = max(1, math.ceil(n_c / c_block))
     sc = [scope] if scope else []
+    # The inputs are read twice (sizes, then the blocks): persist the projected
+    # vectors (memory, spilling to disk) so an upstream embedding runs once.
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"),
-                       *[F.col(s) for s in sc])
+                       *[F.col(s) for s in sc]).persist(StorageLevel.MEMORY_AND_DISK)
     c = collection.select(F.col(cid).alias("cid"), F.col(cvec).alias("cvec"),
-                          *[F.col(s) for s in sc])
+                          *[F.col(s) for s in sc]).persist(StorageLevel.MEMORY_AND_DISK)
+    n_q = q.count()
+    n_c = c.count()
+    B = max(1, math.ceil(n_q / q_block))
+    C = max(1, math.ceil(n_c / c_block))
     q = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(B)).alias("_qb"),
                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(C - 1).cast("long"))).alias("_cb"))
     c = c.select("*", F.pmod(F.xxhash64("cid"), F.lit(C)).alias("_cb"),
@@ -224,6 +234,9 @@ def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[C
     """
     combine = combine if combine is not None else lead_combine()
     if n_levels is None:
+        # one scalar decides the depth; the nodes are persisted so the levels
+        # do not recompute them
+        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
         mx = nodes.agg(F.max("n")).first()[0] or 1
         n_levels = max(1, math.ceil(math.log(mx, fanout))) if mx > 1 else 1
     cur = nodes.select(doc, "pos", "text", "n", F.lit(0).alias("level"))

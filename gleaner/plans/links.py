@@ -96,7 +96,7 @@ def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def container_scope(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "html"], heavy=True)
     prof = E.Profile(source="page", base_url="", container_tag="nav", cand_tag="a",
                      wrapped=False, title_tag=None, date_tag=None, cap=None)
     c = E.extract_listing(E.with_profile(pages, prof), keep=("page_id",))
@@ -104,7 +104,7 @@ def container_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_select(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "html"], heavy=True)
     prof = E.Profile(source="page", base_url="", cand_tag="div", cand_classes=("ad",),
                      cand_mode="one", wrapped=False, title_tag=None, date_tag=None, cap=None)
     c = E.extract_listing(E.with_profile(pages, prof), keep=("page_id",))
@@ -112,19 +112,19 @@ def candidate_select(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nth_date_node(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "html"], heavy=True)
     return pages.select("page_id", E.nth_node_text(F.col("html"), "p", None, 1, "article").alias("date_text"))
 
 
 def body_text(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "html"], heavy=True)
     t = E.body_text(F.col("html"), F.lit("article"), F.lit(None).cast("string"))
     b = pages.select("page_id", t.alias("text"))
     return b.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 def header_rows(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "url", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "url", "html"], heavy=True)
     hdr = pages.select("page_id", E.header_item(F.col("html"), "article", None, "h1", None).alias("h"))
     head = hdr.where(F.col("h").isNotNull()).select(
         "page_id", F.lit(-1).alias("pos"), F.col("h.href").alias("href"), F.col("h.title").alias("title"))
@@ -147,7 +147,7 @@ def profile_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def body_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "pages", ["page_id", "url", "html"])
+    pages = load(spark, sf, "pages", ["page_id", "url", "html"], heavy=True)
     d = E.dispatch(pages, DISPATCH_PROFILES, order="body_rank")
     t = E.body_text(F.col("html"), F.col("pf_body_tag"), F.col("pf_body_class"))
     return d.select("page_id", F.col("pf_source").alias("source"), F.md5(t).alias("text_md5"))

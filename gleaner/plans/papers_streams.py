@@ -9,7 +9,7 @@ from gleaner.functions import strings as S
 from gleaner.operators import papers as P
 from gleaner.operators.extract import extract_listing, with_profile
 from gleaner.plans.common import NAV_PROFILE, host, load
-from gleaner.session import shared_path, table_path
+from gleaner.session import shared_path, spread, table_path
 from gleaner.sources.registry import RegistryStore
 from gleaner.streaming.ingest import run_stream_ingest
 from gleaner.streaming.state import read_state, start_state_stream
@@ -56,7 +56,7 @@ def paper_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nav_articles(batch: DataFrame) -> DataFrame:
-    c = extract_listing(with_profile(batch.select("page_id", "url", "html"), NAV_PROFILE),
+    c = extract_listing(with_profile(spread(batch.select("page_id", "url", "html")), NAV_PROFILE),
                         keep=("page_id", "url"))
     return (c.where(F.col("href").isNotNull())
              .select(S.absolutize(F.col("href"), S.url_origin("url")).alias("url"),

@@ -16,14 +16,14 @@ FILTER_LABELS = [1, 3, 5]
 
 
 def chunk_docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     c = R.chunk(d, "text")
     return c.select("doc_id", F.col("chunk_pos").cast("int").alias("chunk_pos"),
                     F.col("n_tokens").cast("int").alias("n_tokens"), F.md5("chunk_text").alias("chunk_md5"))
 
 
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     return R.hash_buckets(d, ["doc_id"], "text")
 
 
@@ -77,7 +77,7 @@ def catalog_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_reduce(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     c = R.chunk(d, "text").select("doc_id", F.col("chunk_pos").cast("long").alias("pos"),
                                   F.col("chunk_text").alias("text"), F.col("n_chunks").cast("long").alias("n"))
     t = R.tree_reduce(c, "doc_id", fanout=4)
@@ -86,7 +86,7 @@ def tree_reduce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_idempotent(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "text"])
+    d = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
     c = R.chunk(d, "text").select("doc_id", F.col("chunk_pos").cast("int").alias("chunk_pos"),
                                   F.md5("chunk_text").alias("chunk_hash"))
     idx = R.VectorIndex(spark, shared_path(spark, "index", unique=True))

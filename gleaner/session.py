@@ -25,6 +25,7 @@ DEFAULT_CONF = {
     # holds thousands of pages at once.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -65,5 +66,20 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return path
 
 
+def spread(df):
+    """Split an under-partitioned input before heavy per-row work.
+
+    Python stages (HTML parsing) and text explodes cost far more per byte than
+    a scan; a table stored as one row group arrives as one task.  When the
+    input has fewer partitions than the session's parallelism it is
+    round-robin repartitioned to that parallelism; otherwise (any table at
+    cluster scale) it is returned unchanged, with no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
