@@ -223,7 +223,7 @@ def lead_combine(text: str = "text", order: str = "pos", lead: int = 40) -> Colu
 
 
 def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[Column] = None,
-                n_levels: Optional[int] = None) -> DataFrame:
+                n_levels: Optional[int] = None, checkpoint_every: int = 4) -> DataFrame:
     """Combine the nodes of each document level by level until one is left.
 
     ``nodes``: (doc, pos, text, n) with ``n`` the node count of the doc.  Each
@@ -241,6 +241,9 @@ def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[C
         n_levels = max(1, math.ceil(math.log(mx, fanout))) if mx > 1 else 1
     cur = nodes.select(doc, "pos", "text", "n", F.lit(0).alias("level"))
     for lvl in range(1, n_levels + 1):
+        if lvl > 1 and (lvl - 1) % checkpoint_every == 0:
+            # deep trees: cut the lineage into the shared checkpoint folder
+            cur = cur.checkpoint(eager=True)
         todo = cur if lvl == 1 else cur.where(F.col("n") > 1)
         done = None if lvl == 1 else cur.where(F.col("n") <= 1)
         red = (todo.groupBy(doc, F.floor(F.col("pos") / fanout).alias("_g"))
