@@ -282,3 +282,13 @@ class VectorIndex:
             have = self.read().select(F.struct(self.doc, "chunk_hash").alias("_key"))
             new = new.join(have, "_key", "left_anti")
         new.drop("_key").write.mode("append").parquet(self.path)
+
+
+# -- named, described tools ---------------------------------------------------------
+def register_tool(spark: SparkSession, name: str, description: str, fn,
+                  return_type: str = "string") -> DataFrame:
+    """Register a vectorised Python function under ``name`` (callable from SQL
+    and ``F.expr``) and return its catalog row (tool_name, description)."""
+    udf = F.pandas_udf(fn, return_type)
+    spark.udf.register(name, udf)
+    return spark.createDataFrame([(name, description)], "tool_name string, description string")
