@@ -29,17 +29,23 @@ EXIT_COMMAND = "/bye"
 
 
 def article_listing(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                    title: str = "title", source: str = "source", date: str = "publish_date") -> DataFrame:
+                    title: str = "title", source: str = "source", date: str = "publish_date",
+                    bucket: Column = None) -> DataFrame:
     """Numbered list text per group: ``\\t{i}) {title} - {source}, {date}\\n`` lines
-    with zero-based ``i`` in ``order``, concatenated in order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    lines = df.select(*group, *order,
-                      S.listing_line(F.row_number().over(w) - 1, F.col(title), F.col(source),
-                                     F.col(date)).alias("_line"))
-    order_sql = ", ".join(f"`{c}`" for c in order)
-    return lines.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.expr(f"listagg(_line, '') within group (order by {order_sql})").alias("listing"))
+    with zero-based ``i`` in ``order``, concatenated in order.
+
+    Numbering and concatenation are two-level (see ``gleaner.operators.scan``)
+    over ``bucket`` (a coarse monotone function of the order; default: the
+    first order column divided by 1024)."""
+    from gleaner.operators.scan import count_before, ordered_concat
+
+    if bucket is None:
+        bucket = F.floor(F.col(order[0]) / 1024)
+    numbered = count_before(df, group, order, F.lit(True), bucket, out="_i")
+    lines = numbered.select(*group, *order, S.listing_line(F.col("_i").cast("int"), F.col(title),
+                                                           F.col(source), F.col(date)).alias("_line"))
+    out = ordered_concat(lines, group, order, "_line", bucket, out="listing")
+    return out.select(*group, F.col("n").alias("n_lines"), "listing")
 
 
 def route(has_text: Column) -> Column:

@@ -105,7 +105,7 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
     arts = arts.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     arts = I.dedup_first(arts, ORDER)
     if registry_urls is not None:
-        arts = I.anti_known(arts, registry_urls)
+        arts = I.anti_known(arts, registry_urls, broadcast_limit=I.BROADCAST_KEYS_LIMIT)
     if article_pages is not None:
         # body text only for the URLs that survived: the Python stage sees new articles only
         body = E.dispatch(article_pages.select("url", "html").join(arts.select("url"), "url", "left_semi"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +65,34 @@ def dedup_first(df: DataFrame, order: Sequence[str], key: str = "url") -> DataFr
     return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def anti_known(df: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
+# Largest number of distinct batch keys that is broadcast to filter a large
+# known table map-side (about 100 bytes per URL -> ~25 MB).
+BROADCAST_KEYS_LIMIT = 250_000
+
+
+def anti_known(df: DataFrame, known: DataFrame, key: str = "url",
+               broadcast_limit: Optional[int] = None) -> DataFrame:
     """Rows whose key is not in ``known`` (exact, case-sensitive; null keys stay).
 
-    A plain shuffled anti-join: both sides hash-partition on the key, and AQE
-    turns it into a broadcast at run time when the known side is small.
+    Default: a shuffled anti-join (both sides hash-partition on the key; AQE
+    broadcasts the known side at run time when it turns out small).
+
+    With ``broadcast_limit`` (a small batch against a huge registry): the
+    distinct batch keys are counted (``df`` is persisted for that); when there
+    are at most ``broadcast_limit`` of them they are broadcast and the known
+    table is semi-joined against them map-side, so the registry is scanned
+    and filtered without being shuffled; the batch is then anti-joined with
+    the few hits.  Above the limit the plain shuffled anti-join is used.
     """
-    return df.join(known.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    k = known.select(key).where(F.col(key).isNotNull())
+    if broadcast_limit is None:
+        return df.join(k, key, "left_anti")
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    if keys.count() > broadcast_limit:
+        return df.join(k, key, "left_anti")
+    hits = k.join(F.broadcast(keys), key, "left_semi").distinct()
+    return df.join(hits, key, "left_anti")
 
 
 def semi_known(df: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
@@ -86,7 +108,8 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 
 def new_registry_rows(batch: DataFrame, known_urls: Optional[DataFrame], order: Sequence[str],
-                      docs_dir: str = "docs") -> DataFrame:
+                      docs_dir: str = "docs",
+                      broadcast_limit: Optional[int] = BROADCAST_KEYS_LIMIT) -> DataFrame:
     """Batch of articles -> registry rows to insert (insert-only upsert).
 
     Rows with a null/empty URL are rejected, the first article per URL wins,
@@ -97,7 +120,7 @@ def new_registry_rows(batch: DataFrame, known_urls: Optional[DataFrame], order:
     b = batch.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     b = dedup_first(b, order)
     if known_urls is not None:
-        b = anti_known(b, known_urls)
+        b = anti_known(b, known_urls, broadcast_limit=broadcast_limit)
     pdf = F.nullif(F.col("pdf_url"), F.lit("")).isNotNull() if "pdf_url" in cols else F.lit(False)
     text = F.col("text") if "text" in cols else F.lit(None).cast("string")
     return b.select(
@@ -117,7 +140,7 @@ def upsert(registry: DataFrame, batch: DataFrame, order: Sequence[str],
            docs_dir: str = "docs") -> DataFrame:
     """Whole-table view of the insert-only upsert: every old row loses ``is_new``,
     unseen URLs are appended with ``is_new = true``; old rows never change."""
-    new = new_registry_rows(batch, registry, order, docs_dir).withColumn("is_new", F.lit(True))
+    new = new_registry_rows(batch, registry, order, docs_dir, broadcast_limit=None).withColumn("is_new", F.lit(True))
     old = registry.withColumn("is_new", F.lit(False))
     return old.unionByName(new, allowMissingColumns=True)
 

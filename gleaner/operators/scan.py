@@ -75,3 +75,19 @@ def next_matching(df: DataFrame, key: Sequence[str], order: Sequence[str], cond:
     per = per.select(*key, "_b", F.min("_first").over(wb).alias("_later"))
     d = d.join(per, [*key, "_b"], "left")
     return d.withColumn(out, F.coalesce("_local", "_later")).drop("_b", "_m", "_local", "_later")
+
+
+def ordered_concat(df: DataFrame, key: Sequence[str], order: Sequence[str], text: str,
+                   bucket: Column, sep: str = "", out: str = "body") -> DataFrame:
+    """Concatenate ``text`` per key in ``order`` (``sep`` between values), in
+    two levels: pieces per (key, bucket) are built in parallel, then the
+    pieces of a key are joined in bucket order.  Also returns ``n`` (rows)."""
+    key = list(key)
+    order_sql = ", ".join(f"`{c}`" for c in order)
+    sep_sql = sep.replace("'", "''")
+    pieces = (df.withColumn("_b", bucket).groupBy(*key, "_b")
+                .agg(F.count(F.lit(1)).alias("_n"),
+                     F.expr(f"listagg(`{text}`, '{sep_sql}') within group (order by {order_sql})").alias("_p")))
+    return pieces.groupBy(*key).agg(
+        F.sum("_n").alias("n"),
+        F.expr(f"listagg(_p, '{sep_sql}') within group (order by _b)").alias(out))

@@ -21,11 +21,17 @@ def article_documents(articles: DataFrame, fields: Sequence[str] = ARTICLE_FIELD
     return articles.select("url", S.json_document(fields).alias("body"))
 
 
-def paged_concat(pages: DataFrame, doc: Sequence[str], page_no: str, text: str = "text") -> DataFrame:
-    """Pages of a document -> one text in page order, no separator."""
-    return pages.groupBy(*doc).agg(
-        F.count(F.lit(1)).alias("n_pages"),
-        F.expr(f"listagg(`{text}`, '') within group (order by `{page_no}`)").alias("body"))
+def paged_concat(pages: DataFrame, doc: Sequence[str], page_no: str, text: str = "text",
+                 bucket_pages: int = 1024) -> DataFrame:
+    """Pages of a document -> one text in page order, no separator.
+
+    Two-level: runs of ``bucket_pages`` pages are concatenated in parallel,
+    then joined per document, so a document with a huge page count is not
+    sorted by one task."""
+    from gleaner.operators.scan import ordered_concat
+
+    out = ordered_concat(pages, doc, [page_no], text, F.floor(F.col(page_no) / bucket_pages))
+    return out.select(*doc, F.col("n").alias("n_pages"), "body")
 
 
 def doc_kind(pdf_url: Column) -> Column:
