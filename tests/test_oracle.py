@@ -53,6 +53,7 @@ def test_plan_scan_pruning_and_pushdown(spark):
     from pyspark.sql import functions as F
 
     from gleaner.plans.common import load
+    spark.catalog.clearCache()            # cached inputs of earlier queries would replace the scan
     df = load(spark, SF_SMALL, "embeddings", ["vec_id", "label"]).where(F.col("label").isin(1, 3))
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(label" in p or "PushedFilters: [IsNotNull(label), In(label" in p
