@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
 from gleaner.functions import strings as S
+from gleaner.session import materialize_if_costly
 
 ARTICLE_COLUMNS = ["title", "publish_date", "url", "source_url", "source"]
 
@@ -68,6 +68,14 @@ def dedup_first(df: DataFrame, order: Sequence[str], key: str = "url") -> DataFr
 # Largest number of distinct batch keys that is broadcast to filter a large
 # known table map-side (about 100 bytes per URL -> ~25 MB).
 BROADCAST_KEYS_LIMIT = 250_000
+# Known tables estimated below this size are anti-joined directly (AQE
+# broadcasts them when small); the reduction pays off only for large ones.
+LARGE_KNOWN_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate (file sizes for scans; no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def anti_known(df: DataFrame, known: DataFrame, key: str = "url",
@@ -77,17 +85,18 @@ def anti_known(df: DataFrame, known: DataFrame, key: str = "url",
     Default: a shuffled anti-join (both sides hash-partition on the key; AQE
     broadcasts the known side at run time when it turns out small).
 
-    With ``broadcast_limit`` (a small batch against a huge registry): the
-    distinct batch keys are counted (``df`` is persisted for that); when there
+    With ``broadcast_limit`` and a known table estimated above
+    ``LARGE_KNOWN_BYTES`` (a small batch against a huge registry): the
+    distinct batch keys are counted (``df`` is materialized for that); when there
     are at most ``broadcast_limit`` of them they are broadcast and the known
     table is semi-joined against them map-side, so the registry is scanned
     and filtered without being shuffled; the batch is then anti-joined with
     the few hits.  Above the limit the plain shuffled anti-join is used.
     """
     k = known.select(key).where(F.col(key).isNotNull())
-    if broadcast_limit is None:
+    if broadcast_limit is None or estimated_bytes(k) < LARGE_KNOWN_BYTES:
         return df.join(k, key, "left_anti")
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize_if_costly(df)
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     if keys.count() > broadcast_limit:
         return df.join(k, key, "left_anti")

@@ -8,10 +8,11 @@ from typing import Optional, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import materialize_if_costly
+
 # Chunk size and overlap in tokens, passages per vector query,
 # tools per question.
 CHUNK_SIZE = 1024
@@ -156,12 +157,13 @@ def cosine_topk(queries: DataFrame, collection: DataFrame, k: int,
     to the lower id.
     """
     sc = [scope] if scope else []
-    # The inputs are read twice (sizes, then the blocks): persist the projected
-    # vectors (memory, spilling to disk) so an upstream embedding runs once.
-    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"),
-                       *[F.col(s) for s in sc]).persist(StorageLevel.MEMORY_AND_DISK)
-    c = collection.select(F.col(cid).alias("cid"), F.col(cvec).alias("cvec"),
-                          *[F.col(s) for s in sc]).persist(StorageLevel.MEMORY_AND_DISK)
+    # The inputs are read twice (sizes, then the blocks): materialize the
+    # projected vectors once in the shared checkpoint folder so an upstream
+    # embedding runs once.
+    q = materialize_if_costly(queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"),
+                                   *[F.col(s) for s in sc]))
+    c = materialize_if_costly(collection.select(F.col(cid).alias("cid"), F.col(cvec).alias("cvec"),
+                                      *[F.col(s) for s in sc]))
     n_q = q.count()
     n_c = c.count()
     B = max(1, math.ceil(n_q / q_block))
@@ -234,9 +236,9 @@ def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[C
     """
     combine = combine if combine is not None else lead_combine()
     if n_levels is None:
-        # one scalar decides the depth; the nodes are persisted so the levels
-        # do not recompute them
-        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+        # one scalar decides the depth; the nodes are materialized so the
+        # levels do not recompute them
+        nodes = materialize_if_costly(nodes)
         mx = nodes.agg(F.max("n")).first()[0] or 1
         n_levels = max(1, math.ceil(math.log(mx, fanout))) if mx > 1 else 1
     cur = nodes.select(doc, "pos", "text", "n", F.lit(0).alias("level"))

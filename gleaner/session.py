@@ -26,6 +26,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -81,5 +82,30 @@ def spread(df):
     return df.repartition(target)
 
 
+def materialize(df, name: str = "materialized"):
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and read it back: for inputs read twice (a size count, then the work).
+    Upstream work runs once, lineage is cut, a lost executor does not force a
+    recomputation, and nothing stays pinned in executor memory."""
+    path = shared_path(df.sparkSession, name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Logical operators that make reading a DataFrame twice cost real work.
+_COSTLY_NODES = ("Aggregate", "Join", "Window", "Generate", "MapInPandas", "MapInArrow",
+                 "EvalPython", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "Repartition",
+                 "Sort", "Expand")
+
+
+def materialize_if_costly(df, name: str = "materialized"):
+    """``materialize`` unless ``df`` is a plain scan / filter / projection
+    (then reading it twice is just two scans, and a count reads metadata)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(n in plan for n in _COSTLY_NODES):
+        return materialize(df, name)
+    return df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

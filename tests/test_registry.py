@@ -106,3 +106,14 @@ def test_plan_body_stage_after_anti_join(spark):
     # the body stage (ArrowEvalPython over the article pages) reads only URLs that
     # survived keep-first and the registry anti-join
     assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_anti_join_reduction_path_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(I, "LARGE_KNOWN_BYTES", 0)          # treat the known side as huge
+    df = spark.range(1000).select((F.col("id") % 300).cast("string").alias("url"), "id")
+    known = spark.range(0, 300, 7).select(F.col("id").cast("string").alias("url"))
+    plain = sorted(I.anti_known(df, known).collect())
+    reduced = I.anti_known(df, known, broadcast_limit=10_000)
+    assert "BroadcastExchange" in reduced._jdf.queryExecution().executedPlan().toString()
+    assert sorted(reduced.collect()) == plain
+    assert sorted(I.anti_known(df, known, broadcast_limit=10).collect()) == plain   # over the bound
