@@ -276,13 +276,14 @@ class VectorIndex:
         return self.spark.read.parquet(self.path)
 
     def insert(self, chunks: DataFrame) -> None:
-        from gleaner.operators.ingest import dedup_first
+        from gleaner.operators.ingest import BROADCAST_KEYS_LIMIT, anti_known, dedup_first
 
         keyed = chunks.withColumn("_key", F.struct(self.doc, "chunk_hash"))
         new = dedup_first(keyed, ["chunk_pos"], key="_key")
         if self._exists():
             have = self.read().select(F.struct(self.doc, "chunk_hash").alias("_key"))
-            new = new.join(have, "_key", "left_anti")
+            # a large index is filtered map-side against the new keys when they are few
+            new = anti_known(new, have, key="_key", broadcast_limit=BROADCAST_KEYS_LIMIT)
         new.drop("_key").write.mode("append").parquet(self.path)
 
 
