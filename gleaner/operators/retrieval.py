@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.session import materialize_if_costly
 
@@ -66,23 +67,41 @@ def hash_buckets(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_
     return w.groupBy(*key, token_bucket(F.col("_w"), dims).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _hash_vectors(texts, dims: int) -> list:
+    """Per text: L2-normalised counts of lower-cased white-space tokens per
+    md5 bucket (the same tokens and buckets as ``tokens`` / ``token_bucket``)."""
+    import hashlib
+    import re
+
+    ws = re.compile(r"[ \t\n\r]+")
+    out = []
+    for t in texts:
+        v = np.zeros(dims, dtype="float64")
+        if isinstance(t, str):
+            for w in ws.split(t.lower()):
+                if w:
+                    v[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dims] += 1.0
+        n = np.linalg.norm(v)
+        out.append(v / n if n > 0 else v)
+    return out
+
+
+def hash_vector(text: Column, dims: int = HASH_DIMS) -> Column:
+    """The default embedding of a text column as ``array<double>``: hashed
+    term frequencies, L2-normalised.  Map-only (an Arrow-batched pandas UDF
+    per row): no shuffle, so a huge document costs only its own task."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _vec(s: pd.Series) -> pd.Series:
+        return pd.Series(_hash_vectors(s, dims))
+
+    return _vec(text)
+
+
 def hash_embed(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_DIMS,
                out: str = "embedding") -> DataFrame:
-    """(key, embedding): L2-normalised bucket counts as ``array<double>``.
-    The default embedding; a model can replace it with a pandas UDF.
-
-    One aggregation: tokens are exploded and counted per key into ``dims``
-    pivot columns (conditional counts, partially aggregated map-side), then
-    assembled into a vector with plain column arithmetic."""
-    w = df.select(*key, F.explode(tokens(F.lower(F.col(text)))).alias("_w"))
-    w = w.select(*key, token_bucket(F.col("_w"), dims).alias("_b"))
-    counts = w.groupBy(*key).pivot("_b", list(range(dims))).count()
-    cells = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("double") for i in range(dims)]
-    sq = cells[0] * cells[0]
-    for c in cells[1:]:
-        sq = sq + c * c
-    counts = counts.select(*key, *[c.alias(f"_c{i}") for i, c in enumerate(cells)], F.sqrt(sq).alias("_norm"))
-    return counts.select(*key, F.array(*[F.col(f"_c{i}") / F.col("_norm") for i in range(dims)]).alias(out))
+    """(key, embedding) with ``hash_vector`` (one row per input row)."""
+    return df.select(*key, hash_vector(F.col(text), dims).alias(out))
 
 
 def model_embed(text: Column, fn, dims: int) -> Column:
