@@ -74,8 +74,12 @@ LARGE_KNOWN_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate (file sizes for scans; no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Optimizer size estimate (file sizes for scans; no job runs).  Unknown
+    when the plan cannot be inspected: then treated as large."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
 
 
 def anti_known(df: DataFrame, known: DataFrame, key: str = "url",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import materialize_if_costly
+from gleaner.session import materialize_if_costly, path_exists
 
 # Chunk size and overlap in tokens, passages per vector query,
 # tools per question.
@@ -286,10 +286,7 @@ class VectorIndex:
         self.spark, self.path, self.doc = spark, path.rstrip("/"), doc
 
     def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(conf).exists(p)
+        return path_exists(self.spark, self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

@@ -44,10 +44,16 @@ def local_session(cores: int = 8, app: str = "gleaner") -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
-    cur = spark.sparkContext.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the conf is all there is
+        if conf:
+            return conf
+        raise RuntimeError("spark.checkpoint.dir is not set")
+    cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
@@ -76,8 +82,12 @@ def spread(df):
     round-robin repartitioned to that parallelism; otherwise (any table at
     cluster scale) it is returned unchanged, with no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    if parts >= target:
         return df
     return df.repartition(target)
 
@@ -103,11 +113,30 @@ _COSTLY_NODES = ("Aggregate", "Join", "Window", "MapInPandas", "MapInArrow",
 def materialize_if_costly(df, name: str = "materialized"):
     """``materialize`` unless ``df`` is a plain scan / filter / projection
     (then reading it twice is just two scans, and a count reads metadata)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - plan not inspectable: materialize to be safe
+        return materialize(df, name)
     if any(n in plan for n in _COSTLY_NODES):
         return materialize(df, name)
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the (shared) file system of the session."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).exists(p))
+    except Exception:  # noqa: BLE001 - no JVM handle: probe by reading
+        from pyspark.errors import AnalysisException
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except AnalysisException:
+            return False
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import path_exists
+
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("article_file_path", T.StringType()),
@@ -44,10 +46,7 @@ class RegistryStore:
 
     # -- reading ----------------------------------------------------------
     def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
+        return path_exists(self.spark, path)
 
     def current_batch(self) -> Optional[int]:
         """Last committed run id (one scalar to the driver), None when empty."""
@@ -76,12 +75,13 @@ class RegistryStore:
     # -- writing ----------------------------------------------------------
     def commit(self, new_rows: DataFrame, batch_id: int) -> None:
         """Write the new rows of run ``batch_id`` and mark the run committed."""
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         out = new_rows.drop("is_new").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        out.write.mode("overwrite").partitionBy("batch_id").parquet(self.data_path)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id").parquet(self.data_path))
         marker = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
                                             F.current_timestamp().alias("committed_at"))
-        marker.write.mode("overwrite").partitionBy("batch_id").parquet(self.commits_path)
+        (marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+               .partitionBy("batch_id").parquet(self.commits_path))
 
     def next_batch_id(self) -> int:
         cur = self.current_batch()

@@ -22,10 +22,9 @@ def start_state_stream(events: DataFrame, key: Sequence[str], value: str, order:
                                    F.max(ordc).alias("last_order"))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").partitionBy("batch_id").parquet(log_path))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("batch_id").parquet(log_path))
 
     w = (agg.writeStream.outputMode("update").foreachBatch(each_batch)
             .option("checkpointLocation", checkpoint))
