@@ -112,9 +112,10 @@ def test_site_list(spark, tmp_path):
 
 
 def test_classify_commands(spark):
-    cmds = ["0", "2", "3", "-1", " 1 ", "/bye", "text", ""]
+    cmds = ["0", "2", "3", "-1", " 1 ", "/bye", "text", "", "1_0"]
     got = _one_col(spark, cmds, lambda c: B.classify_command(c, 3))
-    assert got == ["option", "option", "invalid", "invalid", "option", "exit", "query", "query"]
+    # "1_0": an integer to Python, text to Spark (documented divergence)
+    assert got == ["option", "option", "invalid", "invalid", "option", "exit", "query", "query", "query"]
 
 
 def test_listing_line(spark):

@@ -117,3 +117,21 @@ def test_anti_join_reduction_path_equals_plain(spark, monkeypatch):
     assert "BroadcastExchange" in reduced._jdf.queryExecution().executedPlan().toString()
     assert sorted(reduced.collect()) == plain
     assert sorted(I.anti_known(df, known, broadcast_limit=10).collect()) == plain   # over the bound
+
+
+def test_cap_then_link_filter_then_known(spark):
+    """25 candidates: the first 10 have no link, cap 20 keeps 10 linked ones,
+    5 of which are known -> 5 new rows."""
+    from gleaner.operators import extract as E
+
+    items = "".join("<li><span>none</span></li>" for _ in range(10))
+    items += "".join(f'<li><a href="/a{i}">a{i}</a></li>' for i in range(15))
+    pages = spark.createDataFrame([(0, "https://s.example/list", f"<ul>{items}</ul>")],
+                                  "page_id long, url string, html string")
+    prof = E.Profile(source="s", base_url="https://s.example", cand_tag="li", wrapped=True,
+                     link_tag="a", title_tag="a", date_tag=None, cap=20)
+    cands = E.extract_listing(E.with_profile(pages, prof), keep=("page_id", "pf_base_url", "pf_source"))
+    arts = I.listing_articles(cands, "2025-01-31")
+    known = spark.createDataFrame([(f"https://s.example/a{i}",) for i in range(5)], "url string")
+    new = I.anti_known(I.dedup_first(arts.select("url", "pos"), ["pos"]), known)
+    assert sorted(r.url for r in new.collect()) == [f"https://s.example/a{i}" for i in range(5, 10)]
