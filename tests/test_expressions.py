@@ -54,30 +54,23 @@ def test_absolutize(spark):
     assert strict == ["https://a/x", "http://a/x"]
 
 
-def _py_safe(name):
-    """Reference rule, restated for the test."""
-    import os
-    import string
-    for ch in '<>:"/\\|?*':
-        name = name.replace(ch, "")
-    name = "".join(c for c in name if c in string.printable)
-    name = name.replace(" ", "_").replace("-", "_")
-    reserved = ["CON", "PRN", "AUX", "NUL"] + [f"COM{i}" for i in range(1, 10)] + [f"LPT{i}" for i in range(1, 10)]
-    if os.path.splitext(name)[0].upper() in reserved:
-        if "." in name:
-            n, e = os.path.splitext(name)
-            name = n + "_" + e
-        else:
-            name = name + "_"
-    name = name.strip(" .")
-    return name or "unnamed_file"
-
-
 def test_safe_filename(spark):
-    vals = ['a<b>c:d"e/f\\g|h?i*j', "Crème brûlée", "tab\there", "CON", "con.txt", "...", " . x . ",
-            "a-b c", "COM1.tar.gz", "LPT9.", "x..y", ".hidden"]
-    got = _one_col(spark, vals, S.safe_filename)
-    assert got == [_py_safe(v) for v in vals]
+    cases = {
+        'a<b>c:d"e/f\\g|h?i*j': "abcdefghij",     # reserved characters removed
+        "Crème brûlée": "Crme_brle",               # non-ASCII dropped, space -> _
+        "tab\there": "tab\there",                 # tab is printable, kept
+        "CON": "CON_",                             # reserved name without extension
+        "con.txt": "con_.txt",                     # reserved stem: _ before the extension
+        "...": "unnamed_file",                     # only dots: nothing left
+        " . x . ": "_._x_._",                      # spaces became _ before the strip
+        "a-b c": "a_b_c",
+        "COM1.tar.gz": "COM1.tar.gz",              # stem is COM1.tar, not reserved
+        "LPT9.": "LPT9_",                          # _ before the empty extension, then "." stripped
+        "x..y": "x..y",
+        ".hidden": "hidden",                       # leading dot stripped at the end
+    }
+    got = dict(zip(cases, _one_col(spark, list(cases), S.safe_filename)))
+    assert got == cases
 
 
 def test_file_name_null_title(spark):
