@@ -35,13 +35,55 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")), " "), "")
 
 
-def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def sentence_chunks(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list:
+    """Sentence-aware packing: whole sentences (ending in . ! or ?) are packed
+    into chunks of at most ``size`` white-space tokens; the next chunk starts
+    with the trailing sentences of the previous one that fit in ``overlap``
+    tokens.  A sentence longer than ``size`` is cut into ``size``-token pieces."""
+    import re
+
+    if not isinstance(text, str) or not text.strip():
+        return [""]
+    units = []
+    for sent in re.split(r"(?<=[.!?])\s+", text.strip()):
+        toks = sent.split()
+        units.extend(toks[i:i + size] for i in range(0, len(toks), size))
+    chunks, cur, n_cur = [], [], 0
+    for u in units:
+        if cur and n_cur + len(u) > size:
+            chunks.append(cur)
+            keep, n_keep = [], 0
+            for v in reversed(cur):
+                if n_keep + len(v) > overlap:
+                    break
+                keep.insert(0, v)
+                n_keep += len(v)
+            cur, n_cur = (keep, n_keep) if n_keep + len(u) <= size else ([], 0)
+        cur.append(u)
+        n_cur += len(u)
+    chunks.append(cur)
+    return [" ".join(w for u in c for w in u) for c in chunks]
+
+
+def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+          mode: str = "tokens") -> DataFrame:
     """One row per chunk: windows of ``size`` tokens advancing by
     ``size - overlap``; a short (or empty) text is one chunk.
 
     Adds ``chunk_pos``, ``n_chunks``, ``n_tokens``, ``chunk_text``; other
     columns are carried.  Pure column work + ``posexplode``: no shuffle.
+    ``mode="sentence"`` packs whole sentences instead (``sentence_chunks``,
+    a row-local pandas function; still no shuffle).
     """
+    if mode == "sentence":
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def _sent(s: pd.Series) -> pd.Series:
+            return pd.Series([sentence_chunks(t, size, overlap) for t in s])
+
+        d = df.withColumn("_c", _sent(F.col(text))).withColumn("n_chunks", F.size("_c"))
+        d = d.select(*[c for c in df.columns if c != text], "n_chunks",
+                     F.posexplode("_c").alias("chunk_pos", "chunk_text"))
+        return d.withColumn("n_tokens", F.size(tokens(F.col("chunk_text"))))
     step = size - overlap
     t = tokens(F.col(text))
     n_chunks = F.greatest(F.lit(1), F.ceil((F.size("_t") - overlap) / F.lit(float(step))).cast("int"))

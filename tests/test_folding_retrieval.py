@@ -128,3 +128,30 @@ def test_index_insert_is_idempotent(spark):
     idx.insert(c)
     idx.insert(c)
     assert sorted((r.chunk_hash, r.chunk_pos) for r in idx.read().collect()) == [("h1", 0), ("h2", 2)]
+
+
+def test_sentence_chunks(spark):
+    sents = [" ".join(f"s{j}w{i}" for i in range(5 + j % 7)) + "." for j in range(60)]
+    text = " ".join(sents)
+    chunks = R.sentence_chunks(text, size=40, overlap=12)
+    toks = [c.split() for c in chunks]
+    assert all(len(t) <= 40 for t in toks)
+    # every chunk is made of whole sentences, and all sentences appear in order
+    seen = []
+    for c in chunks:
+        for sent in [x + "." for x in c.split(". ") if x]:
+            s = sent if sent.endswith("..") is False else sent[:-1]
+            assert s.rstrip(".") + "." in sents
+            if not seen or sents.index(s.rstrip(".") + ".") > sents.index(seen[-1]):
+                seen.append(s.rstrip(".") + ".")
+    assert seen == sents
+    # consecutive chunks overlap by trailing sentences of at most 12 tokens
+    for a, b in zip(toks, toks[1:]):
+        k = next(i for i in range(len(a) + 1) if b[:len(a) - i] == a[i:]) if a else len(a)
+        assert len(a) - k <= 12
+    assert R.sentence_chunks("", 40, 12) == [""]
+    long = " ".join(f"w{i}" for i in range(100)) + "."
+    assert [len(c.split()) for c in R.sentence_chunks(long, 40, 12)] == [40, 40, 20]
+    df = spark.createDataFrame([(1, text)], "doc long, text string")
+    rows = R.chunk(df, "text", 40, 12, mode="sentence").orderBy("chunk_pos").collect()
+    assert [r.chunk_text for r in rows] == chunks and rows[0].n_chunks == len(chunks)
