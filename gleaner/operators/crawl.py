@@ -40,6 +40,31 @@ def listing_rows(pages: DataFrame, profiles: Sequence[E.Profile], as_of) -> Data
     return arts.select("site_pos", F.lit(0).alias("section_pos"), "pos", *I.ARTICLE_COLUMNS)
 
 
+def listing_warnings(pages: DataFrame, profiles: Sequence[E.Profile] = SOURCE_PROFILES) -> DataFrame:
+    """Per listing page: matched source, candidate count and a status --
+    ``ok``, ``no_candidates``, ``no_container`` (the reference would crash) or
+    ``no_profile`` (no listing rule matches the URL)."""
+    d = E.dispatch(pages.select("site_pos", "url", "html"), [p for p in profiles if p.parser == "listing"])
+    matched = d.where(F.col("pf_source").isNotNull())
+    c = E.extract_listing(matched, keep=("site_pos", "url", "pf_source"), diagnostics=True)
+    per = c.groupBy("site_pos", "url", "pf_source").agg(
+        F.count_if(F.col("pos") >= 0).alias("n_candidates"),
+        F.max(F.col("date_kind") == "no_container").alias("_missing"))
+    per = per.select("site_pos", "url", F.col("pf_source").alias("source"), "n_candidates",
+                     F.when(F.col("_missing"), F.lit("no_container"))
+                      .when(F.col("n_candidates") == 0, F.lit("no_candidates"))
+                      .otherwise(F.lit("ok")).alias("status"))
+    unmatched = d.where(F.col("pf_source").isNull()).select(
+        "site_pos", "url", F.lit(None).cast("string").alias("source"),
+        F.lit(0).cast("long").alias("n_candidates"), F.lit("no_profile").alias("status"))
+    # pages with a profile but no rows at all (no candidates, container present)
+    empty = matched.select("site_pos", "url", F.col("pf_source").alias("source")).join(
+        per.select("site_pos"), "site_pos", "left_anti").select(
+        "site_pos", "url", "source", F.lit(0).cast("long").alias("n_candidates"),
+        F.lit("no_candidates").alias("status"))
+    return per.unionByName(unmatched).unionByName(empty)
+
+
 def header_rows(pages: DataFrame, rules: Iterable[HeaderRule] = HEADER_RULES) -> DataFrame:
     """The header article of pages that have one, with ``pos = -1`` (it comes
     before the list and is outside the cap)."""

@@ -7,7 +7,7 @@ not reach through a Python stage.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from typing import Iterable, Optional, Sequence
 
 import pandas as pd
@@ -105,11 +105,15 @@ def with_profile(df: DataFrame, p: Profile) -> DataFrame:
 LISTING_FIELDS = "pos int, href string, title string, date_raw string, date_kind string"
 
 
-def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",),
+                    diagnostics: bool = False) -> DataFrame:
     """Candidates of each listing page -> one row per candidate.
 
     ``df`` holds ``html`` and the ``pf_*`` profile columns; ``keep`` columns are
     carried through.  Rows: keep + (pos, href, title, date_raw, date_kind).
+    With ``diagnostics`` a page whose container is missing yields one row with
+    ``pos = -1``, null link and ``date_kind = 'no_container'`` (the same parse
+    pass; it never becomes an article because it has no link).
     """
     pf_cols = [PF + k for k, _ in X.PROFILE_COLUMNS]
     src = df.select(*keep, "html", *[c for c in pf_cols if c not in keep])
@@ -127,7 +131,10 @@ def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFr
                 if rec[PF + "source"] is None:
                     continue
                 base = [rec[k] for k in keep]
-                for cand in X.listing_candidates(rec["html"], prof):
+                cands = X.listing_candidates(rec["html"], prof)
+                if not cands and diagnostics and X.scoped_root(X.parse(rec["html"]), prof) is None:
+                    out.append(base + [-1, None, None, None, "no_container"])
+                for cand in cands:
                     out.append(base + list(cand))
             yield pd.DataFrame(out, columns=keep + ["pos", "href", "title", "date_raw", "date_kind"])
 

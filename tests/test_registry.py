@@ -135,3 +135,14 @@ def test_cap_then_link_filter_then_known(spark):
     known = spark.createDataFrame([(f"https://s.example/a{i}",) for i in range(5)], "url string")
     new = I.anti_known(I.dedup_first(arts.select("url", "pos"), ["pos"]), known)
     assert sorted(r.url for r in new.collect()) == [f"https://s.example/a{i}" for i in range(5, 10)]
+
+
+def test_listing_warnings(spark):
+    pages = spark.createDataFrame([
+        (0, "https://ai.meta.com/blog/", LISTING),
+        (1, "https://mistral.ai/news", "<div>no news section here</div>"),
+        (2, "https://unknown.example/", "<a href='/x'>x</a>"),
+        (3, "https://techcrunch.com/ai/", "<div>no cards</div>")], "site_pos int, url string, html string")
+    got = sorted((r.site_pos, r.source, r.n_candidates, r.status) for r in crawl.listing_warnings(pages).collect())
+    assert got == [(0, "meta_ai", 3, "ok"), (1, "mistral", 0, "no_container"),
+                   (2, None, 0, "no_profile"), (3, "techcrunch", 0, "no_candidates")]
