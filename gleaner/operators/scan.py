@@ -13,7 +13,10 @@ order column, e.g. the hour of the timestamp) and work in two levels:
    partitioned that way after step 1, so only the summary moves.
 
 The bucket must be monotone in the order: every row of bucket b orders before
-every row of bucket b + 1.
+every row of bucket b + 1.  A coarse bucket (the hour of a timestamp) costs
+nothing; when a single bucket of a key may itself be huge, ``with_range_bucket``
+derives buckets from a range partitioning on (key, order) whose sampled bounds
+cap every (key, bucket) at about rows / partitions.
 """
 
 from __future__ import annotations
@@ -30,6 +33,17 @@ def _ord(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def with_range_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str],
+                      n: int = None, out: str = "_rb") -> DataFrame:
+    """Add ``out``: the partition id after ``repartitionByRange(n, key, order)``.
+
+    Range bounds come from a sample, so each partition holds a contiguous,
+    bounded slice of the (key, order) sequence, also inside one hot key; the id
+    is monotone in the order within a key, as the scans require."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *key, *order).withColumn(out, F.spark_partition_id())
+
+
 def previous_value(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
                    bucket: Column, out: str = "prev") -> DataFrame:
     """Add ``out`` = ``value`` of the immediately preceding row of the same key

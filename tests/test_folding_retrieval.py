@@ -155,3 +155,15 @@ def test_sentence_chunks(spark):
     df = spark.createDataFrame([(1, text)], "doc long, text string")
     rows = R.chunk(df, "text", 40, 12, mode="sentence").orderBy("chunk_pos").collect()
     assert [r.chunk_text for r in rows] == chunks and rows[0].n_chunks == len(chunks)
+
+
+def test_range_buckets_split_a_hot_key(spark):
+    rnd = random.Random(11)
+    rows = [(1, i, rnd.choice("xy")) for i in range(4000)] + [(2, i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, pos int, v string")
+    b = scan.with_range_bucket(df, ["k"], ["pos"], n=8)
+    sizes = [r["count"] for r in b.groupBy("k", "_rb").count().collect()]
+    assert max(sizes) < 4000 / 2                       # the hot key spans several buckets
+    got = scan.previous_value(b, ["k"], ["pos"], "v", F.col("_rb"), out="p")
+    want = df.select("k", "pos", F.lag("v").over(Window.partitionBy("k").orderBy("pos")).alias("p"))
+    assert sorted(tuple(r) for r in got.select("k", "pos", "p").collect()) == sorted(tuple(r) for r in want.collect())
