@@ -3,23 +3,37 @@
 The aggregation (``max_by(value, order)`` per key) runs in Structured
 Streaming's state store in update mode; each micro-batch appends only the keys
 it changed to an update log partitioned by batch id (overwritten on replay).
-Readers compact the log: the latest update per key wins.  Old sessions can be
-dropped from the log by the reader's retention, a policy the caller sets.
+Readers compact the log: the latest write per key wins.
+
+Retention (optional): with ``event_time``/``watermark``/``state_window`` the
+aggregation is per (key, event-time window) under a watermark, so the state of
+a window is dropped once the watermark passes its end; the log still holds
+every window's last write, and the compaction picks the latest across them.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def start_state_stream(events: DataFrame, key: Sequence[str], value: str, order: Sequence[str],
-                       log_path: str, checkpoint: str, available_now: bool = True):
+                       log_path: str, checkpoint: str, available_now: bool = True,
+                       event_time: Optional[str] = None, watermark: str = "1 hour",
+                       state_window: str = "1 day"):
     ordc = F.struct(*[F.col(c) for c in order])
-    agg = events.groupBy(*key).agg(F.max_by(F.col(value), ordc).alias("last_value"),
-                                   F.max(ordc).alias("last_order"))
+    aggs = [F.max_by(F.col(value), ordc).alias("last_value"), F.max(ordc).alias("last_order")]
+    if event_time is None:
+        agg = events.groupBy(*key).agg(*aggs)
+    else:
+        # watermarks need a zoned timestamp; TIMESTAMP_NTZ is read in the session zone
+        agg = (events.withColumn("_et", F.col(event_time).cast("timestamp"))
+               .withWatermark("_et", watermark)
+               .groupBy(*key, F.window("_et", state_window).alias("w"))
+               .agg(*aggs)
+               .select(*key, F.col("w.start").alias("window_start"), "last_value", "last_order"))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -36,6 +50,8 @@ def start_state_stream(events: DataFrame, key: Sequence[str], value: str, order:
 
 
 def read_state(spark: SparkSession, log_path: str, key: Sequence[str]) -> DataFrame:
-    """Compacted state: the latest update per key."""
+    """Compacted state: per key, the value of the latest write (by event order,
+    then by batch for repeated updates of one session)."""
     log = spark.read.parquet(log_path)
-    return log.groupBy(*key).agg(F.max_by("last_value", F.col("batch_id")).alias("last_value"))
+    return log.groupBy(*key).agg(
+        F.max_by("last_value", F.struct("last_order", "batch_id")).alias("last_value"))

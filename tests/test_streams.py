@@ -54,3 +54,20 @@ def test_stream_state_equals_batch(spark):
     want = sorted(tuple(r) for r in ev.groupBy("user_id", "event_type").agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("last_value")).collect())
     assert got == want
+
+
+def test_stream_state_with_retention_equals_batch(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    src = shared_path(spark, "test-state-src", unique=True)
+    ev.where(F.col("event_type").isin("click", "view")).coalesce(1).write.parquet(f"{src}/a")
+    ev.where(~F.col("event_type").isin("click", "view")).coalesce(1).write.parquet(f"{src}/b")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).parquet(src))
+    log = shared_path(spark, "test-state-log", unique=True)
+    start_state_stream(stream, ["user_id", "event_type"], "value", ["ts", "event_id"], log,
+                       shared_path(spark, "test-state-ckpt", unique=True),
+                       event_time="ts", watermark="3650 days", state_window="6 hours")
+    got = sorted(tuple(r) for r in read_state(spark, log, ["user_id", "event_type"]).collect())
+    want = sorted(tuple(r) for r in ev.groupBy("user_id", "event_type").agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("last_value")).collect())
+    assert got == want
