@@ -44,34 +44,70 @@ def with_range_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str],
     return df.repartitionByRange(n, *key, *order).withColumn(out, F.spark_partition_id())
 
 
+_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _by_bucket(df: DataFrame, key: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows hash-partitioned by (key, bucket) once: the windows and the bucket
+    summary both consume this one shuffle (Spark reuses the exchange)."""
+    return df.withColumn("_b", bucket).repartition(*key, "_b")
+
+
+def _join_summary(d: DataFrame, per: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Left join of the rows with their bucket summary on (key, bucket),
+    null-safe: no not-null filter is inferred into one branch only, so both
+    branches keep the same shuffle (and a null key is one group, as in the
+    windows)."""
+    cols = [*key, "_b"]
+    per = per.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate(cols)],
+                     *[c for c in per.columns if c not in cols])
+    cond = None
+    for i, c in enumerate(cols):
+        e = d[c].eqNullSafe(per[f"_j{i}"])
+        cond = e if cond is None else cond & e
+    return d.join(per, cond, "left").drop(*[f"_j{i}" for i in range(len(cols))])
+
+
+def _bucket_summary(d: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """One row per (key, bucket) taken from the windowed rows (first row of each
+    bucket), so the summary shares the shuffle under the window instead of
+    reading the input again."""
+    return d.where(F.col("_first")).select(*key, "_b", *cols)
+
+
 def previous_value(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
                    bucket: Column, out: str = "prev") -> DataFrame:
     """Add ``out`` = ``value`` of the immediately preceding row of the same key
     (null for the first row)."""
     key = list(key)
-    d = df.withColumn("_b", bucket)
     wl = Window.partitionBy(*key, "_b").orderBy(*order)
-    d = d.withColumn("_lp", F.lag(F.struct(F.col(value).alias("v"))).over(wl))
-    last = d.groupBy(*key, "_b").agg(F.max_by(F.col(value), _ord(order)).alias("_last"))
+    d = (_by_bucket(df, key, bucket)
+           .withColumn("_lp", F.lag(F.struct(F.col(value).alias("v"))).over(wl))
+           .withColumn("_last", F.last(F.col(value)).over(wl.rowsBetween(*_ALL)))
+           .withColumn("_first", F.row_number().over(wl) == 1))
+    per = _bucket_summary(d, key, ["_last"])
     wb = Window.partitionBy(*key).orderBy("_b")
-    last = last.select(*key, "_b", F.lag("_last").over(wb).alias("_pb"))
-    d = d.join(last, [*key, "_b"], "left")
+    per = per.select(*key, "_b", F.lag("_last").over(wb).alias("_pb"))
+    d = _join_summary(d, per, key)
     return d.withColumn(out, F.when(F.col("_lp").isNotNull(), F.col("_lp.v")).otherwise(F.col("_pb"))) \
-            .drop("_b", "_lp", "_pb")
+            .drop("_b", "_lp", "_pb", "_last", "_first")
 
 
 def count_before(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: Column,
                  bucket: Column, out: str = "n_before") -> DataFrame:
     """Add ``out`` = number of earlier rows of the same key where ``flag`` holds."""
     key = list(key)
-    d = df.withColumn("_b", bucket).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
-    wl = Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(_U, -1)
-    d = d.withColumn("_local", F.coalesce(F.sum("_f").over(wl), F.lit(0)))
-    per = d.groupBy(*key, "_b").agg(F.sum("_f").alias("_n"))
+    wl = Window.partitionBy(*key, "_b").orderBy(*order)
+    d = (_by_bucket(df, key, bucket).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
+           .withColumn("_local", F.coalesce(F.sum("_f").over(wl.rowsBetween(_U, -1)), F.lit(0)))
+           .withColumn("_n", F.sum("_f").over(wl.rowsBetween(*_ALL)))
+           .withColumn("_first", F.row_number().over(wl) == 1))
+    per = _bucket_summary(d, key, ["_n"])
     wb = Window.partitionBy(*key).orderBy("_b").rowsBetween(_U, -1)
     per = per.select(*key, "_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_pre"))
-    d = d.join(per, [*key, "_b"], "left")
-    return d.withColumn(out, (F.col("_pre") + F.col("_local")).cast("long")).drop("_b", "_f", "_local", "_pre")
+    d = _join_summary(d, per, key)
+    return d.withColumn(out, (F.col("_pre") + F.col("_local")).cast("long")) \
+            .drop("_b", "_f", "_local", "_pre", "_n", "_first")
 
 
 def next_matching(df: DataFrame, key: Sequence[str], order: Sequence[str], cond: Column,
@@ -80,15 +116,20 @@ def next_matching(df: DataFrame, key: Sequence[str], order: Sequence[str], cond:
     ``cond`` holds (null when there is none).  ``value`` must increase with
     the order (e.g. the position itself)."""
     key = list(key)
-    d = df.withColumn("_b", bucket).withColumn("_m", F.when(cond, F.col(value)))
-    desc = [F.col(c).desc() for c in order]
-    wl = Window.partitionBy(*key, "_b").orderBy(*desc).rowsBetween(_U, -1)
-    d = d.withColumn("_local", F.min("_m").over(wl))
-    per = d.groupBy(*key, "_b").agg(F.min("_m").alias("_first"))
+    wl = Window.partitionBy(*key, "_b").orderBy(*order)
+    # later rows as a running frame in descending order (a "1 following ..
+    # unbounded following" frame would be recomputed for every row)
+    wd = Window.partitionBy(*key, "_b").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(_U, -1)
+    d = (_by_bucket(df, key, bucket).withColumn("_m", F.when(cond, F.col(value)))
+           .withColumn("_local", F.min("_m").over(wd))
+           .withColumn("_bmin", F.min("_m").over(wl.rowsBetween(*_ALL)))
+           .withColumn("_first", F.row_number().over(wl) == 1))
+    per = _bucket_summary(d, key, ["_bmin"])
     wb = Window.partitionBy(*key).orderBy(F.col("_b").desc()).rowsBetween(_U, -1)
-    per = per.select(*key, "_b", F.min("_first").over(wb).alias("_later"))
-    d = d.join(per, [*key, "_b"], "left")
-    return d.withColumn(out, F.coalesce("_local", "_later")).drop("_b", "_m", "_local", "_later")
+    per = per.select(*key, "_b", F.min("_bmin").over(wb).alias("_later"))
+    d = _join_summary(d, per, key)
+    return d.withColumn(out, F.coalesce("_local", "_later")) \
+            .drop("_b", "_m", "_local", "_later", "_bmin", "_first")
 
 
 def ordered_concat(df: DataFrame, key: Sequence[str], order: Sequence[str], text: str,

@@ -84,3 +84,13 @@ def test_plan_keep_first_partial_aggregation(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert p.count("min_by") >= 2          # partial + final min_by aggregate
     assert p.count("ArrowEvalPython") + p.count("MapInPandas") + p.count("PythonMapInArrow") >= 1
+
+
+def test_plan_two_level_scan_reads_input_once(spark):
+    spark.catalog.clearCache()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(E.queries()["speaker_change"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("FileScan parquet") == 1 and "ReusedExchange" in p
