@@ -23,11 +23,11 @@ def cascade(x: str) -> str:
 
 
 RENDERED = """select o_orderkey,
-      case o_orderkey % 5 when 0 then strftime(o_orderdate, '%B %-d, %Y')
-                          when 1 then strftime(o_orderdate, '%b %-d, %Y')
-                          when 2 then strftime(o_orderdate, '%m.%d.%Y')
-                          when 3 then strftime(o_orderdate, '%d/%m/%Y')
-                          else 'order ' || o_orderkey::varchar end as raw
+      case o_orderpriority when '1-URGENT' then strftime(o_orderdate, '%B %-d, %Y')
+                           when '2-HIGH' then strftime(o_orderdate, '%b %-d, %Y')
+                           when '3-MEDIUM' then strftime(o_orderdate, '%m.%d.%Y')
+                           when '4-NOT SPECIFIED' then strftime(o_orderdate, '%d/%m/%Y')
+                           else 'order ' || o_orderkey::varchar end as raw
     from orders"""
 
 SEC = "'^(\\w{3}), (\\d{1,2} \\w{3} \\d{4})'"
@@ -45,7 +45,7 @@ SQL = {
     "date_relative": f"""with r as (select p_partkey, p_size::varchar || ' giorni fa' as raw from part)
         select p_partkey, raw, {cascade('raw')} as publish_date from r""",
     "section_date": f"""with r as (select o_orderkey,
-            case when o_orderkey % 3 = 2 then 'New submissions for ' || strftime(o_orderdate, '%a, %-d %b %Y')
+            case when o_orderstatus = 'P' then 'New submissions for ' || strftime(o_orderdate, '%a, %-d %b %Y')
                  else strftime(o_orderdate, '%a, %-d %b %Y') || ' (showing first entries)' end as section_head
           from orders)
         select o_orderkey, section_head,

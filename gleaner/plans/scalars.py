@@ -23,12 +23,14 @@ def date_attr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rendered_dates(spark, sf):
-    o = load(spark, sf, "orders", ["o_orderkey", "o_orderdate"])
-    k = F.col("o_orderkey") % 5
-    raw = (F.when(k == 0, F.date_format("o_orderdate", "MMMM d, yyyy"))
-            .when(k == 1, F.date_format("o_orderdate", "MMM d, yyyy"))
-            .when(k == 2, F.date_format("o_orderdate", "MM.dd.yyyy"))
-            .when(k == 3, F.date_format("o_orderdate", "dd/MM/yyyy"))
+    """Each order's date written the way its priority class writes dates
+    (four listing formats, and free text for the lowest class)."""
+    o = load(spark, sf, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority"])
+    k = F.col("o_orderpriority")
+    raw = (F.when(k == "1-URGENT", F.date_format("o_orderdate", "MMMM d, yyyy"))
+            .when(k == "2-HIGH", F.date_format("o_orderdate", "MMM d, yyyy"))
+            .when(k == "3-MEDIUM", F.date_format("o_orderdate", "MM.dd.yyyy"))
+            .when(k == "4-NOT SPECIFIED", F.date_format("o_orderdate", "dd/MM/yyyy"))
             .otherwise(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))))
     return o.select("o_orderkey", raw.alias("raw"))
 
@@ -45,9 +47,10 @@ def date_relative(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_date(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders", ["o_orderkey", "o_orderdate"])
+    o = load(spark, sf, "orders", ["o_orderkey", "o_orderdate", "o_orderstatus"])
     d = F.date_format("o_orderdate", "EEE, d MMM yyyy")
-    head = (F.when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("New submissions for "), d))
+    # pending orders get a heading that does not start with the date
+    head = (F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("New submissions for "), d))
              .otherwise(F.concat(d, F.lit(" (showing first entries)"))))
     return o.select("o_orderkey", head.alias("section_head"), D.section_date(head).alias("publish_date"))
 
