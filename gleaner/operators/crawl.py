@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Iterable, Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
@@ -108,12 +108,15 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
                profiles: Sequence[E.Profile] = SOURCE_PROFILES,
                rules: Iterable[HeaderRule] = HEADER_RULES,
                as_of="1970-01-01", cap: int = 20, compat: bool = False,
-               docs_dir: str = "docs") -> DataFrame:
+               docs_dir: str = "docs", metrics: Optional[dict] = None) -> DataFrame:
     """New registry rows of one run (``is_new`` rows to append).
 
     ``listing_pages``: (site_pos, url, html), site_pos = position in the site
     list.  ``registry_urls``: URLs already registered.  ``article_pages``:
-    fetched article pages (url, html) for the body text.
+    fetched article pages (url, html) for the body text.  ``metrics``: a dict
+    that receives ``pyspark.sql.Observation`` objects ``found`` (n_found) and
+    ``new`` (n_new, n_with_text); their values are filled by the run's own
+    action (``metrics["new"].get`` after writing the rows), with no extra job.
     """
     # paper profiles stay in the chain (unparsed by the listing parser) so that
     # first-match dispatch is decided over all profiles
@@ -127,6 +130,9 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
     if pr is not None:
         parts.append(pr)
     arts = I.union_sources(*parts)
+    if metrics is not None:
+        metrics["found"] = Observation("ingest_found")
+        arts = arts.observe(metrics["found"], F.count(F.lit(1)).alias("n_found"))
     arts = arts.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     arts = I.dedup_first(arts, ORDER)
     if registry_urls is not None:
@@ -140,4 +146,9 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
         arts = arts.join(body, "url", "left")
     else:
         arts = arts.withColumn("text", F.lit(None).cast("string"))
-    return I.new_registry_rows(arts, None, ORDER, docs_dir)
+    rows = I.new_registry_rows(arts, None, ORDER, docs_dir)
+    if metrics is not None:
+        metrics["new"] = Observation("ingest_new")
+        rows = rows.observe(metrics["new"], F.count(F.lit(1)).alias("n_new"),
+                            F.count_if(F.col("has_text")).alias("n_with_text"))
+    return rows

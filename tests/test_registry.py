@@ -146,3 +146,14 @@ def test_listing_warnings(spark):
     got = sorted((r.site_pos, r.source, r.n_candidates, r.status) for r in crawl.listing_warnings(pages).collect())
     assert got == [(0, "meta_ai", 3, "ok"), (1, "mistral", 0, "no_container"),
                    (2, None, 0, "no_profile"), (3, "techcrunch", 0, "no_candidates")]
+
+
+def test_ingest_run_metrics(spark):
+    pages = spark.createDataFrame([(0, "https://ai.meta.com/blog/", LISTING)], "site_pos int, url string, html string")
+    known = spark.createDataFrame([("https://ai.meta.com/blog/two/",)], "url string")
+    art = spark.createDataFrame([("https://ai.meta.com/blog/one/", BODY)], "url string, html string")
+    m = {}
+    rows = crawl.ingest_run(pages, known, art, as_of="2025-01-31", metrics=m)
+    rows.write.format("noop").mode("overwrite").save()
+    assert m["found"].get == {"n_found": 3}               # header + two linked list items
+    assert m["new"].get == {"n_new": 2, "n_with_text": 1}
