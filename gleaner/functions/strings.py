@@ -81,12 +81,22 @@ def article_file_name(title, source, publish_date, is_pdf: Union[bool, Column] =
     return F.when(is_pdf, pdf_name).otherwise(json_name)
 
 
+def _cased(c: Column) -> Column:
+    return F.lower(c) != F.upper(c)
+
+
+def title_case(s: Union[str, Column]) -> Column:
+    """Title case: a cased character right after a non-cased one (or at the
+    start) is upper-cased, every other character lower-cased -- so letters
+    after digits or apostrophes are capitalised too."""
+    chars = F.split(_col(s), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(
+        (i == 0) | ~_cased(F.element_at(chars, i)), F.upper(c)).otherwise(F.lower(c))), "")
+
+
 def camel_case(s: Union[str, Column]) -> Column:
-    """snake_case -> CamelCase: split on ``_``, capitalise each part, join."""
-    parts = F.split(_col(s), "_")
-    return F.array_join(
-        F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
-                                              F.lower(F.substring(x, 2, 1 << 30)))), "")
+    """snake_case -> CamelCase: split on ``_``, title-case each part, join."""
+    return F.array_join(F.transform(F.split(_col(s), "_"), title_case), "")
 
 
 def path_stem(path: Union[str, Column]) -> Column:

@@ -80,7 +80,8 @@ def test_file_name_null_title(spark):
 
 
 def test_camel_and_stem(spark):
-    assert _one_col(spark, ["root_agent", "write_agent", "x"], S.camel_case) == ["RootAgent", "WriteAgent", "X"]
+    names = ["root_agent", "write_agent", "x", "agent2go_v1", "o'neil_x", "ÉCOLE_été", "", "a__b"]
+    assert _one_col(spark, names, S.camel_case) == ["".join(p.title() for p in n.split("_")) for n in names]
     paths = ["/d/Foo.TXT", "/d/a.b.c", "/d/.hidden", "/d/x.", "/d/..a", "https://h/en/474.html",
              "https://h/en/853/", "https://h/en/825?page=2&ref=x"]
     got = _one_col(spark, paths, S.path_stem)
