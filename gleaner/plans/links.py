@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import strings as S
 from gleaner.operators import extract as E
 from gleaner.operators import ingest as I
-from gleaner.plans.common import (AS_OF, absolute_links, host, known_links, load,
-                                  page_links)
+from gleaner.plans.common import absolute_links, known_links, load, page_links
 from gleaner.session import shared_path
 from gleaner.sources.registry import RegistryStore
 

@@ -34,7 +34,6 @@ def test_state_defaults(spark):
 
 
 def test_call_budget(spark):
-    ok10 = [True] * 10 + [True]
     rows = TR.call_budget(_events(spark, [("a", "x")] * 11).withColumn("ok", F.lit(True)),
                           ["session"], ["ts", "seq"], F.col("ok"), F.col("ts")).orderBy("seq").collect()
     assert [r.rejected for r in rows] == [False] * 10 + [True]
@@ -43,7 +42,6 @@ def test_call_budget(spark):
                                "seq long, ts timestamp, session string, ok boolean")
     rows = TR.call_budget(ev, ["session"], ["ts", "seq"], F.col("ok"), F.col("ts")).orderBy("seq").collect()
     assert [r.rejected for r in rows] == [False] * 11
-    assert len(ok10) == 11
 
 
 def test_two_level_scans_equal_plain_windows(spark):
