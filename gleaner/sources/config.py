@@ -47,3 +47,31 @@ def site_list(config: DataFrame) -> DataFrame:
     if sites.isEmpty():
         raise ValueError("No websites found in config.")
     return sites
+
+
+AGENT_SCHEMA = ("array<struct<name:string, description:string, model:string, timeout:int, "
+                "verbose:boolean, manager:boolean, can_handoff_to:array<string>>>")
+
+
+def agent_table(config: DataFrame) -> DataFrame:
+    """``agents`` of the config as rows in list order: (agent_pos, name,
+    description, model, timeout, verbose, manager, can_handoff_to).  Objects
+    have ragged keys; a missing key is null."""
+    arr = F.from_json(F.get_json_object(F.col("json"), "$.agents"), AGENT_SCHEMA)
+    return config.select(F.posexplode(arr).alias("agent_pos", "a")).select("agent_pos", "a.*")
+
+
+def manager_agent(agents: DataFrame) -> DataFrame:
+    """The first agent flagged as manager (a missing flag is false); raises
+    ``ValueError`` when there is none (checked with a one-row action)."""
+    flagged = agents.where(F.coalesce(F.col("manager"), F.lit(False)))
+    first = flagged.orderBy("agent_pos").limit(1)
+    if first.isEmpty():
+        raise ValueError("No manager agent in config.")
+    return first
+
+
+def handoff_edges(agents: DataFrame) -> DataFrame:
+    """The handoff graph as edges (from_agent, to_agent)."""
+    return agents.select(F.col("name").alias("from_agent"),
+                         F.explode_outer("can_handoff_to").alias("to_agent")).where(F.col("to_agent").isNotNull())

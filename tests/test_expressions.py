@@ -122,3 +122,19 @@ def test_json_document(spark):
     df = spark.createDataFrame([("t\"x", None, "é")], "title string, publish_date string, source string")
     (r,) = df.select(S.json_document(["title", "publish_date", "source"])).collect()
     assert r[0] == '{"title": "t\\"x", "publish_date": null, "source": "é"}'
+
+
+def test_agent_config(spark, tmp_path):
+    p = tmp_path / "agents.json"
+    p.write_text('{"agents": [{"name": "a", "can_handoff_to": ["b", "c"]},'
+                 ' {"name": "root", "manager": true, "timeout": 120, "can_handoff_to": ["a"]},'
+                 ' {"name": "b", "manager": false}]}')
+    agents = C.agent_table(C.read_config(spark, str(p)))
+    assert [(r.agent_pos, r.name, r.manager) for r in agents.orderBy("agent_pos").collect()] == \
+        [(0, "a", None), (1, "root", True), (2, "b", False)]
+    assert [r.name for r in C.manager_agent(agents).collect()] == ["root"]
+    assert sorted(tuple(r) for r in C.handoff_edges(agents).collect()) == [("a", "b"), ("a", "c"), ("root", "a")]
+    q = tmp_path / "none.json"
+    q.write_text('{"agents": [{"name": "a"}]}')
+    with pytest.raises(ValueError):
+        C.manager_agent(C.agent_table(C.read_config(spark, str(q))))
