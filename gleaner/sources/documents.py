@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +58,37 @@ def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
     df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     return df.select("path", S.path_stem("path").alias("name"), "text")
+
+
+def document_rows(articles: DataFrame, paged: Optional[DataFrame] = None,
+                  docs_dir: str = "docs") -> DataFrame:
+    """The document table (path, url, kind, body) of new articles.
+
+    An article with a PDF link is stored as the text of its pages (``paged``:
+    (pdf_url, body), e.g. from ``paged_concat``); any other article as its JSON
+    text.  The path follows the article file naming (``.txt`` added after
+    cleaning for paged documents, before it for JSON ones)."""
+    cols = set(articles.columns)
+    pdf = F.col("pdf_url") if "pdf_url" in cols else F.lit(None).cast("string")
+    a = articles.withColumn("_pdf", pdf)
+    kind = doc_kind(F.col("_pdf"))
+    text = ["text"] if "text" in cols else []
+    listing_json = S.json_document([f for f in ARTICLE_FIELDS if f in cols] + text)
+    if "authors" in cols:
+        # paper articles always carry an authors list; listing articles have no such key
+        paper_json = S.json_document([f for f in PAPER_FIELDS if f in cols] + text)
+        doc_json = F.when(F.col("authors").isNotNull(), paper_json).otherwise(listing_json)
+    else:
+        doc_json = listing_json
+    out = a.select("url", "_pdf", kind.alias("kind"),
+                   F.concat(F.lit(docs_dir.rstrip("/") + "/"),
+                            S.article_file_name(F.col("title"), F.col("source"), F.col("publish_date"),
+                                                kind == "pdf")).alias("path"),
+                   doc_json.alias("_json"))
+    if paged is not None:
+        out = out.join(paged.select(F.col("pdf_url").alias("_pdf"), F.col("body").alias("_paged")),
+                       "_pdf", "left")
+    else:
+        out = out.withColumn("_paged", F.lit(None).cast("string"))
+    body = F.when(F.col("kind") == "pdf", F.col("_paged")).otherwise(F.col("_json"))
+    return out.select("path", "url", "kind", body.alias("body"))

@@ -33,3 +33,18 @@ def test_paged_concat_order(spark):
                                   "doc long, page long, text string")
     got = {r.doc: r.body for r in DOC.paged_concat(pages, ["doc"], "page").collect()}
     assert got == {1: "abc", 2: "z"}
+
+
+def test_document_rows(spark):
+    arts = spark.createDataFrame(
+        [("T1", None, "https://a/1", "https://a", "src", None, "body one"),
+         ("P: 2", "2025-01-02", "https://x/abs/2", "https://x", "arxiv", "https://x/pdf/2", None)],
+        "title string, publish_date string, url string, source_url string, source string, "
+        "pdf_url string, text string")
+    paged = spark.createDataFrame([("https://x/pdf/2", "page1page2")], "pdf_url string, body string")
+    rows = {r.url: r for r in DOC.document_rows(arts, paged).collect()}
+    a, p = rows["https://a/1"], rows["https://x/abs/2"]
+    assert (a.kind, a.path) == ("json", "docs/t1_src_none.txt")
+    assert a.body == ('{"title": "T1", "publish_date": null, "url": "https://a/1", '
+                      '"source_url": "https://a", "source": "src", "text": "body one"}')
+    assert (p.kind, p.path, p.body) == ("pdf", "docs/p_2_arxiv_2025_01_02.txt", "page1page2")
