@@ -198,3 +198,15 @@ def section_first(entries: DataFrame, sections: DataFrame, key: Sequence[str],
         F.min_by(F.struct(*[F.col(c) for c in section_cols]), F.col(section_order)).alias("_s"))
     first = first.select(*key, *[F.col(f"_s.{c}").alias(c) for c in section_cols])
     return entries.join(first, list(key), "inner")
+
+
+def path_collisions(rows: DataFrame, order: Sequence[str], path: str = "article_file_path") -> DataFrame:
+    """Document paths shared by several articles (same title, source and date).
+
+    All rows stay in the registry; this reports, per shared path, how many
+    articles map to it and which one a file store would hold last (the last
+    writer in ``order``) -- the file the reference would keep."""
+    ordc = F.struct(*[F.col(c) for c in order])
+    return (rows.groupBy(path)
+                .agg(F.count(F.lit(1)).alias("n_articles"), F.max_by("url", ordc).alias("stored_url"))
+                .where(F.col("n_articles") > 1))

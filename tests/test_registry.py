@@ -157,3 +157,12 @@ def test_ingest_run_metrics(spark):
     rows.write.format("noop").mode("overwrite").save()
     assert m["found"].get == {"n_found": 3}               # header + two linked list items
     assert m["new"].get == {"n_new": 2, "n_with_text": 1}
+
+
+def test_path_collisions(spark):
+    b = _batch(spark, [("u1", "Same", "s", "2025-01-01", "t", 0), ("u2", "Same", "s", "2025-01-01", "t", 1),
+                       ("u3", "Other", "s", "2025-01-01", "t", 2)])
+    rows = I.new_registry_rows(b, None, ORDER)
+    assert rows.count() == 3                                  # every article kept
+    (c,) = I.path_collisions(rows, ORDER).collect()
+    assert (c.article_file_path, c.n_articles, c.stored_url) == ("docs/same_s_2025_01_01.txt", 2, "u2")
