@@ -39,6 +39,11 @@ PROMPT_HEADER = (f"printf({q(B.PROMPT_HEADER)}, coalesce(title, 'None'), coalesc
 ROUTE_TEXT = f"case when coalesce(has_text, false) then {q(B.ROUTE_RETRIEVE)} else {q(B.ROUTE_BROWSE)} end"
 
 SQL = {
+    "path_collisions": f"""with p as (select doc_id,
+            lower({safe_filename("substr(text, 1, 60) || '_' || source || '_' || lang || '.txt'")}) as article_file_path
+          from documents)
+        select article_file_path, count(*) as n_articles, arg_max(doc_id, doc_id)::varchar as stored_doc
+        from p group by article_file_path having count(*) > 1""",
     "date_attr": """with r as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as raw from orders)
         select o_orderkey, raw, split_part(raw, 'T', 1) as publish_date from r""",
     "date_cascade": f"with r as ({RENDERED}) select o_orderkey, raw, {cascade('raw')} as publish_date from r",

@@ -169,7 +169,20 @@ def article_listing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", "n_lines", F.md5("listing").alias("listing_md5"))
 
 
+def path_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose file path (first 60 characters as title, source,
+    language as date) is shared with another document; the last writer in
+    doc_id order is the one a file store would keep."""
+    d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
+    rows = d.select(F.col("doc_id").cast("string").alias("url"), "doc_id",
+                    S.article_file_name(F.substring("text", 1, 60), F.col("source"), F.col("lang"))
+                    .alias("article_file_path"))
+    out = I.path_collisions(rows, ["doc_id"])
+    return out.select("article_file_path", "n_articles", F.col("stored_url").alias("stored_doc"))
+
+
 QUERIES = {
+    "path_collisions": path_collisions,
     "date_attr": date_attr,
     "date_cascade": date_cascade,
     "date_relative": date_relative,
