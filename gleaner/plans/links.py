@@ -140,6 +140,26 @@ DISPATCH_PROFILES = [
 ]
 
 
+# Fixture profiles for the listing warnings: a container no page has, the
+# navigation list, and a footer without links.
+WARNING_PROFILES = [
+    E.Profile(source="blog", base_url="https://blog.", rank=1, container_tag="aside",
+              cand_tag="a", title_tag=None, date_tag=None, cap=None),
+    E.Profile(source="net", base_url="example.net", rank=2, container_tag="nav",
+              cand_tag="a", title_tag=None, date_tag=None, cap=None),
+    E.Profile(source="com", base_url="example.com", rank=3, container_tag="footer",
+              cand_tag="a", title_tag=None, date_tag=None, cap=None),
+]
+
+
+def listing_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    from gleaner.operators.crawl import listing_warnings as warnings
+
+    pages = load(spark, sf, "pages", ["page_id", "url", "html"], heavy=True)
+    w = warnings(pages.select(F.col("page_id").alias("site_pos"), "url", "html"), WARNING_PROFILES)
+    return w.select(F.col("site_pos").alias("page_id"), "source", "n_candidates", "status")
+
+
 def profile_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     pages = load(spark, sf, "pages", ["page_id", "url"])
     return E.dispatch(pages, DISPATCH_PROFILES).select("page_id", F.col("pf_source").alias("source"))
@@ -162,6 +182,7 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "scan_pages": scan_pages,
+    "listing_warnings": listing_warnings,
     "listing_links": listing_links,
     "positional_cap": positional_cap,
     "absolutize": absolutize,
