@@ -50,3 +50,16 @@ def test_header_rules(spark):
     # "Jan" does not parse with the full month name: null, not an error
     assert got == [("s1", "https://site.examplenews/x", "Head", None, -1),
                    ("s2", "./y", "Y", "2025-05-03", -1)]
+
+
+def test_ingest_run_routes_paper_pages(spark):
+    pages = spark.createDataFrame([(0, "https://arxiv.org/list/cs.AI/recent", PAPER),
+                                   (1, "https://ai.meta.com/blog/", "<div>nothing</div>")],
+                                  "site_pos int, url string, html string")
+    rows = {r.url: r for r in crawl.ingest_run(pages, None, as_of="2025-01-31").collect()}
+    assert set(rows) == {"https://arxiv.org/abs/1", "https://arxiv.org/abs/2", "https://arxiv.org/abs/3",
+                         "https://arxiv.org/abs/5"}                 # the entry without a link is dropped
+    r1 = rows["https://arxiv.org/abs/1"]
+    assert (r1.source, r1.title, r1.publish_date) == ("arxiv", "First", "2025-02-03")
+    assert r1.article_file_path == "docs/first_arxiv_2025_02_03.txt"    # paged document: .txt after cleaning
+    assert rows["https://arxiv.org/abs/5"].article_file_path == "docs/none_arxiv_2025_02_04.txt"
