@@ -64,7 +64,7 @@ SQL = {
     "camel_case": """with s as (select distinct event_type || '_' || event_type || '_log' as snake from events)
         select snake, array_to_string(list_transform(string_split(snake, '_'),
                lambda x: upper(x[1]) || lower(x[2:])), '') as camel from s""",
-    "run_date": f"select r_regionkey, strftime({AS_OF}, '%Y-%m-%d') as run_date from region",
+    "run_date": f"select doc_id, strftime({AS_OF}, '%Y-%m-%d') as run_date from documents",
     "doc_stem": f"""select page_id, lower(case when regexp_matches({STEM_NAME}, '^.+\\.[^.]+$')
                                    and not regexp_matches({STEM_NAME}, '^\\.[^.]*$')
                               then regexp_extract({STEM_NAME}, '^(.*)\\.[^.]+$', 1) else {STEM_NAME} end) as stem

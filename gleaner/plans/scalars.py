@@ -68,7 +68,8 @@ def camel_case(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_date(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "region", ["r_regionkey"]).select("r_regionkey", D.run_date(AS_OF).alias("run_date"))
+    """Every stored document stamped with the run date (the clock is ``as_of``)."""
+    return load(spark, sf, "documents", ["doc_id"]).select("doc_id", D.run_date(AS_OF).alias("run_date"))
 
 
 def doc_stem(spark: SparkSession, sf: str) -> DataFrame:
