@@ -35,6 +35,8 @@ ORDER = ["site_pos", "section_pos", "pos"]
 def listing_rows(pages: DataFrame, profiles: Sequence[E.Profile], as_of) -> DataFrame:
     """Articles of the list part of every listing page (no header rows)."""
     d = E.dispatch(pages.select("site_pos", "url", "html"), profiles)
+    # only pages whose first matching profile is a listing profile are parsed here
+    d = d.where(F.col("pf_parser") == "listing")
     cands = E.extract_listing(d, keep=("site_pos", "pf_base_url", "pf_source"))
     arts = I.listing_articles(cands, as_of)
     return arts.select("site_pos", F.lit(0).alias("section_pos"), "pos", *I.ARTICLE_COLUMNS)
@@ -118,10 +120,9 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
     ``new`` (n_new, n_with_text); their values are filled by the run's own
     action (``metrics["new"].get`` after writing the rows), with no extra job.
     """
-    # paper profiles stay in the chain (unparsed by the listing parser) so that
-    # first-match dispatch is decided over all profiles
-    capped = [replace(p, cap=cap) if p.parser == "listing" else
-              replace(p, cap=0) for p in profiles]
+    # paper profiles stay in the chain so that first-match dispatch is decided
+    # over all profiles; their pages are filtered out of the listing stage
+    capped = [replace(p, cap=cap) if p.parser == "listing" else p for p in profiles]
     parts = [listing_rows(listing_pages, capped, as_of)]
     h = header_rows(listing_pages, rules)
     if h is not None:
