@@ -50,20 +50,20 @@ def safe_filename(name: Union[str, Column]) -> Column:
     hyphens become underscores, a reserved device name gets ``_`` before its
     extension, leading/trailing spaces and dots go, and an empty result
     becomes ``unnamed_file``.
+
+    A linear chain of replacements (each step reads the previous one once), so
+    the expression stays small however long the chain.  The reserved-name
+    step matches the whole name as ``NAME`` or ``NAME.ext`` with a single
+    extension, i.e. exactly the names whose stem before the last dot is
+    reserved.
     """
+    reserved = "(?i)^(" + "|".join(RESERVED_NAMES) + r")(\.[^.]*)?$"
     s = F.translate(_col(name), FILENAME_REMOVED_CHARS, "")
     s = F.regexp_replace(s, r"[^\x09-\x0d\x20-\x7e]", "")
     s = F.translate(s, " -", "__")
-    # splitext: the extension is the last dot-part unless the dot leads the name
-    has_ext = s.rlike(r"[^.][^/]*\.[^.]*$") & ~s.rlike(r"^\.+[^.]*$")
-    stem = F.when(has_ext, F.regexp_extract(s, r"^(.*)\.[^.]*$", 1)).otherwise(s)
-    ext = F.when(has_ext, F.regexp_extract(s, r"(\.[^.]*)$", 1)).otherwise(F.lit(""))
-    reserved = F.upper(stem).isin(RESERVED_NAMES)
-    s = F.when(reserved & s.contains("."), F.concat(stem, F.lit("_"), ext)) \
-         .when(reserved, F.concat(s, F.lit("_"))) \
-         .otherwise(s)
+    s = F.regexp_replace(s, reserved, "$1_$2")
     s = F.regexp_replace(s, r"^[ .]+|[ .]+$", "")
-    return F.when(s == "", F.lit(EMPTY_FILENAME)).otherwise(s)
+    return F.regexp_replace(s, "^$", EMPTY_FILENAME)
 
 
 def none_text(c: Union[str, Column]) -> Column:
