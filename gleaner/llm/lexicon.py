@@ -371,7 +371,7 @@ def publish(spark: SparkSession, vocabulary: str, pieces: list[str]) -> str:
     path = f"{scratch(spark, 'lexicon')}/{name}"
     fs, inner = open_fs(path)
     fs.create_dir(os.path.dirname(inner))
-    with fs.open_output_stream(inner) as f:
+    with fs.open_output_stream(inner, compression=None) as f:
         f.write(blob)
     spark.sparkContext.addFile(path)
     return name
