@@ -7,10 +7,11 @@ bucket keys.  At similarity 0.75 a pair shares no band with probability
 (1 - 0.75^5)^40 = 2e-5.
 
 Work per stage: equal sets collapse into a class (its smallest row); classes that
-share a bucket are first linked with the bucket's smallest class, links are
-confirmed on the full sets, and components are formed.  What is then still apart
-within a bucket is compared again, pair by pair, but only across components, and
-only where the sizes allow 0.75.  So a bucket of many copies costs one link a
+share a bucket are first compared with the bucket's smallest class, links are
+confirmed on the full sets, and components are formed; so are members still apart
+with one other head.  What is then still apart within a bucket is compared
+again, across components and where the sizes allow 0.75, inside tasks that hold
+a bounded block of a bucket: only links become rows.  So a bucket of many copies costs one link a
 member, and no link between candidates is lost.
 
 Defined cases: null texts and texts without words have an empty set and are linked
@@ -35,6 +36,8 @@ from gleaner.llm.util import components, drop, mix, prefix_sums, span_hashes, st
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
+TURNS = 2
+BLOCK_SHINGLES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -134,14 +137,17 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents whose id is in ``ids``."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(id, shingles, keys) of the documents whose id is in ``ids``."""
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def fn(batch):
-        return batch.column("id"), _lists(shingle_sets(batch.column("text").to_pylist()))
+        sets = shingle_sets(batch.column("text").to_pylist())
+        full = [i for i, s in enumerate(sets) if len(s)]
+        sets = [sets[i] for i in full]
+        return batch.column("id").take(pa.array(full, pa.int64())), _lists(sets), _lists(list(band_keys(signatures(sets))))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return _mapped(rows, fn, schema, "id long, shingles array<long>")
+    return _mapped(rows, fn, schema, "id long, shingles array<long>, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -168,6 +174,81 @@ def confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _mapped(full, fn, schema, "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
 
 
+def linked_in_group(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Confirmed links (a, b) between members (block, id, part, shingles, keys) of one
+    bucket that are in different components.  A pair is looked at only in the first
+    of the buckets that it shares, and where the sizes allow the similarity."""
+    key, i, j = rows[0][:3]
+    block = np.array([r[3] for r in rows])
+    ids, parts = (np.array([r[k] for r in rows]) for k in (4, 5))
+    sets = [np.array(r[6], np.int64).view(np.uint64) for r in rows]      # sorted as unsigned
+    n = np.array([len(x) for x in sets])
+    keys = np.array([r[7] for r in rows], np.int64)
+    band = int(np.flatnonzero((keys == key).any(0))[0])
+    at = np.cumsum(n) - n
+    flat = np.concatenate(sets)
+    # members of the largest component needn't be compared with each other
+    _, of, count = np.unique(parts, return_inverse=True, return_counts=True)
+    main = of == count.argmax()
+    out = []
+    for x in np.flatnonzero(~main):
+        other = (parts != parts[x]) & (main | (np.arange(len(rows)) > x)) & (i == j or block != block[x])
+        other &= 100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x])
+        ys = np.flatnonzero(other)
+        ys = ys[(keys[ys] == keys[x]).argmax(1) == band]
+        if not len(ys):
+            continue
+        take = np.arange(int(n[ys].sum())) + np.repeat(at[ys] - (np.cumsum(n[ys]) - n[ys]), n[ys])
+        spot = np.minimum(np.searchsorted(sets[x], flat[take]), n[x] - 1)
+        shared = np.add.reduceat((sets[x][spot] == flat[take]).astype(np.int64), np.cumsum(n[ys]) - n[ys])
+        hit = ys[100 * shared >= PERCENT * (n[x] + n[ys] - shared)]
+        out += [(min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))) for y in hit]
+    return out
+
+
+def compare_groups(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) within the buckets of ``left``, by groups of members in
+    one task; no pair becomes a row unless it is a link.  A bucket of many shingles
+    is cut into blocks by hash, and every two blocks meet in a group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    blocks = (left.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    rows = (left.join(blocks, "key").withColumn("block", block).withColumn("m", F.explode(meets))
+            .select("key", "m.i", "m.j", "block", "id", "part").join(classes, "id")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .select("key", "i", "j", "block", "id", "part", "shingles", "keys"))
+
+    def run(batches):
+        group = []
+
+        def solve():
+            links = linked_in_group(group) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for r in zip(*(c.to_pylist() if c.type in (pa.int64(), pa.int32()) else [x.values.to_numpy() for x in c]
+                               for c in batch.slice(at, 512).columns)):
+                    if group and group[0][:3] != r[:3]:
+                        yield solve()
+                        group = []
+                    group.append(r)
+        if group:
+            yield solve()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(in_buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, n, part) of the buckets whose members are in different components."""
+    found = components(links).withColumnRenamed("node", "id")
+    parts = store(in_buckets.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part")), "parts")
+    split = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    return parts.join(split, "key")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and n_links (confirmed links of its
     class that were looked at) of every row."""
@@ -182,25 +263,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
               .where("head <> last").select("key", "head"))
     in_buckets = store(banded.join(shared, "key"), "buckets")
     classes = store(full_sets(docs, in_buckets.select("id").distinct()), "classes")
-    star = in_buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = store(confirmed(star, classes), "links")
-    found = store(components(links), "components")
-    # members of one bucket that the first links left in different components
-    part = F.coalesce("component", "id")
-    apart = store(in_buckets.join(found.withColumnRenamed("node", "id"), "id", "left")
-                  .select("key", "id", "n", part.alias("part")), "apart")
-    split = apart.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    left = apart.join(split, "key")
-    one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    two = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    more = (one.join(two, "key").where(f"pa < pb AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-            .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    more = more.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    again = store(confirmed(more, classes), "links")
-    every = links.unionByName(again)
+    links = None
+    for turn in range(TURNS):
+        # each bucket's members meet one of them: first the smallest, then others
+        # by hash, and only while they are in different components
+        if links is None:
+            pairs = in_buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+        else:
+            apart = _apart(in_buckets, links)
+            heads = apart.groupBy("key").agg(F.min_by(F.struct("id", "part"), F.xxhash64("key", "id", F.lit(turn))).alias("h"))
+            pairs = (apart.join(heads, "key").where("part <> h.part")
+                     .select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct())
+        new = confirmed(pairs, classes)
+        links = store(new if links is None else links.unionByName(new), "links")
+    # what is still apart within a bucket: across components, in groups
+    left = store(_apart(in_buckets, links), "apart")
+    every = store(links.unionByName(compare_groups(left, classes)), "links")
     found = store(components(every), "components")
     drop(in_buckets)
-    drop(apart)
+    drop(left)
     degree = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").count()
     by_set = (classes_of.join(found.withColumnRenamed("node", "id"), "id", "left")
               .join(degree.select(F.col("a").alias("id"), F.col("count").alias("n_links")), "id", "left")

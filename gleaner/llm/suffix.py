@@ -185,7 +185,8 @@ def mask_of(row: np.ndarray, size: int, off: int, n: int) -> bytes:
 
 
 def bucket_masks(distinct: DataFrame) -> DataFrame:
-    """(bucket, digest, mask) of the segments in buckets of bounded size."""
+    """(bucket, digest, mask) of the segments that hold a repeated string, in buckets
+    of bounded size."""
     schema = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("mask", pa.binary())])
 
     def solve(rows):
@@ -271,19 +272,21 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataF
     found = store(anchors(long), "anchors")
     often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash")
     wanted = (found.join(often, "hash").distinct().groupBy("key", "key2").agg(F.collect_list("hash").alias("hashes")))
+    wanted = store(wanted, "repeat-anchors")
+    drop(found)
     once = long.groupBy("key", "key2").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
     work = store(once.join(wanted, ["key", "key2"]), "repeat-texts")
-    drop(found)
     segs = store(segments(work), "segments")
     distinct = (segs.groupBy("bucket", "digest").agg(F.first("seg").alias("seg"), F.first("off").alias("off"),
                                                      F.sum("n").alias("n")))
-    distinct = store(distinct, "distinct-segments")
-    sizes = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = distinct.join(sizes, "bucket")
-    alone = (sized.where("size = 1 AND n > 1")
-             .select("bucket", "digest", F.unhex(F.repeat(F.lit("01"), F.length("seg") - (LENGTH - 1))).alias("mask")))
-    masks = (alone.unionByName(bucket_masks(sized.where(f"size BETWEEN 2 AND {MAX_SEGMENTS}")))
-             .unionByName(split_masks(sized.where(f"size > {MAX_SEGMENTS}"))))
+    big = store(segs.select("bucket", "digest").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+                .where(f"size > {MAX_SEGMENTS}").select("bucket"), "large-buckets")
+    if big.limit(1).count():
+        masks = (bucket_masks(distinct.join(big, "bucket", "left_anti"))
+                 .unionByName(split_masks(distinct.join(big, "bucket", "left_semi"))))
+    else:
+        masks = bucket_masks(distinct)
+    masks = store(masks, "masks")
     hits = (segs.where("copies = 1").select("bucket", "digest", "key", "key2", "starts").join(masks, ["bucket", "digest"])
             .groupBy("key", "key2").agg(F.collect_list(F.struct("starts", "mask")).alias("found")))
     fields = [("key", pa.int64()), ("key2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),

@@ -29,6 +29,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    # Spark frees the shuffle files of finished plans when the driver's JVM collects
+    # them; asking for that now keeps the disk in use to one phase's worth
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
