@@ -191,7 +191,7 @@ def prior(feature: str) -> float:
         return -1.0 if feature == "w:aside" or feature.endswith("/a") else \
             0.5 if feature in ("w:html", "w:body", "w:div", "w:section", "w:td") else 1.0
     if feature.endswith("!") or feature.lstrip("</") in ASIDE + ("body", "html", "article", "main", "header"):
-        return -5.0
+        return -3.0
     return -0.5
 
 

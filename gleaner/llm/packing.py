@@ -22,6 +22,8 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from struct import pack as struct_pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from gleaner.llm.util import drop, store
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, GENERATIONS, KEEP_FILL = 4, 4, 0.998
-MEMO = 200_000
+MEMO = 500_000
 
 
 # --- tokens ---------------------------------------------------------------------
@@ -55,18 +57,36 @@ class WordIds:
         self.t.no_truncation()
         self.t.no_padding()
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def raw(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct_pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        """Memo entries of the words that lack one.  The tokenizer cuts letters from
+        marks, so a word of letters before points and commas is its two parts."""
+        memo, core_of = self.memo, {}
+        for w in words:
+            core = w.rstrip(".,")
+            if not (core.isalpha() and (core.isascii() or core.lower().isalpha() and is_normalized("NFC", core))):
+                core = w                       # marks may join what the normaliser makes of it
+            core_of[w] = core.lower() if core.isascii() else core
+        parts = {*core_of.values(), *(w[len(c):] for w, c in core_of.items())}
+        new = [p for p in parts if p and p not in self.parts]
+        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False)):
+            self.parts[p] = self.raw(e.ids)
+        get = self.parts.get
+        for w, c in core_of.items():
+            memo[w] = get(c, b"") + get(w[len(c):], b"")
 
     def of(self, texts: list) -> list[bytes]:
         """Little-endian ids of every text."""
+        words = [(t or "").split() for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        words = [(t or "").split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.memo]
-        for w, e in zip(new, self.t.encode_batch(new, add_special_tokens=False)):
-            self.memo[w] = self.raw(e.ids)
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        self.learn(set().union(*words).difference(self.memo))
         get = self.memo.__getitem__
         return [b"".join(map(get, ws)) if not any(map((t or "").__contains__, self.ODD))
                 else self.raw(self.t.encode(t, add_special_tokens=False).ids) for t, ws in zip(texts, words)]
