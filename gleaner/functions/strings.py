@@ -120,8 +120,16 @@ def json_value(c: Union[str, Column]) -> Column:
     return F.regexp_replace(arr, r"^\[|\]$", "")
 
 
-def json_document(fields: Sequence[str]) -> Column:
+def json_array(c: Union[str, Column]) -> Column:
+    """A JSON array of scalars with ``", "`` between elements (``null`` kept)."""
+    col = _col(c)
+    items = F.concat_ws(", ", F.transform(col, json_value))
+    return F.when(col.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), items, F.lit("]")))
+
+
+def json_document(fields: Sequence[str], arrays: Sequence[str] = ()) -> Column:
     """A record as one JSON text in key order, ``", "``/``": "`` separators,
-    nulls kept and non-ASCII left as is (the article document format)."""
-    pairs = [F.concat(F.lit(f'"{f}": '), json_value(f)) for f in fields]
+    nulls kept and non-ASCII left as is (the article document format);
+    ``arrays`` names the fields that hold arrays of scalars."""
+    pairs = [F.concat(F.lit(f'"{f}": '), json_array(f) if f in arrays else json_value(f)) for f in fields]
     return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))

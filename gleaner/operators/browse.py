@@ -72,9 +72,10 @@ def prompt_table(registry: DataFrame) -> DataFrame:
 def classify_command(cmd: Column, n_options: int) -> Column:
     """``option`` for an integer in [0, n), ``invalid`` for other integers,
     ``exit`` for ``/bye``, ``query`` for any other text."""
-    n = cmd.try_cast("int")
-    return (F.when(n.isNotNull() & (n >= 0) & (n < n_options), F.lit("option"))
-             .when(n.isNotNull(), F.lit("invalid"))
+    integer = cmd.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    n = F.trim(cmd).try_cast("decimal(38,0)")          # null beyond 38 digits: out of range as well
+    return (F.when(integer & (n >= 0) & (n < n_options), F.lit("option"))
+             .when(integer, F.lit("invalid"))
              .when(cmd == EXIT_COMMAND, F.lit("exit"))
              .otherwise(F.lit("query")))
 

@@ -109,7 +109,7 @@ def ingest_run(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
                article_pages: Optional[DataFrame] = None,
                profiles: Sequence[E.Profile] = SOURCE_PROFILES,
                rules: Iterable[HeaderRule] = HEADER_RULES,
-               as_of="1970-01-01", cap: int = 20, compat: bool = False,
+               *, as_of, cap: int = 20, compat: bool = False,
                docs_dir: str = "docs", metrics: Optional[dict] = None) -> DataFrame:
     """New registry rows of one run (``is_new`` rows to append).
 

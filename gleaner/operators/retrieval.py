@@ -279,10 +279,10 @@ def tool_catalog(docs: DataFrame, doc: str, name: str) -> DataFrame:
 
 
 # -- tree reduction --------------------------------------------------------------
-def lead_combine(text: str = "text", order: str = "pos", lead: int = 40) -> Column:
-    """Default combine of a group of nodes: the first ``lead`` characters of
-    each node, in order, joined by a space."""
-    return F.expr(f"listagg(substr(`{text}`, 1, {lead}), ' ') within group (order by `{order}`)")
+def join_combine(text: str = "text", order: str = "pos") -> Column:
+    """Default combine of a group of nodes: their whole texts, in order, joined by
+    a space.  Nothing is lost; a summariser is passed as ``combine``."""
+    return F.expr(f"listagg(`{text}`, ' ') within group (order by `{order}`)")
 
 
 def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[Column] = None,
@@ -295,7 +295,7 @@ def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[C
     document; later levels only to documents with more than one node.  The
     number of levels comes from the largest document (one scalar).
     """
-    combine = combine if combine is not None else lead_combine()
+    combine = combine if combine is not None else join_combine()
     if n_levels is None:
         # one scalar decides the depth; the nodes are materialized so the
         # levels do not recompute them

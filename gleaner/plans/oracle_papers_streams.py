@@ -16,7 +16,7 @@ SQL = {
         select nx.conv_id as page_id, nx.sec::integer as section_pos, nx.pos::integer as pos,
                'https://arxiv.org/abs/' || nx.conv_id::varchar || '.' || nx.turn::varchar as url,
                'https://arxiv.org/pdf/' || nx.conv_id::varchar || '.' || nx.turn::varchar as pdf_url,
-               case when a.turn is not null then regexp_replace(substr(a.text, 1, 50), '^\\s+|\\s+$', '', 'g') end
+               case when a.turn is not null then regexp_replace(a.text, '^\\s+|\\s+$', '', 'g') end
                  as title,
                case when a.turn is not null then 'assistant|conv' || nx.conv_id::varchar else '' end as authors,
                strftime(date '2024-01-01' + (nx.conv_id + nx.sec)::integer, '%Y-%m-%d') as publish_date

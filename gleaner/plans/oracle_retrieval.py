@@ -32,9 +32,9 @@ def topk(pairs: str, k: int, q: str = "query_id", c: str = "vec_id") -> str:
 COS = "list_cosine_similarity(q.embedding::double[], c.embedding::double[])"
 
 NAMES = f"""names as (select doc_id,
-    lower({safe_filename("substr(text, 1, 60) || '_' || source || '_' || lang")}) as name from documents)"""
+    lower({safe_filename("text || '_' || source || '_' || lang")}) as name from documents)"""
 
-LEVEL = """select doc_id, g as pos, string_agg(substr(text, 1, 40), ' ' order by pos) as text,
+LEVEL = """select doc_id, g as pos, string_agg(text, ' ' order by pos) as text,
                   ceil(max(n) / 4.0)::bigint as n
            from (select *, pos // 4 as g from {src} {where}) group by doc_id, g"""
 

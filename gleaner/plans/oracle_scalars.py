@@ -40,7 +40,7 @@ ROUTE_TEXT = f"case when coalesce(has_text, false) then {q(B.ROUTE_RETRIEVE)} el
 
 SQL = {
     "path_collisions": f"""with p as (select doc_id,
-            lower({safe_filename("substr(text, 1, 60) || '_' || source || '_' || lang || '.txt'")}) as article_file_path
+            lower({safe_filename("text || '_' || source || '_' || lang || '.txt'")}) as article_file_path
           from documents)
         select article_file_path, count(*) as n_articles, arg_max(doc_id, doc_id)::varchar as stored_doc
         from p group by article_file_path having count(*) > 1""",
@@ -59,7 +59,7 @@ SQL = {
             as publish_date
         from r""",
     "safe_filename": f"""select doc_id,
-          lower({safe_filename("substr(text, 1, 60) || '_' || source || '_' || lang || '.txt'")}) as file_name
+          lower({safe_filename("text || '_' || source || '_' || lang || '.txt'")}) as file_name
         from documents""",
     "camel_case": """with s as (select distinct event_type || '_' || event_type || '_log' as snake from events)
         select snake, array_to_string(list_transform(string_split(snake, '_'),
@@ -91,8 +91,8 @@ SQL = {
                  when event_type in ('view', 'click') then json_extract_string(props, '$.k')
                  else event_type end as cmd from events)
         select event_id, cmd,
-          case when try_cast(cmd as integer) between 0 and 49 then 'option'
-               when try_cast(cmd as integer) is not null then 'invalid'
+          case when regexp_full_match(trim(cmd), '[+-]?0*[1-4]?[0-9]') and try_cast(cmd as integer) >= 0 then 'option'
+               when regexp_full_match(trim(cmd), '[+-]?[0-9]+') then 'invalid'
                when cmd = '/bye' then 'exit' else 'query' end as kind from c""",
     "flag_split": """select d.source,
           coalesce(min(case when coalesce(l.quality = 1, false) then d.doc_id end), -1) as first_flagged,
@@ -119,7 +119,7 @@ SQL = {
           where is_new or not exists (select 1 from old_reg where is_new)""",
     "article_listing": """with l as (select conv_id, turn,
             chr(9) || printf('%d) %s - %s, %s', (row_number() over (partition by conv_id order by turn)) - 1,
-                             substr(text, 1, 40), role, turn::varchar) || chr(10) as line
+                             text, role, turn::varchar) || chr(10) as line
           from conversations)
         select conv_id, count(*) as n_lines, md5(string_agg(line, '' order by turn)) as listing_md5
         from l group by conv_id""",

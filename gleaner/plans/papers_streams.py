@@ -33,11 +33,11 @@ def paper_pages(spark: SparkSession, sf: str) -> DataFrame:
                             '<a title="Download PDF" href="/pdf/'), ref, F.lit('">pdf</a></dt>')))
              .when(F.col("role") == "assistant",
                    F.concat(F.lit('<dd><div class="list-title"><span class="descriptor">Title:</span> '),
-                            _esc(F.substring("text", 1, 50)),
+                            _esc(F.col("text")),
                             F.lit('</div><div class="list-authors"><a href="#">'), F.col("role"),
                             F.lit('</a>, <a href="#">conv'), F.col("conv_id").cast("string"),
                             F.lit("</a></div></dd>")))
-             .otherwise(F.concat(F.lit("<p>"), _esc(F.substring("text", 1, 20)), F.lit("</p>"))))
+             .otherwise(F.concat(F.lit("<p>"), _esc(F.col("text")), F.lit("</p>"))))
     frag = (F.when(F.col("turn") == 0, F.concat(opener, frag))
              .when(F.col("turn") == 2, F.concat(F.lit("</dl>"), opener, frag))
              .otherwise(frag))

@@ -57,7 +57,7 @@ def two_level_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_names(spark, sf):
     d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
-    name = F.lower(S.safe_filename(F.concat_ws("_", F.substring("text", 1, 60), "source", "lang")))
+    name = F.lower(S.safe_filename(F.concat_ws("_", F.col("text"), "source", "lang")))
     return d.select("doc_id", name.alias("name"))
 
 

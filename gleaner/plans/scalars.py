@@ -57,7 +57,7 @@ def section_date(spark: SparkSession, sf: str) -> DataFrame:
 
 def safe_filename(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
-    name = F.concat_ws("_", F.substring("text", 1, 60), F.col("source"), F.col("lang"))
+    name = F.concat_ws("_", F.col("text"), F.col("source"), F.col("lang"))
     return d.select("doc_id", F.lower(S.safe_filename(F.concat(name, F.lit(".txt")))).alias("file_name"))
 
 
@@ -164,7 +164,7 @@ def new_or_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def article_listing(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    c = c.select("conv_id", "turn", F.substring("text", 1, 40).alias("title"),
+    c = c.select("conv_id", "turn", F.col("text").alias("title"),
                  F.col("role").alias("source"), F.col("turn").cast("string").alias("publish_date"))
     out = B.article_listing(c, ["conv_id"], ["turn"])
     return out.select("conv_id", "n_lines", F.md5("listing").alias("listing_md5"))
@@ -176,7 +176,7 @@ def path_collisions(spark: SparkSession, sf: str) -> DataFrame:
     doc_id order is the one a file store would keep."""
     d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
     rows = d.select(F.col("doc_id").cast("string").alias("url"), "doc_id",
-                    S.article_file_name(F.substring("text", 1, 60), F.col("source"), F.col("lang"))
+                    S.article_file_name(F.col("text"), F.col("source"), F.col("lang"))
                     .alias("article_file_path"))
     out = I.path_collisions(rows, ["doc_id"])
     return out.select("article_file_path", "n_articles", F.col("stored_url").alias("stored_doc"))

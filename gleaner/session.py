@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     # Unset: local runs and tests only.
     local = tempfile.mkdtemp(prefix="gleaner-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)

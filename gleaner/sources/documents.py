@@ -6,6 +6,7 @@ from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from gleaner.functions import strings as S
 from gleaner.operators.ingest import anti_known
@@ -18,7 +19,8 @@ PAPER_FIELDS = ["title", "authors", "publish_date", "url", "source_url", "source
 
 def article_documents(articles: DataFrame, fields: Sequence[str] = ARTICLE_FIELDS + ["text"]) -> DataFrame:
     """(url, body) where body is the article as one JSON text, nulls kept."""
-    return articles.select("url", S.json_document(fields).alias("body"))
+    arrays = [f for f in fields if isinstance(articles.schema[f].dataType, ArrayType)]
+    return articles.select("url", S.json_document(fields, arrays).alias("body"))
 
 
 def paged_concat(pages: DataFrame, doc: Sequence[str], page_no: str, text: str = "text",
@@ -76,7 +78,8 @@ def document_rows(articles: DataFrame, paged: Optional[DataFrame] = None,
     listing_json = S.json_document([f for f in ARTICLE_FIELDS if f in cols] + text)
     if "authors" in cols:
         # paper articles always carry an authors list; listing articles have no such key
-        paper_json = S.json_document([f for f in PAPER_FIELDS if f in cols] + text)
+        arrays = [f for f in PAPER_FIELDS if f in cols and isinstance(articles.schema[f].dataType, ArrayType)]
+        paper_json = S.json_document([f for f in PAPER_FIELDS if f in cols] + text, arrays)
         doc_json = F.when(F.col("authors").isNotNull(), paper_json).otherwise(listing_json)
     else:
         doc_json = listing_json

@@ -2,12 +2,13 @@
 
 Layout under ``root`` (a folder in shared storage):
 
-    data/batch_id=N/part-*.parquet    rows inserted by run N
-    commits/batch_id=N/part-*.parquet one marker row per finished run
+    data/batch_id=N/attempt=A/part-*.parquet  rows that attempt A of run N wrote
+    commits/batch_id=N/part-*.parquet         one marker row per finished run
 
-A run writes its new rows into its own partition (dynamic partition overwrite,
-so a retried run replaces its partial output instead of duplicating it) and
-then its commit marker.  Readers see committed runs only.  ``is_new`` is not
+An attempt writes its new rows into a folder of its own and then the run's commit
+marker, which names the attempt (and, for a stream, its micro-batch).  Readers see
+the rows of committed attempts only, so what a failed attempt left behind is never
+read, also when the retry has no rows.  ``is_new`` is not
 stored: it is ``batch_id == last committed run``, which is exactly "clear the
 flag on every old row, set it on the rows of this run" without rewriting the
 old rows.  A run that inserts nothing still commits, so all flags clear.
@@ -15,8 +16,10 @@ old rows.  A run that inserts nothing still commits, so all flags clear.
 
 from __future__ import annotations
 
+import uuid
 from typing import Optional
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,8 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("is_new", T.BooleanType()),
 ])
 
+COMMIT_SCHEMA = "batch_id long, attempt string, stream string, stream_batch long, committed_at timestamp"
+
 # Column order of the registry file format (header line of the CSV form).
 REGISTRY_HEADER = ["url", "article_file_path", "title", "source", "publish_date", "has_text", "is_new"]
 
@@ -55,30 +60,65 @@ class RegistryStore:
         row = self.spark.read.parquet(self.commits_path).agg(F.max("batch_id")).first()
         return None if row[0] is None else int(row[0])
 
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(self.commits_path)
+
+    def _committed(self) -> Optional[DataFrame]:
+        """Rows of committed attempts; None while there are none."""
+        if not self._exists(self.commits_path) or not self._exists(self.data_path):
+            return None
+        try:
+            rows = self.spark.read.parquet(self.data_path)
+        except AnalysisException:                # no run has written a row yet
+            return None
+        # one row per run: a small side, and pruned by run
+        return rows.join(self._commits().select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi")
+
+    def run_of(self, stream: str, stream_batch: int) -> Optional[int]:
+        """The run that committed a stream's micro-batch, if it is committed."""
+        if not self._exists(self.commits_path):
+            return None
+        row = (self._commits().where((F.col("stream") == stream) & (F.col("stream_batch") == stream_batch))
+               .agg(F.max("batch_id")).first())
+        return None if row[0] is None else int(row[0])
+
     def read(self, upto: Optional[int] = None) -> DataFrame:
         """Registry rows of committed runs with the derived ``is_new`` flag."""
         cur = self.current_batch() if upto is None else upto
-        if cur is None or not self._exists(self.data_path):
+        committed = self._committed()
+        if cur is None or committed is None:
             empty = self.spark.createDataFrame([], REGISTRY_SCHEMA)
             return empty.withColumn("batch_id", F.lit(None).cast("long"))
-        rows = (self.spark.read.parquet(self.data_path)
-                .where(F.col("batch_id") <= F.lit(cur)))       # partition pruning
+        rows = committed.where(F.col("batch_id") <= F.lit(cur)).drop("attempt")       # partition pruning
         return rows.withColumn("is_new", F.col("batch_id") == F.lit(cur))
 
     def known_urls(self, before: int) -> DataFrame:
         """URLs of runs before ``before`` (a replayed run must not see its own rows)."""
-        if not self._exists(self.data_path):
+        committed = self._committed()
+        if committed is None:
             return self.spark.createDataFrame([], "url string")
-        return (self.spark.read.parquet(self.data_path)
-                .where(F.col("batch_id") < F.lit(before)).select("url"))
+        return committed.where(F.col("batch_id") < F.lit(before)).select("url")
 
     # -- writing ----------------------------------------------------------
-    def commit(self, new_rows: DataFrame, batch_id: int) -> None:
+    def write_attempt(self, new_rows: DataFrame, batch_id: int) -> str:
+        """Write the new rows of run ``batch_id``; the attempt's name.  Nothing is
+        visible before ``mark`` names it."""
+        attempt = uuid.uuid4().hex
+        out = (new_rows.drop("is_new").withColumn("batch_id", F.lit(batch_id).cast("long"))
+               .withColumn("attempt", F.lit(f"a{attempt}")))
+        out.write.mode("append").partitionBy("batch_id", "attempt").parquet(self.data_path)
+        return f"a{attempt}"
+
+    def commit(self, new_rows: DataFrame, batch_id: int, stream: Optional[str] = None,
+               stream_batch: Optional[int] = None) -> None:
         """Write the new rows of run ``batch_id`` and mark the run committed."""
-        out = new_rows.drop("is_new").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(self.data_path))
+        self.mark(batch_id, self.write_attempt(new_rows, batch_id), stream, stream_batch)
+
+    def mark(self, batch_id: int, attempt: str, stream: Optional[str] = None,
+             stream_batch: Optional[int] = None) -> None:
         marker = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
+                                            F.lit(attempt).alias("attempt"), F.lit(stream).cast("string").alias("stream"),
+                                            F.lit(stream_batch).cast("long").alias("stream_batch"),
                                             F.current_timestamp().alias("committed_at"))
         (marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("batch_id").parquet(self.commits_path))

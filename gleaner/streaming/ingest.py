@@ -2,16 +2,17 @@
 
 Crawled pages arrive as files; each micro-batch is one ingest run: extract
 links, keep the first per URL, drop URLs registered by earlier runs, append
-the new rows as run ``batch_id`` and commit.  The run id is the stream's
-batch id, and the registry overwrites that run's partition, so a micro-batch
-replayed after a failure writes the same rows again instead of duplicating
-them.  Dedup against the registry happens in the batch (a join with the
+the new rows as the registry's next run and commit.  The commit marker names the
+stream and its micro-batch: a micro-batch that is replayed after its commit finds
+its run and writes the same rows again; one that failed before it takes the next
+run id, and what it had written stays unseen.  Batch runs and streams, also
+restarted with a fresh checkpoint, can share a registry.  Dedup against the registry happens in the batch (a join with the
 table), not in streaming state, so state does not grow with the URL count.
 """
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,20 @@ from gleaner.sources.registry import RegistryStore
 
 def run_stream_ingest(spark: SparkSession, stream: DataFrame, store: RegistryStore,
                       to_articles: Callable[[DataFrame], DataFrame], order: list,
-                      checkpoint: str, available_now: bool = True):
-    """Start (and, with ``available_now``, finish) the ingest stream."""
+                      checkpoint: str, available_now: bool = True, stream_id: Optional[str] = None):
+    """Start (and, with ``available_now``, finish) the ingest stream.
+
+    ``stream_id`` names the stream in the registry's log; by default a name kept
+    with the checkpoint's query id, so that a fresh checkpoint is another stream."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         articles = to_articles(batch)
-        rows = new_registry_rows(articles, store.known_urls(before=batch_id), order)
-        store.commit(rows, batch_id)
+        name = stream_id or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        run = store.run_of(name, batch_id)
+        if run is None:
+            run = store.next_batch_id()
+        rows = new_registry_rows(articles, store.known_urls(before=run), order)
+        store.commit(rows, run, name, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

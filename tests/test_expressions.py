@@ -106,10 +106,11 @@ def test_site_list(spark, tmp_path):
 
 
 def test_classify_commands(spark):
-    cmds = ["0", "2", "3", "-1", " 1 ", "/bye", "text", "", "1_0"]
+    cmds = ["0", "2", "3", "-1", " 1 ", "/bye", "text", "", "1_0", "99999999999", "9" * 50, "+1"]
     got = _one_col(spark, cmds, lambda c: B.classify_command(c, 3))
     # "1_0": an integer to Python, text to Spark (documented divergence)
-    assert got == ["option", "option", "invalid", "invalid", "option", "exit", "query", "query", "query"]
+    assert got == ["option", "option", "invalid", "invalid", "option", "exit", "query", "query", "query",
+                   "invalid", "invalid", "option"]
 
 
 def test_listing_line(spark):
@@ -118,6 +119,12 @@ def test_listing_line(spark):
     assert r[0] == "\t0) T - s, None\n"
 
 
+def test_json_document_arrays(spark):
+    df = spark.createDataFrame([(["a", 'b"c'],), (None,), ([],)], "authors array<string>")
+    got = [r[0] for r in df.select(S.json_document(["authors"], ["authors"])).collect()]
+    assert got == ['{"authors": ["a", "b\\"c"]}', '{"authors": null}', '{"authors": []}']
+
+
 def test_json_document(spark):
     df = spark.createDataFrame([("t\"x", None, "é")], "title string, publish_date string, source string")
     (r,) = df.select(S.json_document(["title", "publish_date", "source"])).collect()

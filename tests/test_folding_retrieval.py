@@ -109,6 +109,12 @@ def test_catalog_ties_and_single_doc(spark):
     assert [r.tool_name for r in one] == ["vector_tool_same", "summary_tool_same"]
 
 
+def test_tree_reduce_loses_no_node(spark):
+    rows = [("d", i, f"text of node {i} " * 5, 9) for i in range(9)]
+    whole = R.tree_reduce(spark.createDataFrame(rows, "doc string, pos long, text string, n long"), "doc", fanout=4).first()
+    assert whole.summary == " ".join(r[2] for r in rows)
+
+
 def test_tree_reduce_levels(spark):
     rows = [(1, p, f"node{p}", 9) for p in range(9)] + [(2, 0, "only", 1)]
     nodes = spark.createDataFrame(rows, "doc long, pos long, text string, n long")

@@ -45,6 +45,27 @@ def test_store_runs_flags_and_replay(spark):
     assert got == [("u1", False), ("u2", False), ("u3", True)]
 
 
+def test_a_failed_attempt_is_never_read(spark):
+    store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
+    b = _batch(spark, [("u1", "a", "s", None, "t", 0)])
+    store.commit(I.new_registry_rows(b, None, ORDER), 0)
+    # run 1 writes its rows and dies before its marker; the retry has nothing new
+    ghost = _batch(spark, [("ghost", "g", "s", None, "t", 0)])
+    store.write_attempt(I.new_registry_rows(ghost, None, ORDER), 1)
+    assert [r.url for r in store.read().collect()] == ["u1"]
+    store.commit(I.new_registry_rows(b, store.known_urls(1), ORDER), 1)
+    assert [(r.url, r.is_new) for r in store.read().collect()] == [("u1", False)]
+    assert [r.url for r in store.known_urls(2).collect()] == ["u1"]
+
+
+def test_a_registry_without_rows(spark):
+    store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
+    b = _batch(spark, [])
+    for run in range(2):
+        store.commit(I.new_registry_rows(b, store.known_urls(run), ORDER), run)
+    assert store.read().count() == 0 and store.next_batch_id() == 2
+
+
 def test_registry_csv_roundtrip(spark):
     store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
     b = _batch(spark, [("u1", "a", "s", None, "t", 0)])
@@ -102,7 +123,7 @@ def test_plan_body_stage_after_anti_join(spark):
     pages = spark.createDataFrame([(0, "https://ai.meta.com/blog/", LISTING)], "site_pos int, url string, html string")
     known = spark.createDataFrame([("https://ai.meta.com/blog/two/",)], "url string")
     art = spark.createDataFrame([("https://ai.meta.com/blog/one/", BODY)], "url string, html string")
-    plan = crawl.ingest_run(pages, known, art)._jdf.queryExecution().executedPlan().toString()
+    plan = crawl.ingest_run(pages, known, art, as_of="2025-01-31")._jdf.queryExecution().executedPlan().toString()
     # the body stage (ArrowEvalPython over the article pages) reads only URLs that
     # survived keep-first and the registry anti-join
     assert "LeftAnti" in plan and "LeftSemi" in plan

@@ -39,6 +39,31 @@ def test_stream_ingest_batches_and_restart(spark):
     assert store.current_batch() == 1 and store.read().count() == len(rows)
 
 
+def test_fresh_checkpoint_on_a_filled_registry(spark):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    src = shared_path(spark, "test-stream-src", unique=True)
+    for k in range(3):
+        pages.where(F.col("page_id") % 3 == k).coalesce(1).write.parquet(f"{src}/p{k}")
+    store = RegistryStore(spark, shared_path(spark, "test-stream-reg", unique=True))
+    old = spark.createDataFrame([("u1", "a", "s", None, "t", 0)],
+                                "url string, title string, source string, publish_date string, text string, pos int")
+    from gleaner.operators.ingest import new_registry_rows
+    store.commit(new_registry_rows(old, None, ["pos"]), 0)
+
+    def run(ckpt):
+        stream = (spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", True).parquet(src))
+        run_stream_ingest(spark, stream, store, _nav_articles, ["page_id", "pos"], ckpt)
+
+    run(shared_path(spark, "test-stream-ckpt", unique=True))
+    rows = store.read().collect()
+    assert store.current_batch() == 3 and "u1" in {r.url for r in rows}
+    assert len(rows) == len({r.url for r in rows}) == _nav_articles(pages).select("url").distinct().count() + 1
+    # the same files through another checkpoint: three more runs, no row twice or lost
+    run(shared_path(spark, "test-stream-ckpt", unique=True))
+    assert store.current_batch() == 6 and store.read().count() == len(rows)
+
+
 def test_stream_state_equals_batch(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     src = shared_path(spark, "test-state-src", unique=True)
