@@ -37,7 +37,7 @@ from gleaner.llm.util import drop, store
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, GENERATIONS, KEEP_FILL = 4, 4, 0.998
-MEMO = 500_000
+MEMO, SLICE = 150_000, 10_000
 
 
 # --- tokens ---------------------------------------------------------------------
@@ -73,8 +73,10 @@ class WordIds:
             core_of[w] = core.lower() if core.isascii() else core
         parts = {*core_of.values(), *(w[len(c):] for w, c in core_of.items())}
         new = [p for p in parts if p and p not in self.parts]
-        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[p] = self.raw(e.ids)
+        for at in range(0, len(new), SLICE):        # an encoding is far larger than its ids
+            part = new[at:at + SLICE]
+            for p, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
+                self.parts[p] = self.raw(e.ids)
         get = self.parts.get
         for w, c in core_of.items():
             memo[w] = get(c, b"") + get(w[len(c):], b"")
@@ -102,7 +104,7 @@ def pieces(docs: DataFrame, spec: str) -> DataFrame:
     def run(batches):
         ids = WordIds(vocabulary.value)
         for batch in batches:
-            step = max(1, int(batch.num_rows * 8e6 / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * 6e6 / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 cols = batch.slice(at, step).to_pydict()
                 out = []
