@@ -37,7 +37,7 @@ from gleaner.llm.util import drop, store
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, GENERATIONS, KEEP_FILL = 4, 4, 0.998
-MEMO, SLICE = 150_000, 10_000
+MEMO, SLICE = 400_000, 10_000
 
 
 # --- tokens ---------------------------------------------------------------------
@@ -84,8 +84,7 @@ class WordIds:
     def of(self, texts: list) -> list[bytes]:
         """Little-endian ids of every text."""
         words = [(t or "").split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        self.memo.clear()                           # words of this batch; their parts are kept
         if len(self.parts) > MEMO:
             self.parts.clear()
         self.learn(set().union(*words).difference(self.memo))
