@@ -18,10 +18,6 @@ from pyspark.sql import types as T
 from gleaner.functions import extract as X
 
 PF = "pf_"
-# Dispatch is a CASE chain compiled into the projection: no join, no shuffle.
-# The chain is built from the profile list held by the driver (configuration,
-# not data); its length is bounded here.
-MAX_PROFILES = 512
 
 
 @dataclass(frozen=True)
@@ -75,11 +71,10 @@ def dispatch(df: DataFrame, profiles: Iterable[Profile], url_col: str = "url",
     ``order`` is ``rank`` (listing dispatch) or ``body_rank`` (body dispatch,
     its own order; profiles without a body rule are skipped).  Unmatched rows
     get null profile columns.  The result is a pure projection: a ``CASE``
-    chain evaluated row by row, first match wins.
+    chain evaluated row by row, first match wins.  The chain is as long as the
+    profile list, which is configuration and does not grow with the data.
     """
     profs = [p for p in profiles if getattr(p, order) is not None]
-    if len(profs) > MAX_PROFILES:
-        raise ValueError(f"{len(profs)} profiles exceed the dispatch bound {MAX_PROFILES}")
     profs.sort(key=lambda p: getattr(p, order))
     url = F.col(url_col)
     chain = None

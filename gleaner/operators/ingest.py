@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
 from gleaner.functions import strings as S
-from gleaner.session import materialize_if_costly
 
 ARTICLE_COLUMNS = ["title", "publish_date", "url", "source_url", "source"]
 
@@ -65,47 +64,14 @@ def dedup_first(df: DataFrame, order: Sequence[str], key: str = "url") -> DataFr
     return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-# Largest number of distinct batch keys that is broadcast to filter a large
-# known table map-side (about 100 bytes per URL -> ~25 MB).
-BROADCAST_KEYS_LIMIT = 250_000
-# Known tables estimated below this size are anti-joined directly (AQE
-# broadcasts them when small); the reduction pays off only for large ones.
-LARGE_KNOWN_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate (file sizes for scans; no job runs).  Unknown
-    when the plan cannot be inspected: then treated as large."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return 1 << 62
-
-
-def anti_known(df: DataFrame, known: DataFrame, key: str = "url",
-               broadcast_limit: Optional[int] = None) -> DataFrame:
+def anti_known(df: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
     """Rows whose key is not in ``known`` (exact, case-sensitive; null keys stay).
 
-    Default: a shuffled anti-join (both sides hash-partition on the key; AQE
-    broadcasts the known side at run time when it turns out small).
-
-    With ``broadcast_limit`` and a known table estimated above
-    ``LARGE_KNOWN_BYTES`` (a small batch against a huge registry): the
-    distinct batch keys are counted (``df`` is materialized for that); when there
-    are at most ``broadcast_limit`` of them they are broadcast and the known
-    table is semi-joined against them map-side, so the registry is scanned
-    and filtered without being shuffled; the batch is then anti-joined with
-    the few hits.  Above the limit the plain shuffled anti-join is used.
+    A shuffled anti-join: both sides hash-partition on the key.  Nothing is
+    broadcast on assumption; AQE broadcasts the known side at run time when it
+    measures it as small.
     """
-    k = known.select(key).where(F.col(key).isNotNull())
-    if broadcast_limit is None or estimated_bytes(k) < LARGE_KNOWN_BYTES:
-        return df.join(k, key, "left_anti")
-    df = materialize_if_costly(df)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    if keys.count() > broadcast_limit:
-        return df.join(k, key, "left_anti")
-    hits = k.join(F.broadcast(keys), key, "left_semi").distinct()
-    return df.join(hits, key, "left_anti")
+    return df.join(known.select(key).where(F.col(key).isNotNull()), key, "left_anti")
 
 
 def semi_known(df: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
@@ -121,8 +87,7 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 
 def new_registry_rows(batch: DataFrame, known_urls: Optional[DataFrame], order: Sequence[str],
-                      docs_dir: str = "docs",
-                      broadcast_limit: Optional[int] = BROADCAST_KEYS_LIMIT) -> DataFrame:
+                      docs_dir: str = "docs") -> DataFrame:
     """Batch of articles -> registry rows to insert (insert-only upsert).
 
     Rows with a null/empty URL are rejected, the first article per URL wins,
@@ -133,7 +98,7 @@ def new_registry_rows(batch: DataFrame, known_urls: Optional[DataFrame], order:
     b = batch.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     b = dedup_first(b, order)
     if known_urls is not None:
-        b = anti_known(b, known_urls, broadcast_limit=broadcast_limit)
+        b = anti_known(b, known_urls)
     pdf = F.nullif(F.col("pdf_url"), F.lit("")).isNotNull() if "pdf_url" in cols else F.lit(False)
     text = F.col("text") if "text" in cols else F.lit(None).cast("string")
     return b.select(
@@ -153,7 +118,7 @@ def upsert(registry: DataFrame, batch: DataFrame, order: Sequence[str],
            docs_dir: str = "docs") -> DataFrame:
     """Whole-table view of the insert-only upsert: every old row loses ``is_new``,
     unseen URLs are appended with ``is_new = true``; old rows never change."""
-    new = new_registry_rows(batch, registry, order, docs_dir, broadcast_limit=None).withColumn("is_new", F.lit(True))
+    new = new_registry_rows(batch, registry, order, docs_dir).withColumn("is_new", F.lit(True))
     old = registry.withColumn("is_new", F.lit(False))
     return old.unionByName(new, allowMissingColumns=True)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import materialize_if_costly, path_exists
+from gleaner.session import materialize, path_exists
 
 # Chunk size and overlap in tokens, passages per vector query,
 # tools per question.
@@ -200,39 +200,53 @@ def _block_topk(k: int, exclude_self: bool, scope_cols: Sequence[str], tie_digit
     return fn
 
 
+def with_blocks(q: DataFrame, c: DataFrame, scope: Optional[str], q_block: int,
+                c_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_qb`` and ``_cb``, every row once per block of the other side.
+
+    Without ``scope`` the numbers of blocks are two scalars; with it they come
+    from a count per scope value, and rows whose scope the other side lacks go."""
+    if scope is None:
+        sizes = {"_B": max(1, math.ceil(q.count() / q_block)), "_C": max(1, math.ceil(c.count() / c_block))}
+        q, c = (df.withColumns({n: F.lit(v).cast("long") for n, v in sizes.items()}) for df in (q, c))
+    else:
+        n_q, n_c = (df.groupBy(F.col(scope).alias(s)).agg(F.ceil(F.count(F.lit(1)) / n).alias(b))
+                    for df, s, n, b in ((q, "_s", q_block, "_B"), (c, "_t", c_block, "_C")))
+        sizes = n_q.join(n_c, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+        q, c = (df.join(sizes, F.col(scope).eqNullSafe(F.col("_s"))).drop("_s") for df in (q, c))
+
+    def others(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    q = q.select("*", F.pmod(F.xxhash64("qid"), F.col("_B")).alias("_qb"), others("_C").alias("_cb"))
+    c = c.select("*", F.pmod(F.xxhash64("cid"), F.col("_C")).alias("_cb"), others("_B").alias("_qb"))
+    return q.drop("_B", "_C"), c.drop("_B", "_C")
+
+
 def cosine_topk(queries: DataFrame, collection: DataFrame, k: int,
                 qid: str, cid: str, qvec: str = "embedding", cvec: str = "embedding",
                 scope: Optional[str] = None, exclude_self: bool = False,
                 q_block: int = 2048, c_block: int = 8192, tie_digits: int = 9) -> DataFrame:
     """Exact top-k by cosine similarity for every query: (qid, cid, sim, rank).
 
-    Blocked nested loop without pair rows: queries are split into ``B`` blocks
-    and the collection into ``C`` blocks (by id hash); each (query block,
+    Blocked nested loop without pair rows: queries and collection are split into
+    blocks of about ``q_block`` and ``c_block`` rows by id hash; each (query block,
     collection block[, scope]) group meets once in a ``cogroup`` and numpy keeps
-    the best ``k`` per query of that block.  At most ``k * C`` candidates per
-    query are shuffled to the final ``row_number() <= k`` (a partial
-    ``WindowGroupLimit``).  A hot scope is split over ``C`` blocks, so no
-    group exceeds ``q_block x c_block`` vectors.  ``scope`` limits matches to
-    rows with the same scope value (per-document search).  Similarities are
-    compared at ``tie_digits`` decimals (float noise is not an order); ties go
-    to the lower id.
+    the best ``k`` per query of that block.  ``scope`` limits matches to rows with
+    the same scope value (per-document search); the numbers of blocks are then
+    those of the scope's own rows, so a question is copied only as often as its
+    scope has blocks, and a hot scope is split.  At most ``k`` candidates per query
+    and block are shuffled to the final ``row_number() <= k`` (a partial
+    ``WindowGroupLimit``).  Similarities are compared at ``tie_digits`` decimals
+    (float noise is not an order); ties go to the lower id.
     """
     sc = [scope] if scope else []
-    # The inputs are read twice (sizes, then the blocks): materialize the
-    # projected vectors once in the shared checkpoint folder so an upstream
-    # embedding runs once.
-    q = materialize_if_costly(queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"),
-                                   *[F.col(s) for s in sc]))
-    c = materialize_if_costly(collection.select(F.col(cid).alias("cid"), F.col(cvec).alias("cvec"),
-                                      *[F.col(s) for s in sc]))
-    n_q = q.count()
-    n_c = c.count()
-    B = max(1, math.ceil(n_q / q_block))
-    C = max(1, math.ceil(n_c / c_block))
-    q = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(B)).alias("_qb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(C - 1).cast("long"))).alias("_cb"))
-    c = c.select("*", F.pmod(F.xxhash64("cid"), F.lit(C)).alias("_cb"),
-                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long"))).alias("_qb"))
+    # The inputs are read twice (sizes, then the blocks): write the projected
+    # vectors once in the shared checkpoint folder so an upstream embedding
+    # runs once.
+    q = materialize(queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *sc))
+    c = materialize(collection.select(F.col(cid).alias("cid"), F.col(cvec).alias("cvec"), *sc))
+    q, c = with_blocks(q, c, scope, q_block, c_block)
     keys = [*sc, "_qb", "_cb"]
     qt = dict(queries.select(F.col(qid)).dtypes)[qid]
     ct = dict(collection.select(F.col(cid)).dtypes)[cid]
@@ -299,7 +313,7 @@ def tree_reduce(nodes: DataFrame, doc: str, fanout: int = 4, combine: Optional[C
     if n_levels is None:
         # one scalar decides the depth; the nodes are materialized so the
         # levels do not recompute them
-        nodes = materialize_if_costly(nodes)
+        nodes = materialize(nodes)
         mx = nodes.agg(F.max("n")).first()[0] or 1
         n_levels = max(1, math.ceil(math.log(mx, fanout))) if mx > 1 else 1
     cur = nodes.select(doc, "pos", "text", "n", F.lit(0).alias("level"))
@@ -334,14 +348,13 @@ class VectorIndex:
         return self.spark.read.parquet(self.path)
 
     def insert(self, chunks: DataFrame) -> None:
-        from gleaner.operators.ingest import BROADCAST_KEYS_LIMIT, anti_known, dedup_first
+        from gleaner.operators.ingest import anti_known, dedup_first
 
         keyed = chunks.withColumn("_key", F.struct(self.doc, "chunk_hash"))
         new = dedup_first(keyed, ["chunk_pos"], key="_key")
         if self._exists():
             have = self.read().select(F.struct(self.doc, "chunk_hash").alias("_key"))
-            # a large index is filtered map-side against the new keys when they are few
-            new = anti_known(new, have, key="_key", broadcast_limit=BROADCAST_KEYS_LIMIT)
+            new = anti_known(new, have, key="_key")
         new.drop("_key").write.mode("append").parquet(self.path)
 
 

@@ -84,14 +84,8 @@ def spread(df):
     round-robin repartitioned to that parallelism; otherwise (any table at
     cluster scale) it is returned unchanged, with no shuffle.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    if parts >= target:
-        return df
-    return df.repartition(target)
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
 def materialize(df, name: str = "materialized"):
@@ -104,26 +98,6 @@ def materialize(df, name: str = "materialized"):
     return df.sparkSession.read.parquet(path)
 
 
-# Logical operators that make reading a DataFrame twice cost real work.  A
-# scalar (pandas) UDF column is not listed: a count prunes it, and the second
-# read evaluates it once.
-_COSTLY_NODES = ("Aggregate", "Join", "Window", "MapInPandas", "MapInArrow",
-                 "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "Repartition",
-                 "Sort", "Expand")
-
-
-def materialize_if_costly(df, name: str = "materialized"):
-    """``materialize`` unless ``df`` is a plain scan / filter / projection
-    (then reading it twice is just two scans, and a count reads metadata)."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001 - plan not inspectable: materialize to be safe
-        return materialize(df, name)
-    if any(n in plan for n in _COSTLY_NODES):
-        return materialize(df, name)
-    return df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the (shared) file system of the session."""
     try:

@@ -171,3 +171,29 @@ def test_range_buckets_split_a_hot_key(spark):
     got = scan.previous_value(b, ["k"], ["pos"], "v", F.col("_rb"), out="p")
     want = df.select("k", "pos", F.lag("v").over(Window.partitionBy("k").orderBy("pos")).alias("p"))
     assert sorted(tuple(r) for r in got.select("k", "pos", "p").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_scoped_blocks_follow_each_scope(spark):
+    """A question is copied as often as its own scope has blocks; results are exact."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    scopes = [None] * 3 + ["hot"] * 90 + ["s1"] * 4 + ["lone"]
+    coll = [(i, s, rng.normal(size=4).tolist()) for i, s in enumerate(scopes)]
+    ques = [(1000 + i, s, rng.normal(size=4).tolist()) for i, s in enumerate(["hot", "hot", "hot", "s1", None, "none"])]
+    c = spark.createDataFrame(coll, "cid long, doc string, embedding array<double>")
+    q = spark.createDataFrame(ques, "qid long, doc string, embedding array<double>")
+    qb, cb = R.with_blocks(q, c, "doc", 2, 10)
+    copies = {r.qid: r["count"] for r in qb.groupBy("qid").count().collect()}
+    assert copies == {1000: 9, 1001: 9, 1002: 9, 1003: 1, 1004: 1}
+    assert {r.doc: r["count"] for r in cb.groupBy("doc").count().collect()} == {None: 3, "hot": 180, "s1": 4}
+    got = {}
+    for r in R.cosine_topk(q, c, 2, "qid", "cid", scope="doc", q_block=2, c_block=10).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.cid
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    want = {}
+    for i, s, v in ques:
+        best = sorted((-cos(v, w), j) for j, t, w in coll if t == s)[:2]
+        if best:
+            want[i] = {k + 1: j for k, (_, j) in enumerate(best)}
+    assert got == want

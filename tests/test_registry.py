@@ -129,15 +129,12 @@ def test_plan_body_stage_after_anti_join(spark):
     assert "LeftAnti" in plan and "LeftSemi" in plan
 
 
-def test_anti_join_reduction_path_equals_plain(spark, monkeypatch):
-    monkeypatch.setattr(I, "LARGE_KNOWN_BYTES", 0)          # treat the known side as huge
+def test_anti_join_has_no_forced_broadcast(spark):
     df = spark.range(1000).select((F.col("id") % 300).cast("string").alias("url"), "id")
     known = spark.range(0, 300, 7).select(F.col("id").cast("string").alias("url"))
-    plain = sorted(I.anti_known(df, known).collect())
-    reduced = I.anti_known(df, known, broadcast_limit=10_000)
-    assert "BroadcastExchange" in reduced._jdf.queryExecution().executedPlan().toString()
-    assert sorted(reduced.collect()) == plain
-    assert sorted(I.anti_known(df, known, broadcast_limit=10).collect()) == plain   # over the bound
+    got = I.anti_known(df, known)
+    assert "strategy=broadcast" not in got._jdf.queryExecution().logical().toString()
+    assert sorted(r.id for r in got.collect()) == [i for i in range(1000) if i % 300 % 7]
 
 
 def test_cap_then_link_filter_then_known(spark):
