@@ -37,7 +37,7 @@ from gleaner.llm.util import drop, store
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, GENERATIONS, KEEP_FILL = 4, 4, 0.998
-MEMO, SLICE = 400_000, 10_000
+MEMO, SLICE, LINE = 400_000, 10_000, 500
 
 
 # --- tokens ---------------------------------------------------------------------
@@ -73,7 +73,11 @@ class WordIds:
             core_of[w] = core.lower() if core.isascii() else core
         parts = {*core_of.values(), *(w[len(c):] for w, c in core_of.items())}
         new = [p for p in parts if p and p not in self.parts]
-        for at in range(0, len(new), SLICE):        # an encoding is far larger than its ids
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        for at in range(0, len(plain), SLICE):      # an encoding is far larger than its ids
+            self.learn_line(plain[at:at + SLICE])
+        new = [p for p in new if p not in self.parts]
+        for at in range(0, len(new), SLICE):
             part = new[at:at + SLICE]
             for p, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
                 self.parts[p] = self.raw(e.ids)
@@ -81,6 +85,20 @@ class WordIds:
         for w, c in core_of.items():
             memo[w] = get(c, b"") + get(w[len(c):], b"")
 
+    def learn_line(self, parts: list[str]) -> None:
+        """Ids of parts of ASCII letters, a line of ``LINE`` parts an encoding: the
+        tokenizer numbers its words, and a part is one word.  A line whose words
+        are not its parts is left for the caller."""
+        lines = [parts[k:k + LINE] for k in range(0, len(parts), LINE)]
+        for line, e in zip(lines, self.t.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+            word = np.array([-1 if w is None else w for w in e.word_ids])
+            at = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
+            if len(at) != len(line) + 1:
+                continue
+            ids, at = np.array(e.ids, "<u4").tobytes(), (4 * at).tolist()
+            for k, p in enumerate(line):
+                self.parts[p] = ids[at[k]:at[k + 1]]
+
     def of(self, texts: list) -> list[bytes]:
         """Little-endian ids of every text."""
         words = [(t or "").split() for t in texts]
