@@ -7,8 +7,9 @@ individual is a list of bins; crossover injects the well-filled bins of one
 parent into the other, removes the bins that hold a duplicate, and places the
 displaced pieces by best fit, longest first.  After an epoch each group's best
 packing migrates to all its islands.  At the end of an epoch the badly filled
-bins of a group are opened and their pieces dealt anew to far fewer groups, so that
-what is left over stays a vanishing share of all sequences.
+bins are dealt by hash, each whole, to as many new groups of the same size as they
+need and may be opened there, so that what is left over stays a vanishing share of
+all sequences.
 
 The table of pieces is written before packing: island tasks see lengths and ids
 only, and a lost executor costs the tasks it ran.
@@ -271,22 +272,24 @@ def pack(items: DataFrame) -> DataFrame:
     n_groups = max(1, -(-total // GROUP))
     left = items.select("doc_row", "piece", "length", F.lit(None).cast("long").alias("bin"),
                         F.pmod(F.xxhash64("doc_row", "piece"), F.lit(n_groups)).alias("grp"))
-    done, first_id, tables = None, 0, []
+    done = None
     for epoch in range(EPOCHS):
         packed = store(_epoch(left, epoch), "packed")
-        tables.append(packed)
+        # ids of bins: no group has more bins than the largest has
+        stride = (packed.agg(F.max("bin")).first()[0] or 0) + 1
+        number = F.col("grp") * F.lit(stride) + F.col("bin")
         full = packed if epoch == EPOCHS - 1 else packed.where(F.col("room") <= (1 - KEEP_FILL) * CAPACITY)
-        ids = full.select("doc_row", "piece",
-                          (F.lit(epoch) + EPOCHS * (F.col("grp") * (2 * GROUP) + F.col("bin"))).alias("sequence_id"))
+        ids = full.select("doc_row", "piece", (F.lit(epoch) + EPOCHS * number).alias("sequence_id"))
         done = ids if done is None else done.unionByName(ids)
         if epoch == EPOCHS - 1:
             break
         rest = packed.where(F.col("room") > (1 - KEEP_FILL) * CAPACITY)
         n_rest = rest.count()
         n_next = max(1, -(-n_rest // GROUP))
-        # a group's opened bins move together, as the elite of their next group
-        left = rest.select("doc_row", "piece", "length", (F.col("grp") * (2 * GROUP) + F.col("bin")).alias("bin"),
-                           F.pmod(F.xxhash64("grp"), F.lit(n_next)).alias("grp"))
+        # an opened bin moves whole, as part of the elite of its next group; dealt bin
+        # by bin, the next groups stay near GROUP pieces
+        left = rest.select("doc_row", "piece", "length", number.alias("bin"),
+                           F.pmod(F.xxhash64("grp", "bin"), F.lit(n_next)).alias("grp"))
     return done
 
 

@@ -396,6 +396,17 @@ def test_islands_never_lose_a_piece():
     assert len(packing.evolve(lengths, 2, [first])[0]) <= len(first[0])
 
 
+def test_many_groups_of_one_piece_a_bin_keep_their_sequences_apart(spark, monkeypatch):
+    """Nearly all bins stay open, so the second epoch has as many groups as the first."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rows = [(i, 0, 1025 + i * 7 % 1019) for i in range(2400)]
+    items = spark.createDataFrame(rows, "doc_row long, piece int, length long")
+    got = packing.pack(items).join(items, ["doc_row", "piece"]).toPandas()
+    assert sorted(got["doc_row"]) == list(range(2400))
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["sequence_id"].nunique() == 2400
+
+
 # --- 10 -----------------------------------------------------------------------------
 
 def test_rules_against_brute_force(docs, empty):
