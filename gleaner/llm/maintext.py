@@ -15,7 +15,8 @@ are learnt from.  A page without such markup is cut by the same weights.
 Defined cases: a null or empty html has the empty text; unclosed and stray tags,
 cut-off markup and references are read leniently; very long pages are one linear
 scan; repeated rows give repeated rows; an empty table gives an empty result;
-without labelled pages prior weights serve; extra columns are ignored.
+without labelled pages prior weights serve; extra columns are ignored.  A stray or
+unclosed quote in a tag is no string: the next ">" ends the tag.
 """
 
 from __future__ import annotations
@@ -49,8 +50,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
                    "pre section table ul".split())
 
+#: Attributes as HTML cuts them: a quote opens a string only right after the "=" of a
+#: name; any other quote, and one that is never closed, is an ordinary character.
+_ATTRS = (r"(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+          r"(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|[^ \t\n\r\f>]++)?)?)*+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+                    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HINT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")

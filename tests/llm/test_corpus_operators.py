@@ -79,6 +79,17 @@ def test_main_text_of_a_page_and_odd_pages(spark):
     assert maintext.main_text(pages.limit(0), maintext.learn(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("tag", [
+    '<p class="a"">', '<p class=""a">', "<p title=it's>", "<p title='it's'>", '<p title=5">', '<p ">', "<p a'b>", '<p"x>',
+    '<p title="a" "b>', '<p ="x>', '<p a=="x>', '<p title= >', "<p title='a>", '<p title=\xa0"a>', '<p title="a>b">', "<p title = 'a>b\"'>",
+    '<p title="a"id=\'>\'>', "<p/title='>'/>"])
+def test_a_tag_ends_where_html_ends_it(tag):
+    page = f'{tag}First words</p><p>Second words</p> the "end"' + (" of it" if tag.count("'") == 1 else "")
+    assert maintext.extract(page, {}).split() == page.replace(tag, "").replace("</p>", " ").replace("<p>", " ").split()
+    kept = [t for t in maintext.tokens(page) if t[0] == "open"]
+    assert kept[-1] == ("open", "p", False) and len(kept) == 2
+
+
 def test_best_region_is_the_maximum_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
