@@ -4,8 +4,10 @@ Documents become pieces of at most ``CAPACITY`` tokens (only longer documents ar
 cut).  Full pieces are sequences of their own.  The others are dealt by hash to
 groups of bounded size; several islands evolve packings of each group.  An
 individual is a list of bins; crossover injects the well-filled bins of one
-parent into the other, removes the bins that hold a duplicate, and places the
-displaced pieces by best fit, longest first.  After an epoch each group's best
+parent into the other, removes the bins that hold a duplicate, exchanges pieces
+of the other bins for longer displaced ones that fit, and places what is then
+displaced by best fit, longest first.  Generations go on until ``PATIENCE`` of them
+save no bin, or the lower bound is met.  After an epoch each group's best
 packing migrates to all its islands.  At the end of an epoch the badly filled
 bins are dealt by hash, each whole, to as many new groups of the same size as they
 need and may be opened there, so that what is left over stays a vanishing share of
@@ -37,7 +39,7 @@ from gleaner.llm.util import drop, store
 
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
-POPULATION, GENERATIONS, KEEP_FILL = 4, 4, 0.998
+POPULATION, PATIENCE, KEEP_FILL = 4, 10, 0.998
 MEMO, SLICE, LINE = 400_000, 10_000, 500
 
 
@@ -178,9 +180,37 @@ def cost(room: list[int], bins: list) -> tuple:
     return len(bins), -float((free ** 2).sum())
 
 
+def exchange(lengths: np.ndarray, loose: list[int], room: list[int], bins: list[list[int]]) -> list[int]:
+    """Fill bins by giving a piece for a longer loose one, the largest gain first; the
+    pieces that are loose then."""
+    size = lengths.tolist()
+    spare: dict[int, list[int]] = {}
+    have = 0                                    # bit set of the loose lengths
+    for i in loose:
+        spare.setdefault(size[i], []).append(i)
+        have |= 1 << size[i]
+    for b, x in enumerate(bins):
+        r = room[b]
+        while r > 0:
+            gain, k = max(((have >> (size[i] + 1) & ((1 << r) - 1)).bit_length(), k) for k, i in enumerate(x))
+            if not gain:
+                break
+            n, i = size[x[k]] + gain, x[k]
+            x[k] = spare[n].pop()
+            if not spare[n]:
+                del spare[n]
+                have ^= 1 << n
+            spare.setdefault(size[i], []).append(i)
+            have |= 1 << size[i]
+            r -= gain
+        room[b] = r
+    return [i for at in spare.values() for i in at]
+
+
 def cross(lengths: np.ndarray, a: tuple, b: tuple, rng) -> tuple:
     """Child of two packings: some well-filled bins of ``a``, the bins of ``b``
-    that share nothing with them, and the displaced pieces by best fit."""
+    that share nothing with them, filled by exchange, and the displaced pieces by
+    best fit."""
     (bins_a, room_a), (bins_b, room_b) = a, b
     order = np.argsort(np.array(room_a), kind="stable")
     good = order[: max(1, len(order) // 2)]
@@ -200,6 +230,7 @@ def cross(lengths: np.ndarray, a: tuple, b: tuple, rng) -> tuple:
         else:
             bins.append(list(x))
             room.append(r)
+    loose = exchange(lengths, loose, room, bins)
     loose.sort(key=lambda i: (-lengths[i], i))
     best_fit(lengths, loose, room, bins)
     return bins, room
@@ -218,13 +249,14 @@ def evolve(lengths: np.ndarray, seed: int, elite: list[tuple] | None = None) ->
         people.append((bins, room))
     lowest = -(-int(lengths.sum()) // CAPACITY)
     people.sort(key=lambda p: cost(p[1], p[0]))
-    for _ in range(GENERATIONS):
-        if len(people[0][0]) <= lowest:
-            break
+    idle = 0
+    while idle < PATIENCE and len(people[0][0]) > lowest:
+        fewest = len(people[0][0])
         i, j = rng.choice(len(people), 2, replace=False)
         people.append(cross(lengths, people[i], people[j], rng))
         people.sort(key=lambda p: cost(p[1], p[0]))
         people = people[:POPULATION]
+        idle = 0 if len(people[0][0]) < fewest else idle + 1
     return people[0]
 
 

@@ -407,6 +407,16 @@ def test_islands_never_lose_a_piece():
     assert len(packing.evolve(lengths, 2, [first])[0]) <= len(first[0])
 
 
+def test_crossover_saves_sequences_where_best_fit_is_poor():
+    lengths = np.random.default_rng(1).integers(500, 801, 2000)
+    bins = []
+    packing.best_fit(lengths, np.argsort(-lengths, kind="stable").tolist(), [], bins)
+    got, room = packing.evolve(lengths, 1)
+    assert sorted(i for b in got for i in b) == list(range(2000))
+    assert [2048 - lengths[b].sum() for b in got] == room and min(room) >= 0
+    assert len(got) <= 0.98 * len(bins)
+
+
 def test_many_groups_of_one_piece_a_bin_keep_their_sequences_apart(spark, monkeypatch):
     """Nearly all bins stay open, so the second epoch has as many groups as the first."""
     monkeypatch.setattr(packing, "GROUP", 40)
