@@ -36,7 +36,7 @@ from gleaner.llm.util import map_batches, open_fs, scratch
 
 #: The byte-level pre-tokenizer's pattern.  Fixed value.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LEXICON_WORDS, LEAST_IN_BATCH, BATCH_BYTES = 60_000, 4, 16e6
+LEXICON_WORDS, BATCH_BYTES = 60_000, 16e6
 NO_RANK = 1 << 40
 
 
@@ -341,8 +341,8 @@ class Codec:
 
 
 def frequent_pieces(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces over all documents.  Each batch is counted
-    first and reports the pieces that it holds ``LEAST_IN_BATCH`` times or more."""
+    """The most frequent pieces over all documents, whatever their batches: each
+    batch reports all its pieces with their counts, which are then added up."""
     def run(batches):
         # pieces that follow one blank, the bulk; the rest is merged exactly
         for batch in batches:
@@ -350,7 +350,6 @@ def frequent_pieces(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
             for at in range(0, batch.num_rows, step):
                 text = batch.column(0).slice(at, step).cast(pa.large_string())
                 seen = pa.compute.value_counts(pa.compute.split_pattern(text, pattern=" ").flatten())
-                seen = seen.filter(pa.compute.greater_equal(seen.field("counts"), LEAST_IN_BATCH))
                 yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts")],
                                                  names=["piece", "n"])
 

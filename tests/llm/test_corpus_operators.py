@@ -260,6 +260,15 @@ def test_codec_equals_the_library(docs, empty, spark):
     assert lexicon.encode_documents(empty, spec, lexicon.publish(spark, spec, [])).count() == 0
 
 
+def test_frequent_pieces_count_over_all_batches(spark):
+    """Words thinly spread count like others, whatever the partitions."""
+    rows = [(f"alpha w{i} beta{' beta' if i % 2 else ''} line\nend",) for i in range(40)] + [(None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string")
+    want = ["beta", "alpha", "end", "line", "w", "0", "1"]
+    for parts in (1, 42):
+        assert lexicon.frequent_pieces(docs.repartition(parts), 7) == want
+
+
 def test_lexicon_is_minimal_and_exact():
     words = sorted({f"{a}{b}{c}".encode() for a in "abc" for b in "xy" for c in ("", "ing", "ed")})
     lex = lexicon.compile_lexicon(words, np.arange(len(words)), np.ones(len(words), int))
