@@ -1,20 +1,20 @@
 """Operator 7: language identification by bit-sliced Bloom filters of n-grams.
 
-Every language owns one bit of a 64-bit word.  The filters of all languages are
-stored sliced: row ``i`` of the slice table has bit ``l`` set when position ``i``
-of the filter of language ``l`` is set, so the AND of a few rows returns all the
-languages that contain an n-gram at once.  Per-language popcounts over the
+Every language owns one bit of a row of 64-bit words, one word for 64 languages.  The
+filters of all languages are stored sliced: row ``i`` of the slice table has bit ``l``
+set when position ``i`` of the filter of language ``l`` is set, so the AND of a few
+rows, word by word, returns all the languages that contain an n-gram at once.  Per-language popcounts over the
 n-grams of a text, corrected for each filter's false-positive rate, decide.
 
 Learning counts n-grams (as 22-bit fingerprints, ``ID_BITS``) over all training
-rows: each task counts into fixed arrays, so the shuffle is bounded by
-languages x fingerprints.  A language's filter takes the n-grams whose share in
+rows: each task counts its first ``HELD`` languages into fixed arrays and hands on the
+counts of others batch by batch.  A language's filter takes the n-grams whose share in
 it is at least ``LEAST`` and at least ``RATIO`` of the highest share in any language.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; an
 empty table gives an empty result; without training rows every text is ``und``;
 ties go to the language with more training rows, then the smaller name; repeated rows give
-repeated rows; extra columns are ignored; more than 64 languages raise ValueError.
+repeated rows; extra columns are ignored; any number of languages.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from gleaner.session import table_path
 from gleaner.llm.util import crc_mod, map_batches, mix
 
 N, ID_BITS, LEAST, RATIO = 4, 22, 2e-6, 0.15
-PROBES, BITS_PER_ITEM = 3, 10
+PROBES, BITS_PER_ITEM, HELD = 3, 10, 16
 
 
 def letter_table() -> np.ndarray:
@@ -69,6 +69,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
     """(lang, id, n, total): counts of every fingerprint over all ``rows`` (text, lang)."""
     import pyarrow as pa
 
+    def counted(lang, at, n):
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n.astype(np.int64))],
+                                          names=["lang", "id", "n"])
+
     def run(batches):
         letters, counts = letter_table(), {}
         for batch in batches:
@@ -80,14 +84,15 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     by.setdefault(x, []).append(t)
                 for lang, texts in by.items():
                     ids, _, _ = grams(texts, letters)
+                    if lang not in counts and len(counts) == HELD:
+                        yield counted(lang, *np.unique(ids, return_counts=True))
+                        continue
                     if lang not in counts:
                         counts[lang] = np.zeros(1 << ID_BITS, np.int32)
                     counts[lang] += np.bincount(ids, minlength=1 << ID_BITS).astype(np.int32)
         for lang, n in sorted(counts.items()):
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))],
-                names=["lang", "id", "n"])
+            yield counted(lang, at, n[at])
 
     return (rows.select("text", "lang").mapInArrow(run, "lang string, id long, n long")
             .groupBy("lang", "id").agg(F.sum("n").alias("n")))
@@ -96,9 +101,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 def learn(rows: DataFrame) -> dict:
     """Bit-sliced filters from all ``rows`` (text, lang)."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(65).collect()]
-    if len(langs) > 64:
-        raise ValueError("more than 64 languages")
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     from pyspark.sql import Window
 
     counts = count_grams(rows)
@@ -108,15 +111,18 @@ def learn(rows: DataFrame) -> dict:
     best = F.max("share").over(Window.partitionBy("id"))
     kept = (share.withColumn("best", best).where((F.col("share") >= LEAST) & (F.col("share") >= RATIO * F.col("best")))
             .groupBy("id").agg(F.collect_set("lang").alias("langs")))
-    bit = {x: np.uint64(1 << i) for i, x in enumerate(langs)}
+    at = {x: i for i, x in enumerate(langs)}
     got = kept.toPandas().sort_values("id")
     ids = got["id"].to_numpy(np.int64)
-    masks = np.array([np.bitwise_or.reduce([bit[x] for x in ls]) for ls in got["langs"]], np.uint64)
+    row = np.repeat(np.arange(len(ids)), [len(ls) for ls in got["langs"]])
+    bit = np.array([at[x] for ls in got["langs"] for x in ls], np.int64)
+    masks = np.zeros((len(ids), max(1, -(-len(langs) // 64))), np.uint64)
+    np.bitwise_or.at(masks, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
     size = max(1024, BITS_PER_ITEM * len(ids))
-    slices = np.zeros(size, np.uint64)
+    slices = np.zeros((size, masks.shape[1]), np.uint64)
     for p in range(PROBES):
         np.bitwise_or.at(slices, probe(ids, p, size), masks)
-    fill = [((slices >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))]
+    fill = [on(slices, i).mean() for i in range(len(langs))]
     return {"langs": langs, "slices": slices, "false": np.array(fill) ** PROBES}
 
 
@@ -124,8 +130,13 @@ def probe(ids: np.ndarray, p: int, size: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64) + np.uint64((p + 1) << 40)) % np.uint64(size)).astype(np.int64)
 
 
+def on(masks: np.ndarray, i: int) -> np.ndarray:
+    """The bit of language ``i`` in each row."""
+    return (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+
+
 def languages_of(model: dict, ids: np.ndarray) -> np.ndarray:
-    """The bitmask of all languages whose filter contains each n-gram."""
+    """The words of bits of all languages whose filter contains each n-gram."""
     out = model["slices"][probe(ids, 0, len(model["slices"]))]
     for p in range(1, PROBES):
         out &= model["slices"][probe(ids, p, len(model["slices"]))]
@@ -138,8 +149,7 @@ def predict(model: dict, texts: list, letters: np.ndarray) -> tuple[list, np.nda
     masks = languages_of(model, ids)
     hits = np.zeros((len(texts), max(len(model["langs"]), 1)))
     for i in range(len(model["langs"])):
-        on = ((masks >> np.uint64(i)) & np.uint64(1)).astype(float)
-        hits[:, i] = np.bincount(doc, on, len(texts))
+        hits[:, i] = np.bincount(doc, on(masks, i).astype(float), len(texts))
         hits[:, i] = np.maximum(hits[:, i] - sizes * model["false"][i], 0) / (1 - model["false"][i] + 1e-12)
     total = hits.sum(1)
     best = hits.argmax(1) if len(texts) else np.zeros(0, int)

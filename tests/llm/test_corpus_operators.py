@@ -298,6 +298,30 @@ def test_languages_on_held_out_documents(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_more_languages_than_one_word_holds(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(150):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(10 * k + j, " ".join(rng.choice(words, 30)), f"l{k:03}") for j in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.learn(table.where("doc_id % 10 < 2"))
+    assert len(model["langs"]) == 150 and model["slices"].shape[1] == 3
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) >= 0.99
+
+
+@pytest.mark.parametrize("held", [1, 16])
+def test_grams_are_counted_whole_whatever_is_held(spark, monkeypatch, held):
+    monkeypatch.setattr(langid, "HELD", held, raising=False)
+    rows = [(f"word{i % 5} text of it {chr(97 + i)}", f"l{i % 4}") for i in range(24)]
+    want = collections.Counter()
+    for text, lang in rows:
+        want.update((lang, int(i)) for i in langid.grams([text], langid.letter_table())[0])
+    got = langid.count_grams(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert {(r["lang"], r["id"]): r["n"] for r in got.collect()} == want
+
+
 def test_bit_slices_return_every_language():
     ids = np.arange(2000)
     size = 20_000
