@@ -189,7 +189,8 @@ def write_normalised(files: DataFrame, folder: str) -> DataFrame:
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read every indexed record by its offset: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, and whether it holds what it says."""
+    payload_digest, record_type, refers_to, and whether it holds what it says: a
+    revisit does if a response of the page it refers to was read with its digest and size."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("intact", pa.bool_())])
 
@@ -219,8 +220,14 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if f:
             f.close()
 
-    return index.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
-                                 "refers_to long, url string, intact boolean")
+    read = store(index.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
+                                       "refers_to long, url string, intact boolean"), "warc-read")
+    # one row per page and payload that were read
+    found = (read.where("record_type = 'response'").groupBy("page_id", "payload_digest", "payload_bytes").agg(F.lit(True).alias("found"))
+             .withColumnRenamed("page_id", "refers_to"))
+    return (read.join(found, ["refers_to", "payload_digest", "payload_bytes"], "left")
+            .withColumn("intact", F.when(F.col("record_type") == "revisit", F.col("found").isNotNull()).otherwise(F.col("intact")))
+            .select(*read.columns))
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:

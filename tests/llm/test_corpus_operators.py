@@ -134,6 +134,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(index, folder).count() == 0
 
 
+def test_a_revisit_is_intact_only_with_its_payload(spark):
+    long = "y\r\n" * 60
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", long + "z")], "page_id long, url string, html string")
+    index, folder = warc.archive(pages)
+
+    def intact(index):
+        return rows_of(warc.read_records(index, folder), "page_id", "intact")
+
+    to = F.when(F.col("page_id") == 2, F.lit(3).cast("long")).otherwise(F.col("refers_to"))
+    assert intact(index) == [(1, True), (2, True), (3, True)]
+    assert intact(index.where("page_id <> 1")) == [(2, False), (3, True)]
+    assert intact(index.withColumn("refers_to", to)) == [(1, True), (2, False), (3, True)]
+
+
+def test_archive_rows_equal_the_sql(spark):
+    import duckdb
+
+    got = warc.op3_warc_normaliser(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({warc.SQL})").fetchall()
+    assert rows_of(got, *got.columns) == sorted(want, key=repr)
+
+
 def test_normaliser_makes_one_member_per_record():
     import gzip
     import io
