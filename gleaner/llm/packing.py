@@ -25,8 +25,6 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from struct import pack as struct_pack
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -35,104 +33,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import drop, store
+from gleaner.llm.util import slices, store
+from gleaner.llm.wordbpe import encoder, ended, vocabulary_text
 
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, PATIENCE, KEEP_FILL = 4, 10, 0.998
-MEMO, SLICE, LINE = 400_000, 10_000, 500
+BATCH_BYTES = 8e6
 
 
 # --- tokens ---------------------------------------------------------------------
 
-class WordIds:
-    """Ids of texts, encoding each distinct white-space word once (a memo of
-    bounded size).  The tokenizer drops white space and cuts at it, so words are
-    independent; a text with separators that only one side sees as white space
-    is encoded whole."""
-
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_str(spec)
-        self.t.no_truncation()
-        self.t.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def raw(self, ids) -> bytes:
-        return struct_pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: set[str]) -> None:
-        """Memo entries of the words that lack one.  The tokenizer cuts letters from
-        marks, so a word of letters before points and commas is its two parts."""
-        memo, core_of = self.memo, {}
-        for w in words:
-            core = w.rstrip(".,")
-            if not (core.isalpha() and (core.isascii() or core.lower().isalpha() and is_normalized("NFC", core))):
-                core = w                       # marks may join what the normaliser makes of it
-            core_of[w] = core.lower() if core.isascii() else core
-        parts = {*core_of.values(), *(w[len(c):] for w, c in core_of.items())}
-        new = [p for p in parts if p and p not in self.parts]
-        plain = [p for p in new if p.isascii() and p.isalpha()]
-        for at in range(0, len(plain), SLICE):      # an encoding is far larger than its ids
-            self.learn_line(plain[at:at + SLICE])
-        new = [p for p in new if p not in self.parts]
-        for at in range(0, len(new), SLICE):
-            part = new[at:at + SLICE]
-            for p, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                self.parts[p] = self.raw(e.ids)
-        get = self.parts.get
-        for w, c in core_of.items():
-            memo[w] = get(c, b"") + get(w[len(c):], b"")
-
-    def learn_line(self, parts: list[str]) -> None:
-        """Ids of parts of ASCII letters, a line of ``LINE`` parts an encoding: the
-        tokenizer numbers its words, and a part is one word.  A line whose words
-        are not its parts is left for the caller."""
-        lines = [parts[k:k + LINE] for k in range(0, len(parts), LINE)]
-        for line, e in zip(lines, self.t.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
-            word = np.array([-1 if w is None else w for w in e.word_ids])
-            at = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
-            if len(at) != len(line) + 1:
-                continue
-            ids, at = np.array(e.ids, "<u4").tobytes(), (4 * at).tolist()
-            for k, p in enumerate(line):
-                self.parts[p] = ids[at[k]:at[k + 1]]
-
-    def of(self, texts: list) -> list[bytes]:
-        """Little-endian ids of every text."""
-        words = [(t or "").split() for t in texts]
-        self.memo.clear()                           # words of this batch; their parts are kept
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        self.learn(set().union(*words).difference(self.memo))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) if not any(map((t or "").__contains__, self.ODD))
-                else self.raw(self.t.encode(t, add_special_tokens=False).ids) for t, ws in zip(texts, words)]
-
-
 def pieces(docs: DataFrame, spec: str) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: every document's pieces, in order."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(spec)     # a fixed-size file
+    start_task = encoder(docs.sparkSession, spec)
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()),
                         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    last = np.array([SEPARATOR], "<u4").tobytes()
 
     def run(batches):
-        ids = WordIds(vocabulary.value)
-        for batch in batches:
-            step = max(1, int(batch.num_rows * 6e6 / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                cols = batch.slice(at, step).to_pydict()
-                out = []
-                for doc, row, got in zip(cols["doc_id"], cols["row"], ids.of(cols["text"])):
-                    got += last
-                    out += [(doc, row, k // (4 * CAPACITY), k // 4, min(CAPACITY, (len(got) - k) // 4),
-                             zlib.crc32(got[k:k + 4 * CAPACITY])) for k in range(0, len(got), 4 * CAPACITY)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        bpe = start_task()
+        for batch in slices(batches, BATCH_BYTES):
+            ids, size = bpe.encode(batch.column("text"))
+            flat, size = ended(ids, size, SEPARATOR)
+            n_pieces = -(-size // CAPACITY)
+            doc = np.repeat(np.arange(len(size)), n_pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            start = piece * CAPACITY
+            length = np.minimum(CAPACITY, size[doc] - start)
+            whole = memoryview(flat.astype("<u4")).cast("B")
+            at = 4 * ((np.cumsum(size) - size)[doc] + start)
+            crc = [zlib.crc32(whole[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            index = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(index), batch.column("row").take(index),
+                 *(pa.array(c, f.type) for c, f in zip((piece, start, length, crc), list(schema)[2:]))], schema=schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return keyed.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
@@ -344,19 +278,10 @@ def pack_documents(docs: DataFrame, spec: str) -> DataFrame:
     return small_out.select(*cols).unionByName(full_out.select(*cols))
 
 
-def tokenizer_spec(path: str | None = None) -> str:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
 def op9_pack_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(table_path(sf_dir, "documents")), tokenizer_spec())
+    return pack_documents(spark.read.parquet(table_path(sf_dir, "documents")), vocabulary_text())
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sequences of what is left."""
-    return pack_documents(docs, tokenizer_spec())
+    return pack_documents(docs, vocabulary_text())

@@ -55,6 +55,16 @@ def open_fs(path: str):
         else (fs.LocalFileSystem(), path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], batch_bytes: float) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``batch_bytes`` each, a row at least; what
+    Arrow freed meanwhile goes back to the system."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * batch_bytes / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+            pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str,
                 start: Callable[[], object] | None = None, batch_bytes: float = 8e6) -> DataFrame:
     """Apply ``fn(columns as lists[, state])`` to each Arrow batch; ``start``

@@ -7,11 +7,13 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact, ga2m, langid, lexicon, maintext, minmax, packing, rules, suffix, warc
 from gleaner.llm.util import components
+from gleaner.llm.wordbpe import WordBpe, compile_tables, vocabulary_text
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, key long, file string"
@@ -427,7 +429,7 @@ def test_components_of_random_graphs(spark):
 def test_packing_is_whole_and_tight(docs, empty):
     from tokenizers import Tokenizer
 
-    spec = packing.tokenizer_spec()
+    spec = vocabulary_text()
     t = Tokenizer.from_str(spec)
     got = packing.pack_documents(docs, spec).toPandas()
     by_seq = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
@@ -445,13 +447,16 @@ def test_packing_is_whole_and_tight(docs, empty):
 def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
-    spec = packing.tokenizer_spec()
-    t, w = Tokenizer.from_str(spec), packing.WordIds(packing.tokenizer_spec())
+    spec = vocabulary_text()
+    t, w = Tokenizer.from_str(spec), WordBpe(spec, compile_tables(spec))
     rng = np.random.default_rng(6)
     letters = list("abcthE'sr\n\t  é́\x1c\x85\x0b12中ΣİſÅ.,.,") + ["<|endoftext|>", " Word, ", "end. "]
     texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500)]
-    for x, got in zip(texts, w.of(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    texts += [None, "", "a" * 500 + " b", "." * 300, "don't I'll WE'VE", "x<|startoftext|>y z", "Ж² ½ЙßǅĿ"]
+    texts += [f"a{chr(c)}B" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    ids, size = w.encode(pa.array(texts))
+    for x, got in zip(texts, np.split(ids, np.cumsum(size)[:-1])):
+        assert got.tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
 def test_islands_never_lose_a_piece():
