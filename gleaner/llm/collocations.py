@@ -345,12 +345,13 @@ longer AS (
   SELECT lang, phrase, max(c) AS m FROM (
     SELECT lang, array_to_string(x[1:2], ' ') AS phrase, c FROM cand WHERE k = 3
     UNION ALL SELECT lang, array_to_string(x[2:3], ' '), c FROM cand WHERE k = 3) GROUP BY ALL),
+parts AS MATERIALIZED (
+  SELECT lang, k, phrase, c, j, array_to_string(x[1:j], ' ') AS p, array_to_string(x[j + 1:k], ' ') AS q FROM cand, range(1, 3) t(j) WHERE j < k),
 cuts AS (
-  SELECT cand.lang, cand.phrase, cand.c AS a, j, lf.c AS l, rf.c AS r,
-         {SCALE}::HUGEINT * cand.c * cand.c // (lf.c::HUGEINT * rf.c) AS score
-  FROM cand, range(1, 3) t(j), f lf, f rf
-  WHERE j < cand.k AND lf.lang = cand.lang AND lf.k = j AND lf.phrase = array_to_string(x[1:j], ' ')
-    AND rf.lang = cand.lang AND rf.k = cand.k - j AND rf.phrase = array_to_string(x[j + 1:cand.k], ' ')),
+  SELECT parts.lang, parts.phrase, parts.c AS a, j, lf.c AS l, rf.c AS r,
+         {SCALE}::HUGEINT * parts.c * parts.c // (lf.c::HUGEINT * rf.c) AS score
+  FROM parts JOIN f lf ON lf.lang = parts.lang AND lf.phrase = p AND lf.k = j
+  JOIN f rf ON rf.lang = parts.lang AND rf.phrase = q AND rf.k = parts.k - j),
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts)
   LEFT JOIN longer USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100 * m >= {SUBSUMED} * a, false))

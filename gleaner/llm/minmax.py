@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import components, drop, mix, prefix_sums, span_hashes, store
+from gleaner.llm.util import components, drop, mix, prefix_sums, slices, span_hashes, store
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 TURNS = 2
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES, STEP_BYTES = 1_000_000, 1e6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -105,11 +105,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _mapped(docs: DataFrame, fn, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            step = max(1, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                cols = fn(batch.slice(at, step))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        for part in slices(batches, STEP_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(part), schema)], schema=schema)
 
     return docs.mapInArrow(run, ddl)
 

@@ -55,14 +55,25 @@ def open_fs(path: str):
         else (fs.LocalFileSystem(), path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task
+    shall not hold what the last one used."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], batch_bytes: float) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``batch_bytes`` each, a row at least; what
-    Arrow freed meanwhile goes back to the system."""
+    """The same rows in batches of about ``batch_bytes`` each, a row at least; freed
+    memory goes back to the system after each batch of Spark's."""
     for batch in batches:
         step = max(1, int(batch.num_rows * batch_bytes / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-            pa.default_memory_pool().release_unused()
+        release()
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str,
@@ -77,13 +88,11 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
-        for batch in batches:
-            step = max(1, int(batch.num_rows * batch_bytes / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                cols = batch.slice(at, step).to_pydict()
-                got = fn(cols, state) if start else fn(cols)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches, batch_bytes):
+            cols = batch.to_pydict()
+            got = fn(cols, state) if start else fn(cols)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out_schema)
 
