@@ -1,30 +1,28 @@
-"""The article registry as an append-only table with a commit log.
+"""The article registry and its document table, append-only, with a commit log.
 
 Layout under ``root`` (a folder in shared storage):
 
-    data/batch_id=N/attempt=A/part-*.parquet  rows that attempt A of run N wrote
-    commits/batch_id=N/part-*.parquet         one marker row per finished run
+    data/attempt=A/part-*.parquet        registry rows that attempt A wrote
+    documents/attempt=A/part-*.parquet   documents (path, url, kind, body) of the same run
+    commits/run-N.json                   the marker of run N: its attempts
 
-An attempt writes its new rows into a folder of its own and then the run's commit
-marker, which names the attempt (and, for a stream, its micro-batch).  Readers see
-the rows of committed attempts only, so what a failed attempt left behind is never
-read, also when the retry has no rows.  ``is_new`` is not
-stored: it is ``batch_id == last committed run``, which is exactly "clear the
-flag on every old row, set it on the rows of this run" without rewriting the
-old rows.  A run that inserts nothing still commits, so all flags clear.
+Readers see the rows of attempts that a marker names, so what a failed attempt left
+behind is never read, and a run's registry rows and documents appear together.
+``is_new`` is not stored: it is ``batch_id == last committed run``, which is exactly
+"clear the flag on every old row, set it on the rows of this run" without
+rewriting the old rows.  A run that inserts nothing still commits, so all flags clear.
+Several writers may run at once (see ``gleaner.sources.commits``).
 """
 
 from __future__ import annotations
 
-import uuid
-from typing import Optional
+from typing import Callable, Mapping, Optional
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import path_exists
+from gleaner.sources.commits import CommitLog
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
@@ -36,92 +34,66 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("is_new", T.BooleanType()),
 ])
 
-COMMIT_SCHEMA = "batch_id long, attempt string, stream string, stream_batch long, committed_at timestamp"
-
 # Column order of the registry file format (header line of the CSV form).
 REGISTRY_HEADER = ["url", "article_file_path", "title", "source", "publish_date", "has_text", "is_new"]
 
 
+DOCUMENT_SCHEMA = "path string, url string, kind string, body string"
+
+
 class RegistryStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root.rstrip("/")
-        self.data_path = f"{self.root}/data"
-        self.commits_path = f"{self.root}/commits"
+        self.log = CommitLog(spark, root)
 
     # -- reading ----------------------------------------------------------
-    def _exists(self, path: str) -> bool:
-        return path_exists(self.spark, path)
-
     def current_batch(self) -> Optional[int]:
         """Last committed run id (one scalar to the driver), None when empty."""
-        if not self._exists(self.commits_path):
-            return None
-        row = self.spark.read.parquet(self.commits_path).agg(F.max("batch_id")).first()
-        return None if row[0] is None else int(row[0])
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMIT_SCHEMA).parquet(self.commits_path)
-
-    def _committed(self) -> Optional[DataFrame]:
-        """Rows of committed attempts; None while there are none."""
-        if not self._exists(self.commits_path) or not self._exists(self.data_path):
-            return None
-        try:
-            rows = self.spark.read.parquet(self.data_path)
-        except AnalysisException:                # no run has written a row yet
-            return None
-        # one row per run: a small side, and pruned by run
-        return rows.join(self._commits().select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi")
+        return self.log.last()
 
     def run_of(self, stream: str, stream_batch: int) -> Optional[int]:
         """The run that committed a stream's micro-batch, if it is committed."""
-        if not self._exists(self.commits_path):
-            return None
-        row = (self._commits().where((F.col("stream") == stream) & (F.col("stream_batch") == stream_batch))
-               .agg(F.max("batch_id")).first())
-        return None if row[0] is None else int(row[0])
+        return self.log.run_of(stream, stream_batch)
 
     def read(self, upto: Optional[int] = None) -> DataFrame:
         """Registry rows of committed runs with the derived ``is_new`` flag."""
         cur = self.current_batch() if upto is None else upto
-        committed = self._committed()
-        if cur is None or committed is None:
+        rows = None if cur is None else self.log.read("data", before=cur + 1)
+        if rows is None:
             empty = self.spark.createDataFrame([], REGISTRY_SCHEMA)
             return empty.withColumn("batch_id", F.lit(None).cast("long"))
-        rows = committed.where(F.col("batch_id") <= F.lit(cur)).drop("attempt")       # partition pruning
         return rows.withColumn("is_new", F.col("batch_id") == F.lit(cur))
 
+    def documents(self, upto: Optional[int] = None) -> DataFrame:
+        """Documents of committed runs."""
+        rows = self.log.read("documents", before=None if upto is None else upto + 1)
+        return self.spark.createDataFrame([], DOCUMENT_SCHEMA + ", batch_id long") if rows is None else rows
+
     def known_urls(self, before: int) -> DataFrame:
         """URLs of runs before ``before`` (a replayed run must not see its own rows)."""
-        committed = self._committed()
-        if committed is None:
-            return self.spark.createDataFrame([], "url string")
-        return committed.where(F.col("batch_id") < F.lit(before)).select("url")
+        rows = self.log.read("data", before=before)
+        return self.spark.createDataFrame([], "url string") if rows is None else rows.select("url")
 
     # -- writing ----------------------------------------------------------
-    def write_attempt(self, new_rows: DataFrame, batch_id: int) -> str:
-        """Write the new rows of run ``batch_id``; the attempt's name.  Nothing is
-        visible before ``mark`` names it."""
-        attempt = uuid.uuid4().hex
-        out = (new_rows.drop("is_new").withColumn("batch_id", F.lit(batch_id).cast("long"))
-               .withColumn("attempt", F.lit(f"a{attempt}")))
-        out.write.mode("append").partitionBy("batch_id", "attempt").parquet(self.data_path)
-        return f"a{attempt}"
+    def write_attempt(self, new_rows: DataFrame) -> str:
+        """Write registry rows that no marker names yet."""
+        return self.log.write_attempt("data", new_rows.drop("is_new"))
 
     def commit(self, new_rows: DataFrame, batch_id: int, stream: Optional[str] = None,
                stream_batch: Optional[int] = None) -> None:
-        """Write the new rows of run ``batch_id`` and mark the run committed."""
-        self.mark(batch_id, self.write_attempt(new_rows, batch_id), stream, stream_batch)
-
-    def mark(self, batch_id: int, attempt: str, stream: Optional[str] = None,
-             stream_batch: Optional[int] = None) -> None:
-        marker = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
-                                            F.lit(attempt).alias("attempt"), F.lit(stream).cast("string").alias("stream"),
-                                            F.lit(stream_batch).cast("long").alias("stream_batch"),
-                                            F.current_timestamp().alias("committed_at"))
-        (marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(self.commits_path))
+        """Write the new rows of run ``batch_id`` and commit it; ``RunTaken`` if the
+        run is already committed (its rows stay as they are)."""
+        self.log.claim(batch_id, {"data": self.write_attempt(new_rows)}, stream, stream_batch)
+
+    def append(self, build: Callable[[int], Mapping[str, DataFrame]], stream: Optional[str] = None,
+               stream_batch: Optional[int] = None) -> int:
+        """Commit the next run with the tables (``data``, ``documents``) that ``build(run)``
+        computes against the runs before it; computed again if another writer was
+        first.  Returns the run."""
+        def tables(run: int) -> dict:
+            return {name: rows.drop("is_new") for name, rows in build(run).items()}
+
+        return self.log.append(tables, stream, stream_batch)
 
     def next_batch_id(self) -> int:
         cur = self.current_batch()

@@ -4,8 +4,9 @@ Crawled pages arrive as files; each micro-batch is one ingest run: extract
 links, keep the first per URL, drop URLs registered by earlier runs, append
 the new rows as the registry's next run and commit.  The commit marker names the
 stream and its micro-batch: a micro-batch that is replayed after its commit finds
-its run and writes the same rows again; one that failed before it takes the next
-run id, and what it had written stays unseen.  Batch runs and streams, also
+its run and does nothing; one that failed before it takes the next run id, and what
+it had written stays unseen.  A micro-batch that another writer overtakes is
+computed again against what that writer added.  Batch runs and streams, also
 restarted with a fresh checkpoint, can share a registry.  Dedup against the registry happens in the batch (a join with the
 table), not in streaming state, so state does not grow with the URL count.
 """
@@ -31,11 +32,8 @@ def run_stream_ingest(spark: SparkSession, stream: DataFrame, store: RegistrySto
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         articles = to_articles(batch)
         name = stream_id or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        run = store.run_of(name, batch_id)
-        if run is None:
-            run = store.next_batch_id()
-        rows = new_registry_rows(articles, store.known_urls(before=run), order)
-        store.commit(rows, run, name, batch_id)
+        if store.run_of(name, batch_id) is None:
+            store.append(lambda run: {"data": new_registry_rows(articles, store.known_urls(before=run), order)}, name, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -1,10 +1,12 @@
 """Registry upsert semantics, the append-only store, and one end-to-end ingest run."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import crawl
 from gleaner.operators import ingest as I
 from gleaner.session import shared_path
+from gleaner.sources.commits import RunTaken
 from gleaner.sources.registry import RegistryStore, read_registry_csv, write_registry_csv
 
 ORDER = ["pos"]
@@ -36,10 +38,11 @@ def test_store_runs_flags_and_replay(spark):
     assert new.count() == 0
     store.commit(new, run)
     assert sorted((r.url, r.is_new) for r in store.read().collect()) == [("u1", False), ("u2", False)]
-    # a replayed run (same id) overwrites its own partition instead of duplicating
+    # a run that is committed stays as it is
     b3 = _batch(spark, [("u3", "c", "s", None, "t", 0)])
     run = store.next_batch_id()
-    for _ in range(2):
+    store.commit(I.new_registry_rows(b3, store.known_urls(run), ORDER), run)
+    with pytest.raises(RunTaken):
         store.commit(I.new_registry_rows(b3, store.known_urls(run), ORDER), run)
     got = sorted((r.url, r.is_new) for r in store.read().collect())
     assert got == [("u1", False), ("u2", False), ("u3", True)]
@@ -51,13 +54,45 @@ def test_a_failed_attempt_is_never_read(spark):
     store.commit(I.new_registry_rows(b, None, ORDER), 0)
     # run 1 writes its rows and dies before its marker; the retry has nothing new
     ghost = _batch(spark, [("ghost", "g", "s", None, "t", 0)])
-    store.write_attempt(I.new_registry_rows(ghost, None, ORDER), 1)
+    store.write_attempt(I.new_registry_rows(ghost, None, ORDER))
     assert [r.url for r in store.read().collect()] == ["u1"]
     store.commit(I.new_registry_rows(b, store.known_urls(1), ORDER), 1)
     assert [(r.url, r.is_new) for r in store.read().collect()] == [("u1", False)]
     assert [r.url for r in store.known_urls(2).collect()] == ["u1"]
 
 
+def test_two_writers_take_runs_of_their_own(spark):
+    """Both ask for the next run before either commits: neither loses a row, and a
+    URL that both found is registered once."""
+    root = shared_path(spark, "test-registry", unique=True)
+    one, two = RegistryStore(spark, root), RegistryStore(spark, root)
+    mine = _batch(spark, [("u1", "a", "s", None, "t", 0), ("both", "a", "s", None, "t", 1)])
+    other = _batch(spark, [("u2", "b", "s", None, "t", 0), ("both", "b", "s", None, "t", 1)])
+    built = []
+
+    def build(run):
+        built.append(run)
+        rows = I.new_registry_rows(mine, one.known_urls(run), ORDER)
+        if len(built) == 1:                     # the other writer commits between our read and our commit
+            two.append(lambda r: {"data": I.new_registry_rows(other, two.known_urls(r), ORDER)})
+        return {"data": rows}
+
+    assert one.append(build) == 1 and built == [0, 1]
+    assert sorted((r.url, r.title, r.batch_id) for r in one.read().collect()) == [("both", "b", 0), ("u1", "a", 1), ("u2", "b", 0)]
+
+
+def test_registry_and_documents_appear_together(spark):
+    store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
+    rows = I.new_registry_rows(_batch(spark, [("u1", "a", "s", None, "t", 0)]), None, ORDER)
+    docs = spark.createDataFrame([("docs/a", "u1", "json", "{}")], "path string, url string, kind string, body string")
+    broken = docs.withColumn("body", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        store.append(lambda run: {"data": rows, "documents": broken})      # fails between the two writes
+    assert store.read().count() == 0 and store.documents().count() == 0 and store.current_batch() is None
+    assert store.append(lambda run: {"data": rows, "documents": docs}) == 0
+    assert [r.url for r in store.read().collect()] == [r.url for r in store.documents().collect()] == ["u1"]
+
+
 def test_a_registry_without_rows(spark):
     store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
     b = _batch(spark, [])
