@@ -1,8 +1,8 @@
 """Operator 11: phrase collocations by the stripes pattern.
 
-A stripe is an associative counter of the words that follow a prefix; its entry ""
-counts the rest (no word follows in the piece, or a rare one), so that the sum of a
-stripe is the prefix's count.  Tasks build the stripes of their batches and ship
+A stripe is an associative counter of the words that follow a prefix; the entry "" of
+a one-word prefix counts the rest (no word follows in the piece, or a rare one), so that
+the sum of its stripe is the word's count.  Tasks build the stripes of their batches and ship
 them whole, one row per prefix; stripes of one prefix meet in one partition and are
 merged elementwise; entries below the threshold are then folded into the rest.  The
 stripes of one-word prefixes give the counts of words and of pairs; those of pairs
@@ -37,7 +37,7 @@ from gleaner.llm.util import drop, mix, prefix_sums, slices, span_hashes, store
 LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
 BITS, SHARE, BATCH_BYTES = 26, 10_000, 8e6
 #: Rows of one lang that one task ranks.
-BLOCK = 50_000
+BLOCK = 16_000
 _BITMAP = 1 << 15                                       # bits of one row of Spark's bitmap functions
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,9 +111,12 @@ def allowed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def stripes(langs: pa.Array, prefixes: pa.Array, names: pa.Array, prefix: np.ndarray, lang_of: np.ndarray,
             after: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
-    """Rows (lang, prefix, slice, next, n) of occurrences: ``prefix`` (into ``prefixes``,
-    of langs ``lang_of``) followed by ``after`` (0: the rest, else 1 + a name); the
-    stripe of a prefix has ``split`` slices."""
+    """Rows (key, stripe) of occurrences: ``prefix`` (into ``prefixes``, of langs ``lang_of``)
+    followed by ``after`` (0: the rest, else 1 + a name); the stripe of a prefix
+    has ``split`` slices.
+
+    Words hold no blank and no tab, so a key is "prefix TAB slice TAB lang" and a
+    stripe is its entries "word TAB count" with blanks between."""
     n = len(names) + 1
     pairs, count = np.unique(prefix * n + after, return_counts=True)
     who, what = pairs // n, pairs % n
@@ -124,12 +127,15 @@ def stripes(langs: pa.Array, prefixes: pa.Array, names: pa.Array, prefix: np.nda
     new = np.ones(len(who), bool)
     new[1:] = (who[1:] != who[:-1]) | (part[1:] != part[:-1])
     at = np.flatnonzero(new)
-    offsets = pa.array(np.append(at, len(who)), pa.int32())
-    values = pa.concat_arrays([pa.array([""], pa.large_string()), names]).take(pa.array(what)).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(lang_of[who[at]])).cast(pa.string()), prefixes.take(pa.array(who[at])).cast(pa.string()),
-         pa.array(part[at], pa.int32()), pa.ListArray.from_arrays(offsets, values),
-         pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))], names=["lang", "prefix", "slice", "next", "n"])
+
+    def text(x):
+        return pa.array(x).cast(pa.large_string())
+
+    tab, blank = (pa.scalar(x, pa.large_string()) for x in ("\t", " "))
+    entries = pc.binary_join_element_wise(pa.concat_arrays([text([""]), names]).take(pa.array(what)), text(count), tab)
+    key = pc.binary_join_element_wise(prefixes.take(pa.array(who[at])), text(part[at]), langs.take(pa.array(lang_of[who[at]])), tab)
+    stripe = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int64)), entries), blank)
+    return pa.RecordBatch.from_arrays([key.cast(pa.string()), stripe.cast(pa.string())], names=["key", "stripe"])
 
 
 def split_of(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -179,15 +185,16 @@ def merge(shipped: DataFrame, name: str) -> DataFrame:
     """Merged stripes as rows (lang, prefix, next, n): entries of at least ``LEAST`` and the rest.
 
     Stripes are dealt by prefix and slice once; what follows stays in the partition."""
-    dealt = shipped.repartition("lang", "prefix", "slice")
-    entries = dealt.select("lang", "prefix", "slice", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    summed = (entries.groupBy("lang", "prefix", "slice", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n")))
+    entries = shipped.repartition("key").select("key", F.explode(F.split("stripe", " ")).alias("e"))
+    summed = entries.groupBy("key", F.substring_index("e", "\t", 1).alias("next")).agg(
+        F.sum(F.substring_index("e", "\t", -1).cast("long")).alias("n"))
     folded = (summed.withColumn("next", F.when(F.col("n") >= LEAST, F.col("next")).otherwise(F.lit("")))
-              .groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n")))
-    return store(folded.select("lang", "prefix", "next", "n"), name)
+              .groupBy("key", "next").agg(F.sum("n").alias("n")))
+    return store(folded.select(F.regexp_extract("key", r"(?s)^[^\t]*\t\d+\t(.*)$", 1).alias("lang"),
+                               F.substring_index("key", "\t", 1).alias("prefix"), "next", "n"), name)
 
 
-_STRIPE = "lang string, prefix string, slice int, next array<string>, n array<long>"
+_STRIPE = "key string, stripe string"
 
 
 def word_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
@@ -224,7 +231,8 @@ def pair_hashes(pairs: DataFrame) -> DataFrame:
 
 
 def pair_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
-    """Stripes of two-word prefixes."""
+    """Stripes of two-word prefixes, without a rest: a pair's count is its entry in the
+    stripe of its first word."""
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
@@ -242,14 +250,13 @@ def pair_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
             kept = np.flatnonzero(good)
             id_at = np.full(len(w.code), -1)
             id_at[at] = np.where(good[of], number[of], -1)
-            begin = np.flatnonzero(id_at >= 0)
-            follows = (begin + 1 < len(id_at)) & (id_at[np.minimum(begin + 1, len(id_at) - 1)] >= 0)
-            after = np.zeros(len(begin), np.int64)
-            after[follows] = w.code[begin[follows] + 2] + 1
+            # a triple that may be frequent is two such pairs in a row
+            begin = np.flatnonzero((id_at[:-1] >= 0) & (id_at[1:] >= 0)) if len(id_at) else at
             name = max(1, len(w.names))
             text = [w.names.take(pa.array(w.keys[x[kept]] % name)) for x in (one, two)]
             prefixes = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string()))
-            yield stripes(w.langs, prefixes, w.names, id_at[begin], w.keys[one[kept]] // name, after, split_of(h[kept], large))
+            yield stripes(w.langs, prefixes, w.names, id_at[begin], w.keys[one[kept]] // name,
+                          w.code[begin + 2] + 1, split_of(h[kept], large))
 
     return merge(docs.mapInArrow(run, _STRIPE), "pair-stripes")
 
@@ -257,12 +264,14 @@ def pair_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
 def with_count(rows: DataFrame, counts: DataFrame, cut: int, key: str, name: str) -> DataFrame:
     """``rows`` with the count of (lang, ``key``) as ``name``; ``counts`` is (lang, phrase, f).
 
-    Counts of ``cut`` and more, at most ``SHARE`` rows, are broadcast; another
-    key has at most ``cut`` / ``LEAST`` rows."""
-    counts = counts.select("lang", F.col("phrase").alias(key), F.col("f").alias(name))
-    large = rows.join(F.broadcast(counts.where(F.col(name) >= cut)), ["lang", key], "left")
-    rest = large.where(F.col(name).isNull()).drop(name).join(counts.where(F.col(name) < cut), ["lang", key])
-    return large.where(F.col(name).isNotNull()).unionByName(rest)
+    Counts of ``cut`` and more, at most ``SHARE`` rows, are broadcast, and rows that find theirs
+    there go to the second join under their own phrase, which meets nothing
+    and spreads them; another key has at most ``cut`` / ``LEAST`` rows."""
+    large = counts.where(F.col("f") >= cut).select("lang", F.col("phrase").alias(key), F.col("f").alias("_large"))
+    small = counts.where(F.col("f") < cut).select("lang", F.col("phrase").alias("_probe"), F.col("f").alias("_small"))
+    probe = F.when(F.col("_large").isNull(), F.col(key)).otherwise(F.concat(F.lit("\t"), F.col("phrase")))
+    found = rows.join(F.broadcast(large), ["lang", key], "left").withColumn("_probe", probe).join(small, ["lang", "_probe"], "left")
+    return found.withColumn(name, F.coalesce("_large", "_small")).drop("_probe", "_large", "_small")
 
 
 def top_of(rows: DataFrame, order: list, top: int) -> DataFrame:
@@ -292,11 +301,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     twos = pair_stripes(docs, bitmap_of(hashed), hot_of(hashed, cut))
     drop(hashed)
 
-    f1 = ones.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("f"))
-    # prefix totals and the largest extension of every pair, from its stripe
-    f2 = twos.groupBy("lang", F.col("prefix").alias("phrase")).agg(
-        F.sum("n").alias("f"), F.max(F.when(F.col("next") != "", F.col("n"))).alias("longer")).where(F.col("f") >= LEAST)
-    f1, f2 = store(f1, "word-counts"), store(f2, "pair-counts")
+    f1 = store(ones.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("f")), "word-counts")
+    f2 = pairs.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("f"))
 
     def score(l, r):
         wide = [F.col(c).cast("decimal(19,0)") for c in ("a", l, r)]
@@ -308,10 +314,9 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.substring_index("prefix", " ", 1).alias("w1"),
         F.concat_ws(" ", F.substring_index("prefix", " ", -1), "next").alias("w23"), F.col("prefix").alias("w12"),
         F.col("next").alias("w3"), F.col("n").alias("a"))
-    # a pair goes if a frequent triple before or after it has half of its count
-    longer = (three.select("lang", F.col("w23").alias("phrase"), F.col("a").alias("longer"))
-              .unionByName(f2.where("longer IS NOT NULL").select("lang", "phrase", "longer"))
-              .groupBy("lang", "phrase").agg(F.max("longer").alias("longer")))
+    # the largest extension of a pair after it (in its stripe) and before it
+    longer = (three.select("lang", F.col("w23").alias("phrase"), "a").unionByName(three.select("lang", F.col("w12").alias("phrase"), "a"))
+              .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
     two = two.join(longer, ["lang", "phrase"], "left").where(
         F.coalesce(100 * F.col("longer") < SUBSUMED * F.col("a"), F.lit(True))).drop("longer")
     two = with_count(with_count(two, f1, cut, "w1", "l"), f1, cut, "w2", "r").withColumn("score", score("l", "r"))
