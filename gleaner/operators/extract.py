@@ -178,25 +178,63 @@ def header_item(html: Column, container_tag: str, container_class: Optional[str]
     return F.when(s.title.isNotNull() | s.href.isNotNull(), s)
 
 
-PAPER_FIELDS = ("section_pos int, section_head string, pos int, abs_href string, "
-                "pdf_href string, title_raw string, authors array<string>")
-
-
-def extract_papers(df: DataFrame, keep: Sequence[str] = ("page_id",), compat: bool = False) -> DataFrame:
-    """Paper listing pages -> one row per (section, entry)."""
-    src = df.select(*keep, "html")
+TAGGED_FIELDS = ("kind string, node int, parent int, section_pos int, pos int, href string, pdf_href string, "
+                 "title string, names array<string>, date_raw string, date_kind string")
+
+
+def page_rows(html: Optional[str], profile: dict, rules: Sequence) -> list:
+    """All rows of one page, from one tree, in the order of ``TAGGED_FIELDS``:
+
+    - ``header``: one per rule, ``node`` its number, ``date_raw`` its date text, ``pos`` -1;
+    - ``listing``: the candidates of a listing page;
+    - ``section``, ``entry``, ``detail``: the nodes of a paper listing;
+    - ``status``: ``date_kind`` is ok, no_candidates, no_container or no_profile,
+      ``pos`` the number of candidates."""
+    def row(kind, node=None, parent=None, section=None, pos=None, href=None, pdf=None, title=None, names=None, raw=None, date_kind=None):
+        return [kind, node, parent, section, pos, href, pdf, title, names, raw, date_kind]
+
+    if profile["source"] is None and not rules:
+        return [row("status", pos=0, date_kind="no_profile")]
+    root, out = X.parse(html), []
+    for number, r in rules:
+        h = X.header_in(root, r.container_tag, r.container_class, r.link_tag, r.link_class, r.date_tag, r.date_class)
+        if h is not None:
+            out.append(row("header", number, pos=-1, href=h[0], title=h[1], raw=h[2]))
+    if profile["source"] is None:
+        return [*out, row("status", pos=0, date_kind="no_profile")]
+    if profile["parser"] == "paper":
+        return out + [row(kind, node, parent, section, None, href, pdf, text, names)
+                      for kind, node, parent, section, href, pdf, text, names in X.paper_nodes(root)]
+    scope = X.scoped_root(root, profile)
+    found = X.candidates_in(scope, profile)
+    out += [row("listing", pos=pos, href=href, title=title, raw=raw, date_kind=kind) for pos, href, title, raw, kind in found]
+    state = "no_container" if scope is None else "ok" if found else "no_candidates"
+    return [*out, row("status", pos=len(found), date_kind=state)]
+
+
+def parse_pages(df: DataFrame, keep: Sequence[str] = ("page_id",), rules: Sequence = (), by_url: bool = False) -> DataFrame:
+    """Every row that a page gives, tagged by ``kind`` (see ``page_rows``): one Python
+    stage, one tree per page.
+
+    ``df`` holds ``html`` and the ``pf_*`` columns of the page's first matching profile,
+    which decides what is extracted; a header rule applies to the pages
+    of the profile with its source (``by_url``: to URLs that contain its base)."""
+    names = [k for k, _ in X.PROFILE_COLUMNS]
     keep = list(keep)
-    keep_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields
-                            if f.name in keep)
-    cols = keep + ["section_pos", "section_head", "pos", "abs_href", "pdf_href", "title_raw", "authors"]
+    src = df.select(*keep, *(c for c in ("html", "url", *(PF + k for k in names)) if c not in keep))
+    keep_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
+    rules = list(enumerate(rules))
+    columns = keep + [f.split()[0] for f in TAGGED_FIELDS.split(", ")]
 
     def run(batches):
         for pdf in batches:
             out = []
             for rec in pdf.to_dict("records"):
+                mine = [(i, r) for i, r in rules
+                        if (r.base_url in (rec["url"] or "") if by_url else r.source == rec[PF + "source"])]
                 base = [rec[k] for k in keep]
-                for r in X.paper_entries(rec["html"], compat):
-                    out.append(base + list(r))
-            yield pd.DataFrame(out, columns=cols)
+                out += [base + x for x in page_rows(rec["html"], {k: X.opt(rec[PF + k]) if k.endswith("source") else rec[PF + k]
+                                                                  for k in names}, mine)]
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("node", "parent", "section_pos", "pos")})
 
-    return src.mapInPandas(run, f"{keep_schema}, {PAPER_FIELDS}")
+    return src.mapInPandas(run, f"{keep_schema}, {TAGGED_FIELDS}")

@@ -94,11 +94,16 @@ def new_registry_rows(batch: DataFrame, known_urls: Optional[DataFrame], order:
     URLs already registered are skipped.  ``has_text`` is true for non-empty
     text; the document path follows the article file naming.
     """
-    cols = set(batch.columns)
     b = batch.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     b = dedup_first(b, order)
     if known_urls is not None:
         b = anti_known(b, known_urls)
+    return registry_rows(b, order, docs_dir)
+
+
+def registry_rows(b: DataFrame, order: Sequence[str], docs_dir: str = "docs") -> DataFrame:
+    """Registry rows of articles that are new and one per URL already: a projection."""
+    cols = set(b.columns)
     pdf = F.nullif(F.col("pdf_url"), F.lit("")).isNotNull() if "pdf_url" in cols else F.lit(False)
     text = F.col("text") if "text" in cols else F.lit(None).cast("string")
     return b.select(

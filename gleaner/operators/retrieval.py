@@ -109,41 +109,22 @@ def hash_buckets(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_
     return w.groupBy(*key, token_bucket(F.col("_w"), dims).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _hash_vectors(texts, dims: int) -> list:
-    """Per text: L2-normalised counts of lower-cased white-space tokens per
-    md5 bucket (the same tokens and buckets as ``tokens`` / ``token_bucket``)."""
-    import hashlib
-    import re
-
-    ws = re.compile(r"[ \t\n\r]+")
-    out = []
-    for t in texts:
-        v = np.zeros(dims, dtype="float64")
-        if isinstance(t, str):
-            for w in ws.split(t.lower()):
-                if w:
-                    v[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dims] += 1.0
-        n = np.linalg.norm(v)
-        out.append(v / n if n > 0 else v)
-    return out
-
-
-def hash_vector(text: Column, dims: int = HASH_DIMS) -> Column:
-    """The default embedding of a text column as ``array<double>``: hashed
-    term frequencies, L2-normalised.  Map-only (an Arrow-batched pandas UDF
-    per row): no shuffle, so a huge document costs only its own task."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _vec(s: pd.Series) -> pd.Series:
-        return pd.Series(_hash_vectors(s, dims))
-
-    return _vec(text)
-
-
 def hash_embed(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_DIMS,
                out: str = "embedding") -> DataFrame:
-    """(key, embedding) with ``hash_vector`` (one row per input row)."""
-    return df.select(*key, hash_vector(F.col(text), dims).alias(out))
+    """(key, embedding): the default embedding, L2-normalised token counts per hash
+    bucket, one row per key (all zero without tokens).
+
+    Built-in functions only.  The counts are pre-aggregated by (key, bucket), so a
+    huge text leaves a task as at most ``dims`` rows; a key's vector is made of
+    at most ``dims`` counts."""
+    w = df.select(*key, F.explode_outer(tokens(F.lower(F.col(text)))).alias("_w"))
+    counts = w.groupBy(*key, token_bucket(F.col("_w"), dims).alias("_b")).agg(F.count("_w").cast("double").alias("_n"))
+    sparse = counts.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))).alias("_m"),
+        F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.when(
+        F.col("_norm") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_norm")).otherwise(F.lit(0.0)))
+    return sparse.select(*key, dense.alias(out))
 
 
 def model_embed(text: Column, fn, dims: int) -> Column:
@@ -258,6 +239,25 @@ def cosine_topk(queries: DataFrame, collection: DataFrame, k: int,
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def topk_labelled(queries: DataFrame, collection: DataFrame, k: int, qid: str, cid: str,
+                  labels: str, label: str, qvec: str = "embedding", cvec: str = "embedding") -> DataFrame:
+    """Top-k per query among the rows whose ``label`` is any of the query's ``labels``
+    (an array); an empty or null array searches everything.
+
+    Queries with labels meet only the rows of their labels (one scoped search, a query
+    a label), the others the whole collection; at most ``k`` rows per query
+    and label are ranked again."""
+    some = F.size(F.coalesce(F.col(labels), F.array().cast("array<string>"))) > 0
+    scoped = (queries.where(some).select(qid, F.col(qvec).alias("qvec"), F.explode(F.array_distinct(labels)).alias("_label"))
+              .where(F.col("_label").isNotNull()))
+    rows = collection.select(cid, F.col(cvec).alias("cvec"), F.col(label).cast("string").alias("_label"))
+    found = cosine_topk(scoped, rows, k, qid, cid, "qvec", "cvec", scope="_label").drop("_label")
+    every = cosine_topk(queries.where(~some), collection, k, qid, cid, qvec, cvec)
+    both = found.select("qid", "cid", "sim").unionByName(every.select("qid", "cid", "sim"))
+    w = Window.partitionBy("qid").orderBy(F.round("sim", 9).desc(), F.col("cid"))
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """Mean vector per key (dimension-wise, partially pre-aggregated)."""
     e = df.select(key, F.posexplode(vec).alias("_d", "_x"))

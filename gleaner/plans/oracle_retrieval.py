@@ -44,7 +44,47 @@ def level(src: str, first: bool) -> str:
     return red if first else f"{red} union all select doc_id, pos, text, n from {src} where n <= 1"
 
 
+def vectors(src: str, key: str, text: str, name: str) -> str:
+    """CTEs of sparse vectors: {name}_b (key, b, c) and {name}_n (key, nrm)."""
+    return f"""{name}_b as materialized (select {key}, {bucket('w')} as b, count(*)::double as c from
+                 (select {key}, unnest({tokens(f'lower({text})')}) as w from {src}) group by all),
+        {name}_n as (select {key}, sqrt(sum(c * c)) as nrm from {name}_b group by {key})"""
+
+
+PASSAGES = f"""with {CHUNKS},
+        stored as (select doc_id, text, min(chunk_pos) as chunk_pos from chunks group by doc_id, text),
+        tools as (select doc_id * 2 as tool_id, 'A tool to query the document ' || text as t from documents
+                  union all select doc_id * 2 + 1, 'A tool to summarize the document ' || text from documents),
+        {vectors('tools', 'tool_id', 't', 'c')}, {vectors('benchmark', 'item_id', 'text', 'q')},
+        tool_pairs as (select q_n.item_id, c_n.tool_id, d / (q_n.nrm * c_n.nrm) as s from
+            (select item_id, tool_id, sum(q_b.c * c_b.c) as d from q_b join c_b using (b) group by all)
+            join q_n using (item_id) join c_n using (tool_id)),
+        picked as (select distinct item_id, tool_id // 2 as doc_id from
+            (select *, row_number() over (partition by item_id order by round(s, 9) desc, tool_id) as r from tool_pairs) where r <= 3),
+        {vectors('stored', 'doc_id, chunk_pos', 'text', 'p')},
+        pairs as (select q_n.item_id, p_n.doc_id, p_n.chunk_pos, coalesce(d, 0) / (q_n.nrm * p_n.nrm) as s
+            from picked join q_n using (item_id) join p_n using (doc_id)
+            left join (select item_id, doc_id, chunk_pos, sum(q_b.c * p_b.c) as d
+                       from picked join q_b using (item_id) join p_b using (doc_id, b) group by all) using (item_id, doc_id, chunk_pos)),
+        best as (select *, row_number() over (partition by item_id order by round(s, 9) desc,
+                     doc_id::varchar || ':' || chunk_pos::varchar) as rnk from pairs)
+        select item_id, rnk::integer as rnk, doc_id, chunk_pos, md5(text) as passage_md5, round(s, 6) as sim
+        from best join stored using (doc_id, chunk_pos) where rnk <= 2"""
+
+
 SQL = {
+    "doc_vectors": f"""with {vectors('documents', 'doc_id', 'text', 'd')}
+        select o.doc_id, i::integer as dim, round(coalesce(c, 0.0) / coalesce(nrm, 1.0), 9) as x
+        from documents o cross join range(64) t(i) left join d_b on d_b.doc_id = o.doc_id and d_b.b = i
+        left join d_n on d_n.doc_id = o.doc_id""",
+    "passage_topk": PASSAGES,
+    "topk_labels": f"""with {vectors('documents', 'doc_id', 'text', 'd')}, {vectors('benchmark', 'item_id', 'text', 'q')},
+        allowed as (select item_id, case item_id % 3 when 0 then [] when 1 then ['en'] else ['de', 'fr'] end as labels from benchmark),
+        pairs as (select q_n.item_id, d_n.doc_id, coalesce(dot, 0) / (q_n.nrm * d_n.nrm) as s
+            from q_n cross join d_n join allowed using (item_id) join documents using (doc_id)
+            left join (select item_id, doc_id, sum(q_b.c * d_b.c) as dot from q_b join d_b using (b) group by all) using (item_id, doc_id)
+            where len(labels) = 0 or list_contains(labels, lang))
+        """ + topk("select * from pairs", 2, "item_id", "doc_id"),
     "chunk_docs": f"""with {CHUNKS} select doc_id, chunk_pos, len(toks)::integer as n_tokens,
         md5(text) as chunk_md5 from chunks""",
     "embed_hash": f"""with w as (select doc_id, unnest({tokens('lower(text)')}) as w from documents)

@@ -71,7 +71,7 @@ SQL = {
         from pages""",
     "json_path_get": """select event_id, json_extract_string(props, '$.k') as k,
         coalesce(json_extract_string(props, '$.z'), 'default') as z from events""",
-    "doc_json": """select doc_id, '{"title": null, "source": "' || source || '", "lang": "' || lang || '"}' as body
+    "doc_json": """select doc_id, '{"title": null, "source": "' || source || '", "lang": "' || lang || '", "text": ' || coalesce(to_json(text)::varchar, 'null') || '}' as body
         from documents""",
     "doc_kind": """with p as (select page_id, case when ends_with(url, '.html')
                     then regexp_replace(url, '\\.html$', '.pdf') end as pdf_url from pages)

@@ -9,52 +9,53 @@ from gleaner.functions import strings as S
 from gleaner.operators import papers as P
 from gleaner.operators.extract import extract_listing, with_profile
 from gleaner.plans.common import NAV_PROFILE, host, load
-from gleaner.session import shared_path, spread, table_path
+from gleaner.session import materialize, shared_path, spread, table_path
 from gleaner.sources.registry import RegistryStore
 from gleaner.streaming.ingest import run_stream_ingest
 from gleaner.streaming.state import read_state, start_state_stream
 
 
-def _esc(x):
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-
-
-def paper_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation rendered as a paper listing page: turns 0-1 form the
-    first section, later turns the second; a user turn is an entry, an
-    assistant turn the detail that follows it."""
+def paper_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as the nodes of paper listings, a page each: turns 0-1 lie in the
+    first section, later turns in the second; a user turn is an entry, an
+    assistant turn a detail with the turn's whole text."""
     c = load(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    sec = F.when(F.col("turn") < 2, F.lit(0)).otherwise(F.lit(1))
-    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("conv_id") + sec).cast("int"))
-    opener = F.concat(F.lit('<dl id="articles"><h3>'), F.date_format(day, "EEE, d MMM yyyy"), F.lit("</h3>"))
+    section = F.when(F.col("turn") < 2, F.lit(0)).otherwise(F.lit(1))
+    page = [F.col("conv_id").alias("page_id"), F.concat(F.lit("https://arxiv.org/list/conv"), F.col("conv_id").cast("string")).alias("url")]
     ref = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    frag = (F.when(F.col("role") == "user",
-                   F.concat(F.lit('<dt><a title="Abstract" href="/abs/'), ref, F.lit('">[abs]</a> '
-                            '<a title="Download PDF" href="/pdf/'), ref, F.lit('">pdf</a></dt>')))
-             .when(F.col("role") == "assistant",
-                   F.concat(F.lit('<dd><div class="list-title"><span class="descriptor">Title:</span> '),
-                            _esc(F.col("text")),
-                            F.lit('</div><div class="list-authors"><a href="#">'), F.col("role"),
-                            F.lit('</a>, <a href="#">conv'), F.col("conv_id").cast("string"),
-                            F.lit("</a></div></dd>")))
-             .otherwise(F.concat(F.lit("<p>"), _esc(F.col("text")), F.lit("</p>"))))
-    frag = (F.when(F.col("turn") == 0, F.concat(opener, frag))
-             .when(F.col("turn") == 2, F.concat(F.lit("</dl>"), opener, frag))
-             .otherwise(frag))
-    body = c.withColumn("_frag", frag).groupBy("conv_id").agg(
-        F.expr("listagg(_frag, '') within group (order by turn)").alias("body"))
-    return body.select(F.col("conv_id").alias("page_id"),
-                       F.concat(F.lit("https://arxiv.org/list/conv"), F.col("conv_id").cast("string")).alias("url"),
-                       F.concat(F.lit("<html><body>"), F.col("body"), F.lit("</dl></body></html>")).alias("html"))
-
-
-def paper_listing(spark: SparkSession, sf: str) -> DataFrame:
-    a = P.paper_articles(paper_pages(spark, sf), cap=20, compat=False)
+    entry, detail = F.col("role") == "user", F.col("role") == "assistant"
+    people = F.array(F.col("role"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")))
+    turns = c.where(entry | detail).select(
+        *page, F.when(entry, F.lit("entry")).otherwise(F.lit("detail")).alias("kind"),
+        (2 * F.col("turn") + 1).cast("int").alias("node"), section.alias("parent"), section.alias("section_pos"),
+        F.when(entry, F.concat(F.lit("/abs/"), ref)).alias("href"), F.when(entry, F.concat(F.lit("/pdf/"), ref)).alias("pdf_href"),
+        F.when(detail, F.concat(F.lit("Title:"), F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("title"),
+        F.when(detail, people).alias("names"))
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("conv_id") + section).cast("int"))
+    none = F.lit(None).cast("string")
+    heads = c.select(*page, F.lit("section").alias("kind"), (4 * section).alias("node"), F.lit(None).cast("int").alias("parent"),
+                     section.alias("section_pos"), none.alias("href"), none.alias("pdf_href"),
+                     F.date_format(day, "EEE, d MMM yyyy").alias("title"), F.lit(None).cast("array<string>").alias("names")).distinct()
+    return turns.unionByName(heads)
+
+
+def _papers(spark: SparkSession, sf: str, compat: bool) -> DataFrame:
+    # read by several joins; as a stored table of nodes would be
+    a = P.articles_of_nodes(materialize(paper_nodes(spark, sf), "paper-nodes"), cap=20, compat=compat)
     return a.select("page_id", F.col("section_pos").cast("int").alias("section_pos"),
                     F.col("pos").cast("int").alias("pos"), "url", "pdf_url", "title",
                     F.array_join("authors", "|").alias("authors"), "publish_date")
 
 
+def paper_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return _papers(spark, sf, compat=False)
+
+
+def paper_listing_compat(spark: SparkSession, sf: str) -> DataFrame:
+    """Every section sees all entries of its page; the first one's date stays."""
+    return _papers(spark, sf, compat=True)
+
+
 def _nav_articles(batch: DataFrame) -> DataFrame:
     c = extract_listing(with_profile(spread(batch.select("page_id", "url", "html")), NAV_PROFILE),
                         keep=("page_id", "url"))
@@ -87,6 +88,7 @@ def stream_state(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "paper_listing": paper_listing,
+    "paper_listing_compat": paper_listing_compat,
     "stream_ingest": stream_ingest,
     "stream_state": stream_state,
 }

@@ -10,6 +10,7 @@ _MODULES = [
     ("gleaner.plans.scalars", "gleaner.plans.oracle_scalars"),
     ("gleaner.plans.folding", "gleaner.plans.oracle_folding"),
     ("gleaner.plans.retrieval", "gleaner.plans.oracle_retrieval"),
+    ("gleaner.plans.ingest_runs", "gleaner.plans.oracle_ingest_runs"),
     ("gleaner.plans.papers_streams", "gleaner.plans.oracle_papers_streams"),
 ]
 

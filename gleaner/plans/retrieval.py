@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import strings as S
 from gleaner.operators import retrieval as R
+from gleaner.operators.passages import PassageIndex
 from gleaner.plans.common import load
 from gleaner.session import shared_path
 
@@ -95,7 +96,44 @@ def index_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     return idx.read().select("doc_id", "chunk_hash", "chunk_pos")
 
 
+def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The default embedding of every whole document, a row per component."""
+    d = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
+    v = R.hash_embed(d, ["doc_id"], "text").select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    return v.select("doc_id", "dim", F.round("x", 9).alias("x"))
+
+
+def passage_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark question -> its tools -> passages with text, through a stored
+    index that is built twice (the second build finds every chunk and embeds none)."""
+    docs = load(spark, sf, "documents", ["doc_id", "text"], heavy=True)
+    index = PassageIndex(spark, shared_path(spark, "passages", unique=True))
+    for _ in range(2):
+        index.build(docs)
+    found = index.search(load(spark, sf, "benchmark", ["item_id", "text"]), "item_id")
+    return found.select("item_id", F.col("rank").cast("int").alias("rnk"), "doc_id", "chunk_pos",
+                        F.md5("chunk_text").alias("passage_md5"), F.round("sim", 6).alias("sim"))
+
+
+def topk_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark question against all documents, by the languages that the
+    question allows: none given (all), one, or two."""
+    docs = load(spark, sf, "documents", ["doc_id", "text", "lang"], heavy=True)
+    vectors = R.hash_embed(docs, ["doc_id"], "text").join(docs.select("doc_id", "lang"), "doc_id")
+    q = load(spark, sf, "benchmark", ["item_id", "text"])
+    allowed = (F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>"))
+                .when(F.col("item_id") % 3 == 1, F.array(F.lit("en")))
+                .otherwise(F.array(F.lit("de"), F.lit("fr"), F.lit("de"))))
+    asked = R.hash_embed(q, ["item_id"], "text").withColumn("labels", allowed)
+    t = R.topk_labelled(asked, vectors, R.VECTOR_TOP_K, "item_id", "doc_id", "labels", "lang")
+    return t.select(F.col("qid").alias("item_id"), F.col("cid").alias("doc_id"),
+                    F.round("sim", 6).alias("sim"), F.col("rank").cast("int").alias("rnk"))
+
+
 QUERIES = {
+    "doc_vectors": doc_vectors,
+    "passage_topk": passage_topk,
+    "topk_labels": topk_labels,
     "chunk_docs": chunk_docs,
     "embed_hash": embed_hash,
     "vector_topk": vector_topk,

@@ -83,9 +83,10 @@ def json_path_get(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_json(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "source", "lang"])
+    """Every document as one JSON text: a null title, and the whole text."""
+    d = load(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
     d = d.withColumn("title", F.lit(None).cast("string"))
-    return d.select("doc_id", S.json_document(["title", "source", "lang"]).alias("body"))
+    return d.select("doc_id", S.json_document(["title", "source", "lang", "text"]).alias("body"))
 
 
 def _pdf_pages(spark, sf):

@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from typing import Callable, Mapping, Optional
+from typing import Callable, Mapping, Optional, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -92,10 +92,14 @@ class CommitLog:
             raise RunTaken(f"run {batch_id} of {self.root} was committed by another writer")
 
     # -- tables ----------------------------------------------------------------
-    def write_attempt(self, table: str, rows: DataFrame) -> str:
-        """Write rows of ``table``; the attempt's name.  Nothing is visible before a marker names it."""
+    def write_attempt(self, table: str, rows: DataFrame, partitions: Sequence[str] = ()) -> str:
+        """Write rows of ``table`` (``partitions``: further partition columns); the
+        attempt's name.  Nothing is visible before a marker names it."""
         attempt = f"a{uuid.uuid4().hex}"
-        rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(f"{self.root}/{table}")
+        if partitions:                                  # one file or few per folder, whatever the tasks
+            rows = rows.repartition(*partitions)
+        (rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", *partitions)
+             .parquet(f"{self.root}/{table}"))
         return attempt
 
     def read(self, table: str, before: Optional[int] = None) -> Optional[DataFrame]:
@@ -116,14 +120,15 @@ class CommitLog:
         return rows.join(names, "attempt").drop("attempt")
 
     def append(self, build: Callable[[int], Mapping[str, DataFrame]], stream: Optional[str] = None,
-               stream_batch: Optional[int] = None, tries: int = 20) -> int:
+               stream_batch: Optional[int] = None, tries: int = 20,
+               partitions: Mapping[str, Sequence[str]] = {}) -> int:
         """Commit one run: ``build(run)`` gives the rows of each table, computed against
         the runs before ``run``.  If another writer takes that run first, they are
         computed again for the next one.  Returns the run."""
         for _ in range(tries):
             last = self.last()
             run = 0 if last is None else last + 1
-            attempts = {table: self.write_attempt(table, rows) for table, rows in build(run).items()}
+            attempts = {table: self.write_attempt(table, rows, partitions.get(table, ())) for table, rows in build(run).items()}
             try:
                 self.claim(run, attempts, stream, stream_batch)
                 return run

@@ -93,15 +93,15 @@ PAPER = """<html><body>
 </dl></body></html>"""
 
 
-def test_paper_entries_sections_and_shared_detail():
-    rows = X.paper_entries(PAPER, compat=False)
-    by = {(r[0], r[2]): r for r in rows}
-    assert len(rows) == 5
-    assert by[(0, 0)][3:] == ("/abs/1", "/pdf/1", "Title:First", ["A", "B"])
-    # two entries before one detail share it
-    assert by[(0, 1)][5] == "Title:Shared" and by[(0, 2)][5] == "Title:Shared"
-    assert by[(0, 2)][4] == "https://x/pdf/3"
-    # missing abstract link, entries without detail
-    assert by[(1, 0)][3] is None and by[(1, 0)][5] is None and by[(1, 0)][6] == []
-    compat = X.paper_entries(PAPER, compat=True)
-    assert len(compat) == 10          # each section sees all 5 entries of the page
+def test_paper_nodes():
+    nodes = X.paper_nodes(X.parse(PAPER))
+    assert [n[0] for n in nodes] == ["section", "entry", "detail", "entry", "entry", "detail", "section", "entry", "entry"]
+    assert [n[3] for n in nodes] == [0] * 6 + [1] * 3
+    assert nodes[0][6] == "Mon, 3 Feb 2025 (showing 3 of 3 entries)"
+    assert nodes[1][4:6] == ("/abs/1", "/pdf/1") and nodes[7][4:6] == (None, "/pdf/4")
+    assert nodes[2][6:] == ("Title:First", ["A", "B"])
+    assert [n[1] for n in nodes] == sorted(n[1] for n in nodes)          # document order
+    assert len({n[2] for n in nodes[1:6]}) == 1                          # siblings
+    # an entry outside any section, a detail without parts
+    loose = X.paper_nodes(X.parse("<dt><a title='Abstract' href='/x'>x</a></dt><dd>text</dd>"))
+    assert [(n[0], n[3], n[6], n[7]) for n in loose] == [("entry", None, None, None), ("detail", None, None, [])]
