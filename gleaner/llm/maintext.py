@@ -2,14 +2,20 @@
 
 A page is a sequence of words and tags.  Words score mostly positive and tags
 negative, with weights that are log-odds learnt from labelled pages; one linear
-scan finds the contiguous region with the highest sum.  Inside the region the
-parts that are no article text (scripts, forms, navigation, adverts, notices,
-reader comments, ...) are left out, references are decoded, white space in a
-block becomes one space, and blocks are joined by one line feed.
+scan finds the contiguous region with the highest sum.  Elements that are no
+article text (scripts, forms, navigation, adverts, notices, reader comments, ...)
+are left out of the sequence, so they neither count for a region nor cut it.
+Inside the region references are decoded, white space in a block becomes one
+space, and blocks are joined by one line feed.
+
+An element is left out for its tag (``ASIDE``), for a word of its class, id or role
+that says so (``HINTS``, or a word whose learnt log-odds are under ``OUTSIDE``), or if it is
+hidden; but never the page's root, its first article or main element, a heading, what
+holds that first article (or the first h1), or a wrapper with ``MOST`` of the words.
 
 Labels: a page whose markup says where its article is (``LABEL_TAGS``) is a
-labelled page; its tokens inside that element are content.  At most
-``LABELLED_PAGES`` of them (smallest by hash of the id; a documented parameter)
+labelled page; its tokens inside that element are content.  About
+``LABELLED_PAGES`` of them (a share by hash of the id; a documented parameter)
 are learnt from.  A page without such markup is cut by the same weights.
 
 Defined cases: a null or empty html has the empty text; unclosed and stray tags,
@@ -43,6 +49,11 @@ HINTS = ("ad", "ads", "advert", "advertisement", "banner", "sidebar", "nav", "na
          "comments", "disqus", "cookie", "consent", "notice", "promo", "sponsor", "sponsored", "share", "social",
          "related", "breadcrumb", "breadcrumbs", "newsletter", "subscribe", "popup", "modal", "widget", "toolbar",
          "navigation", "contentinfo", "complementary", "search", "respond", "reply", "replies", "login", "masthead")
+#: Of these, what may hold most of a page's words and still be none of its text.
+TALK = ("comment", "comments", "disqus", "respond", "reply", "replies")
+#: A class word is a mark below these log-odds, seen outside at least so often; a wrapper
+#: with this share of a page's words is none.
+OUTSIDE, SEEN, MOST = -3.0, 200, 0.8
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,8 +73,8 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
 def tokens(page: str):
-    """("text", raw text) and ("open"/"close", name, marked) of a page; comments,
-    declarations and the content of raw elements are left out."""
+    """("text", raw text), ("open", name, class words, hidden) and ("close", name) of a
+    page; comments, declarations and the content of raw elements are left out."""
     at, low = 0, None
     for_raw = None
     while at < len(page):
@@ -71,50 +82,90 @@ def tokens(page: str):
         if not m:
             break
         if m.start() > at:
-            yield "text", page[at:m.start()], False
+            yield "text", page[at:m.start()], (), False
         at = m.end()
         name = m[2] and m[2].lower()
         if not name:
             continue
         if m[1]:
-            yield "close", name, False
+            yield "close", name, (), False
             continue
-        marked = name in ASIDE or bool(m[3]) and any(
-            w in HINTS for x in _ATTR.findall(m[3]) for w in _HINT.split((x[1] or x[2] or x[3])) for w in (w.lower(),))
-        if "hidden" in (m[3] or "").lower().split():
-            marked = True
-        yield "open", name, marked
+        words = [w.lower() for x in _ATTR.findall(m[3]) for w in _HINT.split(x[1] or x[2] or x[3]) if w] if m[3] else ()
+        yield "open", name, words, "hidden" in (m[3] or "").lower().split()
         if name in RAW and not m[0].endswith("/>"):
             if low is None:
                 low = page.lower()
             for_raw = low.find(f"</{name}", at)
             at = len(page) if for_raw < 0 else for_raw
     if at < len(page):
-        yield "text", page[at:], False
-
-
-def scan(page: str) -> list[tuple]:
-    """Tokens with their context: (kind, text or name, feature, words, aside depth).
+        yield "text", page[at:], (), False
+
+
+class Tree:
+    """The elements of a page in the order they open: name, parent, class words,
+    hidden, words below, and whether the first article (or first h1) is below."""
+
+    def __init__(self):
+        self.name, self.parent, self.classes, self.hidden, self.words, self.holds = [""], [0], [()], [False], [0], [False]
+
+    def open(self, name: str, parent: int, classes, hidden: bool) -> int:
+        for column, value in zip((self.name, self.parent, self.classes, self.hidden, self.words, self.holds),
+                                 (name, parent, classes, hidden, 0, False)):
+            column.append(value)
+        return len(self.name) - 1
+
+    def depths(self, odds: dict[str, float]) -> list[int]:
+        """For every element the number of marked ones that it is in, itself included."""
+        first = next((i for i, n in enumerate(self.name) if n in LABEL_TAGS), None)
+        if first is None:
+            first = next((i for i, n in enumerate(self.name) if n == "h1"), 0)
+        for i in range(len(self.name) - 1, 0, -1):
+            self.words[self.parent[i]] += self.words[i]
+            self.holds[i] |= i == first
+            self.holds[self.parent[i]] |= self.holds[i]
+        out = [0] * len(self.name)
+        for i in range(1, len(self.name)):
+            out[i] = out[self.parent[i]] + self.marked(i, odds)
+        return out
+
+    def marked(self, i: int, odds: dict[str, float]) -> bool:
+        name, words = self.name[i], self.classes[i]
+        if name in ("html", "body"):
+            return False
+        if name in ASIDE and name not in ("form", "fieldset"):
+            return True
+        if self.holds[i]:
+            return False
+        heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+        said = not heading and any(w in HINTS or odds.get("c:" + w, 0.0) < OUTSIDE for w in words)
+        if not (name in ASIDE or said or self.hidden[i]):
+            return False
+        return self.words[i] < MOST * self.words[0] or any(w in TALK for w in words)
+
+
+def scan(page: str, odds: dict[str, float] | None = None) -> tuple[list[tuple], Tree]:
+    """Tokens with their context: (kind, text or name, feature, words, depth, element), where
+    depth counts the marked elements around, and the page's elements.
 
     The feature of words is the block they stand in; of a tag, its name."""
-    out, stack = [], []              # stack of (name, marked)
-    depth = 0
+    out, stack, tree = [], [], Tree()              # stack of (name, element)
     block = ["html"]
 
     def pop_to(k: int) -> None:
-        nonlocal depth
         while len(stack) > k:
-            name, marked = stack.pop()
-            depth -= marked
+            name, _ = stack.pop()
             if name not in INLINE:
                 block.pop()
 
-    for kind, x, marked in tokens(page):
+    def inner() -> int:
+        return stack[-1][1] if stack else 0
+
+    for kind, x, classes, hidden in tokens(page):
         if kind == "text":
             n = len(x.split())
+            tree.words[inner()] += n
             link = any(s[0] == "a" for s in stack[-3:])
-            where = "aside" if depth else block[-1] + ("/a" if link else "")
-            out.append(("text", x, "w:" + where, n, depth))
+            out.append(("text", x, "w:" + block[-1] + ("/a" if link else ""), n, inner()))
             continue
         if kind == "open":
             if x in ENDS_P:
@@ -131,19 +182,22 @@ def scan(page: str) -> list[tuple]:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                         break
-            out.append(("open", x, "<" + x + ("!" if marked else ""), 0, depth + marked))
+            element = tree.open(x, inner(), classes, hidden)
+            out.append(("open", x, "<" + x, 0, element))
             if x not in VOID:
-                stack.append((x, marked))
-                depth += marked
+                stack.append((x, element))
                 if x not in INLINE:
                     block.append(x)
         else:
+            element = inner()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == x:
+                    element = stack[k][1]
                     pop_to(k)
                     break
-            out.append(("close", x, "</" + x, 0, depth))
-    return out
+            out.append(("close", x, "</" + x, 0, element))
+    depth = tree.depths(odds or {})
+    return [(*t[:4], depth[t[4]], t[4]) for t in out], tree
 
 
 # --- weights --------------------------------------------------------------------
@@ -165,25 +219,35 @@ def label(tokens_: list[tuple]) -> tuple[int, int] | None:
 
 
 def count_features(pages: list) -> list[tuple[str, int, int]]:
-    """(feature, inside, outside) counts of labelled pages; words count as words."""
+    """(feature, inside, outside) counts of labelled pages over what isn't marked; words
+    count as words.  A class word counts the words below the elements that have it."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        toks = scan(page or "")
+        toks, tree = scan(page or "")
         span = label(toks)
         if span is None:
             continue
-        for i, (kind, _, feature, n, _) in enumerate(toks):
-            (inside if span[0] <= i < span[1] else outside)[feature] += n if kind == "text" else 1
+        for i, (kind, _, feature, n, depth, element) in enumerate(toks):
+            to = inside if span[0] <= i < span[1] else outside
+            if kind == "open" and not tree.holds[element]:
+                for w in set(tree.classes[element]):
+                    to["c:" + w] += tree.words[element]
+            if not depth:
+                to[feature] += n if kind == "text" else 1
     return [(f, inside[f], outside[f]) for f in sorted(inside.keys() | outside.keys())]
 
 
 def weights_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
     """Log-odds of each feature: words within +-1, tags from -5.1 to -0.1, so that an
-    advert inside a long article doesn't cut it in two."""
+    advert inside a long article doesn't cut it in two; class words as they are,
+    if seen often enough."""
     out = {}
     for f, a, b in counts:
         odds = math.log((a + 0.5) / (b + 0.5))
-        if f.startswith("w:"):
+        if f.startswith("c:"):
+            if b >= SEEN:
+                out[f] = odds
+        elif f.startswith("w:"):
             out[f] = max(-1.0, min(1.0, odds / 2))
         else:
             out[f] = max(-5.0, min(0.0, odds)) - 0.1
@@ -193,9 +257,9 @@ def weights_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
 def prior(feature: str) -> float:
     """Weight of a feature that no labelled page has."""
     if feature.startswith("w:"):
-        return -1.0 if feature == "w:aside" or feature.endswith("/a") else \
+        return -1.0 if feature.endswith("/a") else \
             0.5 if feature in ("w:html", "w:body", "w:div", "w:section", "w:td") else 1.0
-    if feature.endswith("!") or feature.lstrip("</") in ASIDE + ("body", "html", "article", "main", "header"):
+    if feature.lstrip("</") in ASIDE + ("body", "html", "article", "main", "header"):
         return -3.0
     return -0.5
 
@@ -215,9 +279,10 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page."""
-    toks = scan(page or "")
+    toks, _ = scan(page or "", weights)
+    toks = [t for t in toks if not t[4]]
     scores = []
-    for kind, _, feature, n, _ in toks:
+    for kind, _, feature, n, _, _ in toks:
         w = weights.get(feature)
         if w is None:
             w = prior(feature)
@@ -232,11 +297,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             if text:
                 blocks.append(text)
 
-    level = min((t[4] for t in toks[start:end] if t[0] == "text" and t[3]), default=0)
-    for kind, x, _, _, depth in toks[start:end]:
+    for kind, x, _, _, _, element in toks[start:end]:
         if kind == "text":
-            if depth <= level:
-                now.append(x)
+            now.append(x)
         elif x not in INLINE:
             flush()
     flush()
@@ -246,16 +309,16 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 # --- jobs --------------------------------------------------------------------------
 
 def learn(pages: DataFrame, rows: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most ``rows`` labelled pages; only counts reach the driver
-    (one row per feature: tag names and their marks)."""
-    ids = (pages.where(F.lower("html").rlike("<(" + "|".join(LABEL_TAGS) + r")[\s>]"))
-           .select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).distinct())
-    picked = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")    # bounded by ``rows``
+    """Weights from about ``rows`` labelled pages; only counts of their features (tags,
+    blocks and class words) reach the driver."""
+    labelled = pages.where(F.lower("html").rlike("<(" + "|".join(LABEL_TAGS) + r")[\s>]")).select("page_id", "html")
+    share = min(1.0, rows / max(labelled.count(), 1))
+    picked = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = map_batches(picked.select("html"),
                          lambda c: dict(zip(("f", "a", "b"), map(list, zip(*count_features(c["html"]))))) or {"f": [], "a": [], "b": []},
                          "f string, a long, b long")
-    got = counts.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(5000)
-    return weights_of([tuple(r) for r in got.collect()])
+    got = counts.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return weights_of(sorted(tuple(r) for r in got.collect()))
 
 
 def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
