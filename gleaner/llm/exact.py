@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import SPACE, drop, drop_path, scratch, store
+from gleaner.llm.util import SPACE, drop, drop_path, row_of, scratch, store
 
 #: Settings of the disk-backed state; set for the stream, then put back.
 STATE_CONF = {
@@ -145,7 +145,11 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of every group of equal texts."""
-    kept = dedup(docs).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-    return rows.join(kept, (F.col("_f") == F.col("_file")) & (F.col("_r") == F.col("_row")), "left_semi").select(*docs.columns)
+    """Pipeline stage: one row of every group of equal texts.  A frame that isn't read
+    straight from files is written first; columns of any name pass through."""
+    try:
+        rows = docs.select(row_of(docs), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        docs = store(docs, "exact-input")
+        rows = docs.select(row_of(docs), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(dedup(docs).where("kept").select("file", "row"), ["file", "row"], "left_semi").select("doc.*")

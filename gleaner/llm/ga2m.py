@@ -166,11 +166,13 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Fit on at most ``rows`` labelled rows (columns doc_id, quality).  Only
-    their feature rows (a few numbers each) reach the driver."""
-    ids = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-           .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    """Fit on about ``rows`` labelled rows (columns doc_id, quality), a share by hash of
+    the id, or all if there are no more.  Only their feature rows (a few numbers
+    each) reach the driver."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    share = min(1.0, rows / max(known.count(), 1))
+    ids = (known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+           .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")   # bounded by ``rows``
     got = map_batches(picked.select("text", "quality"),
                       lambda c: {"f": features(c["text"]).tolist(), "y": c["quality"]},
@@ -206,9 +208,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: the rows of ``docs`` whose text is predicted 1."""
     model = train_on_folds(spark, spark.read.parquet(table_path(sf_dir, "documents")), sf_dir)
 
+    score_column = "score"
+    while score_column in {c.lower() for c in docs.columns}:        # a name of its own
+        score_column += "_"
+
     def fn(cols):
-        return cols | {"_gam_score": score(model, features(cols["text"]))}
+        return cols | {score_column: score(model, features(cols["text"]))}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return (map_batches(docs, fn, schema + ", _gam_score double")
-            .where(F.col("_gam_score") >= THRESHOLD).select(*docs.columns))
+    return (map_batches(docs, fn, f"{schema}, {score_column} double")
+            .where(F.col(score_column) >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns)))

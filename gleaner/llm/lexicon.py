@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import map_batches, open_fs, scratch
+from gleaner.llm.util import drop, map_batches, open_fs, scratch, store
 
 #: The byte-level pre-tokenizer's pattern.  Fixed value.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -356,9 +356,19 @@ def frequent_pieces(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
     split = F.explode(F.split("piece", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"))
     counted = (docs.select("text").mapInArrow(run, "piece string, n long").where("piece <> ''")
                .groupBy("piece").agg(F.sum("n").alias("n")))
-    top = (counted.select(split.alias("piece"), "n").where(F.length("piece").between(1, 60) & ~F.col("piece").rlike(r"\s"))
-           .groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(words))
-    return [r[0] for r in top.collect()]
+    pieces = (counted.select(split.alias("piece"), "n").where(F.length("piece").between(1, 60) & ~F.col("piece").rlike(r"\s"))
+              .groupBy("piece").agg(F.sum("n").alias("n")))
+    pieces = store(pieces, "pieces")
+    # a histogram of counts in steps of about 1 %: no task sends what can't be among the first
+    step = F.floor(F.log2("n") * 64)
+    left, lowest = words, 0
+    for r in sorted(pieces.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r["n"]):
+        left, lowest = left - r["c"], r["n"]
+        if left <= 0:
+            break
+    got = [r[0] for r in pieces.where(F.col("n") >= lowest).orderBy(F.desc("n"), "piece").limit(words).collect()]
+    drop(pieces)
+    return got
 
 
 def publish(spark: SparkSession, vocabulary: str, pieces: list[str]) -> str:

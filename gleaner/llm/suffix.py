@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import drop, prefix_sums, span_hashes, store
+from gleaner.llm.util import drop, prefix_sums, row_of, span_hashes, store
 
 LENGTH, ANCHOR = 200, 64
 SPAN = LENGTH - ANCHOR + 1                 # 137 anchors to choose from
@@ -332,13 +332,10 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all rows, texts without their repeated strings (bytes of a
     character that was cut in two go as well)."""
     copies, cuts = repeated(docs, keep_text=True)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    names = {c: f"_c_{c}" for c in ("key", "key2")}
-    rows = docs.select(*docs.columns, *[c.alias(names[n]) for n, c in zip(("key", "key2"), text_keys())])
-    twice = copies.where("copies > 1").select(F.col("key").alias("_k"), F.col("key2").alias("_k2"), F.lit(True).alias("_twice"))
-    cuts = cuts.select(F.col("key").alias("_x"), F.col("key2").alias("_x2"), F.col("kept").alias("_kept"))
-    out = (rows.join(twice, (F.col("_c_key") == F.col("_k")) & (F.col("_c_key2") == F.col("_k2")), "left")
-           .join(cuts, (F.col("_c_key") == F.col("_x")) & (F.col("_c_key2") == F.col("_x2")), "left"))
-    new = (F.when(F.col("_twice") & (F.octet_length(text) >= LENGTH), F.lit(""))
-           .otherwise(F.coalesce("_kept", "text")))
-    return out.withColumn("text", new).select(*docs.columns)
+    rows = docs.select(row_of(docs), *text_keys())
+    twice = copies.where("copies > 1").select("key", "key2", F.lit(True).alias("twice"))
+    out = rows.join(twice, ["key", "key2"], "left").join(cuts.select("key", "key2", "kept"), ["key", "key2"], "left")
+    text = F.col("doc.text")
+    new = (F.when(F.col("twice") & (F.octet_length(F.coalesce(text, F.lit(""))) >= LENGTH), F.lit(""))
+           .otherwise(F.coalesce("kept", text)))
+    return out.select(*(new.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

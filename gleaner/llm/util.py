@@ -55,6 +55,11 @@ def open_fs(path: str):
         else (fs.LocalFileSystem(), path)
 
 
+def row_of(df: DataFrame):
+    """All columns of ``df`` as one struct ``doc``: names beside it can't clash with them."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("doc")
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker that waits for its next task
     shall not hold what the last one used."""

@@ -610,3 +610,43 @@ def test_pipeline_stages(spark, empty):
     for r, (n, gone, _, _) in zip(old, brute_repeats([r["text"] for r in old])):
         assert abs(len(new[r["doc_id"]].encode()) - (n - gone)) <= 6 * (gone > 0)
     assert seen["packing"][1].where("piece = 0").count() == seen["packing"][0].count()
+
+
+CLASHES = ["score", "Score_", "file", "row", "doc", "digest", "keep", "kept", "key", "key2", "twice", "group_size",
+           "component_id", "n_shingles", "set_id", "id", "_gam_score", "_f", "_r", "_k", "_x"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns, named as the operators name their own, change nothing; frames that
+    aren't read straight from files are fine; nulls, empty and equal texts too."""
+    import corpus_pipeline
+
+    plain = spark.createDataFrame([(r[0], r[1]) for r in corpus()], "doc_id long, text string")
+    more = plain.select("*", *(F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHES)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plain, SF), stage(spark, more, SF)
+        assert got.columns == more.columns
+        assert rows_of(got, "doc_id", "text") == rows_of(want, "doc_id", "text"), name
+        assert got.where("key2 <> 'x9' OR file <> 'x2'").count() == 0
+    assert stage is not None
+
+
+def test_exact_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rows = [(r[0], r[1]) for r in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = dict(corpus_pipeline.STAGES)["exact"](spark, docs, SF)
+    best = {}
+    for i, t in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        best[norm] = min(best.get(norm, (True, 0)), (i is None, i or 0))
+    assert sorted((i is None, i or 0) for (i,) in rows_of(got, "doc_id")) == sorted(best.values())
+
+
+def test_quality_stage_against_the_scores(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF).collect()}
+    assert got == {r["doc_id"] for r in ga2m.op2_quality_gam(spark, SF).where("predicted = 1").collect()}
