@@ -58,3 +58,10 @@ def known_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     The page filter is applied before the Python stage (Catalyst cannot move
     it through ``mapInPandas``), so only those pages are parsed."""
     return absolute_links(spark, sf_dir, F.col("url").startswith("http://"))
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, title (whole, as in the markup) and source (its site) of every page."""
+    pages = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+                        F.regexp_extract("url", r"://(?:[^/?#]*\.)?([a-z0-9-]+\.[a-z]+)(?:[/?#]|$)", 1).alias("source"))

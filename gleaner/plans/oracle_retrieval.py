@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans.oracle_links import safe_filename
+from gleaner.plans.oracle_links import TITLES, file_path
 
 
 def tokens(x: str) -> str:
@@ -31,8 +31,8 @@ def topk(pairs: str, k: int, q: str = "query_id", c: str = "vec_id") -> str:
 
 COS = "list_cosine_similarity(q.embedding::double[], c.embedding::double[])"
 
-NAMES = f"""names as (select doc_id,
-    lower({safe_filename("text || '_' || source || '_' || lang")}) as name from documents)"""
+NAMES = f"""{TITLES}, names as (select page_id as doc_id,
+    substr({file_path('title', 'source', 'null::varchar')}, 6) as name from titles)"""
 
 LEVEL = """select doc_id, g as pos, string_agg(text, ' ' order by pos) as text,
                   ceil(max(n) / 4.0)::bigint as n

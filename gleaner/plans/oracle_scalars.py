@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gleaner.operators import browse as B
-from gleaner.plans.oracle_links import LINKS, REGISTRY, safe_filename
+from gleaner.plans.oracle_links import LINKS, REGISTRY, TITLES, file_path
 
 
 def q(s: str) -> str:
@@ -39,11 +39,10 @@ PROMPT_HEADER = (f"printf({q(B.PROMPT_HEADER)}, coalesce(title, 'None'), coalesc
 ROUTE_TEXT = f"case when coalesce(has_text, false) then {q(B.ROUTE_RETRIEVE)} else {q(B.ROUTE_BROWSE)} end"
 
 SQL = {
-    "path_collisions": f"""with p as (select doc_id,
-            lower({safe_filename("text || '_' || source || '_' || lang || '.txt'")}) as article_file_path
-          from documents)
-        select article_file_path, count(*) as n_articles, arg_max(doc_id, doc_id)::varchar as stored_doc
-        from p group by article_file_path having count(*) > 1""",
+    "path_collisions": f"""with {TITLES}, p as (select page_id, {file_path('title', 'source', 'null::varchar')} as path from titles),
+          f as (select page_id, substr(path, 6) as article_file_path from p)
+        select article_file_path, count(*) as n_articles, max(page_id)::varchar as stored_page
+        from f group by article_file_path having count(*) > 1""",
     "date_attr": """with r as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as raw from orders)
         select o_orderkey, raw, split_part(raw, 'T', 1) as publish_date from r""",
     "date_cascade": f"with r as ({RENDERED}) select o_orderkey, raw, {cascade('raw')} as publish_date from r",
@@ -58,9 +57,7 @@ SQL = {
                then strftime(try_strptime(regexp_extract(section_head, {SEC}, 2), '%d %b %Y'), '%Y-%m-%d') end
             as publish_date
         from r""",
-    "safe_filename": f"""select doc_id,
-          lower({safe_filename("text || '_' || source || '_' || lang || '.txt'")}) as file_name
-        from documents""",
+    "safe_filename": f"""with {TITLES} select page_id, substr({file_path('title', 'source', 'null::varchar')}, 6) as file_name from titles""",
     "camel_case": """with s as (select distinct event_type || '_' || event_type || '_log' as snake from events)
         select snake, array_to_string(list_transform(string_split(snake, '_'),
                lambda x: upper(x[1]) || lower(x[2:])), '') as camel from s""",

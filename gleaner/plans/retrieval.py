@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import strings as S
 from gleaner.operators import retrieval as R
 from gleaner.operators.passages import PassageIndex
-from gleaner.plans.common import load
+from gleaner.plans.common import load, page_titles
 from gleaner.session import shared_path
 
 # Fixture binding: the page labels a metadata filter keeps.
@@ -57,9 +57,9 @@ def two_level_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_names(spark, sf):
-    d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
-    name = F.lower(S.safe_filename(F.concat_ws("_", F.col("text"), "source", "lang")))
-    return d.select("doc_id", name.alias("name"))
+    """Articles by their file names (title and site of every page)."""
+    p = page_titles(spark, sf)
+    return p.select(F.col("page_id").alias("doc_id"), S.article_file_name(F.col("title"), F.col("source"), F.lit(None)).alias("name"))
 
 
 def tool_catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from gleaner.functions import strings as S
 from gleaner.operators import browse as B
 from gleaner.operators import ingest as I
 from gleaner.plans import links as L
-from gleaner.plans.common import AS_OF, absolute_links, load
+from gleaner.plans.common import AS_OF, absolute_links, load, page_titles
 from gleaner.sources import config as C
 from gleaner.sources import documents as DOC
 
@@ -56,9 +56,9 @@ def section_date(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def safe_filename(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
-    name = F.concat_ws("_", F.col("text"), F.col("source"), F.col("lang"))
-    return d.select("doc_id", F.lower(S.safe_filename(F.concat(name, F.lit(".txt")))).alias("file_name"))
+    """The file name of every page's article: whole title, site, no date."""
+    p = page_titles(spark, sf)
+    return p.select("page_id", S.article_file_name(F.col("title"), F.col("source"), F.lit(None)).alias("file_name"))
 
 
 def camel_case(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,15 +172,13 @@ def article_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose file path (first 60 characters as title, source,
-    language as date) is shared with another document; the last writer in
-    doc_id order is the one a file store would keep."""
-    d = load(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
-    rows = d.select(F.col("doc_id").cast("string").alias("url"), "doc_id",
-                    S.article_file_name(F.col("text"), F.col("source"), F.col("lang"))
-                    .alias("article_file_path"))
-    out = I.path_collisions(rows, ["doc_id"])
-    return out.select("article_file_path", "n_articles", F.col("stored_url").alias("stored_doc"))
+    """Pages whose article path (title, site) is shared with another page; the last
+    writer in page_id order is the one a file store would keep."""
+    p = page_titles(spark, sf)
+    rows = p.select(F.col("page_id").cast("string").alias("url"), "page_id",
+                    S.article_file_name(F.col("title"), F.col("source"), F.lit(None)).alias("article_file_path"))
+    out = I.path_collisions(rows, ["page_id"])
+    return out.select("article_file_path", "n_articles", F.col("stored_url").alias("stored_page"))
 
 
 QUERIES = {
