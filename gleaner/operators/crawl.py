@@ -17,7 +17,7 @@ pages (fetching itself is outside Spark).
 from __future__ import annotations
 
 from dataclasses import replace
-from typing import Optional, Sequence
+from typing import Callable, Optional, Sequence, Union
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -90,7 +90,7 @@ def header_rows(pages: DataFrame, rules: Sequence[HeaderRule] = HEADER_RULES) ->
     return header_articles(E.parse_pages(bare, _PARSED, rules, by_url=True), rules)
 
 
-def ingest_articles(listing_pages: DataFrame, registry_urls: Optional[DataFrame],
+def ingest_articles(listing_pages: DataFrame, registry_urls: Union[DataFrame, Callable, None],
                     article_pages: Optional[DataFrame] = None,
                     profiles: Sequence[E.Profile] = SOURCE_PROFILES,
                     rules: Sequence[HeaderRule] = HEADER_RULES,
@@ -98,7 +98,9 @@ def ingest_articles(listing_pages: DataFrame, registry_urls: Optional[DataFrame]
     """The new articles of one run, one row per URL, with their body ``text``.
 
     Listing pages are parsed once: the tagged rows are written to the shared folder,
-    as the listing, header and paper branches all read them.  Of several fetched
+    as the listing, header and paper branches all read them.  ``registry_urls`` may be a
+    function of the run's articles (url, ...) that gives them, written once, and
+    the known URLs among them.  Of several fetched
     pages of one URL the first counts (``page_pos``, if the table has it)."""
     rules = list(rules)
     # paper profiles stay in the chain so that first-match dispatch is decided over all profiles
@@ -113,6 +115,8 @@ def ingest_articles(listing_pages: DataFrame, registry_urls: Optional[DataFrame]
         arts = arts.observe(metrics["found"], F.count(F.lit(1)).alias("n_found"))
     arts = arts.where(F.nullif(F.col("url"), F.lit("")).isNotNull())
     arts = I.dedup_first(arts, ORDER)
+    if callable(registry_urls):
+        arts, registry_urls = registry_urls(arts)
     if registry_urls is not None:
         arts = I.anti_known(arts, registry_urls)
     if article_pages is None:
@@ -132,7 +136,8 @@ def run_ingest(store: RegistryStore, listing_pages: DataFrame, article_pages: Op
     together.  ``paged``: texts of paged documents (pdf_url, body).  Returns the run."""
     def build(run: int) -> dict:
         # both tables are made of the same articles
-        arts = materialize(ingest_articles(listing_pages, store.known_urls(run), article_pages, **options), "new-articles")
+        arts = materialize(ingest_articles(listing_pages, lambda batch: store.new_among(batch, run), article_pages, **options),
+                           "new-articles")
         return {"data": I.registry_rows(arts, ORDER, docs_dir), "documents": document_rows(arts, paged, docs_dir)}
 
     return store.append(build)

@@ -25,11 +25,12 @@ PAPERS = """with c as (select conv_id, turn, role, text, case when turn < 2 then
 SQL = {
     "paper_listing": PAPERS.format(part="conv_id, sec", sec="nx.sec"),
     "paper_listing_compat": PAPERS.format(part="conv_id", sec="(select min(f.sec) from c f where f.conv_id = nx.conv_id)"),
+    # run = the arrival of the first page that shows the link
     "stream_ingest": f"""with {LINKS},
-        b as (select * from abs_links where url is not null and url <> ''
-              qualify row_number() over (partition by url order by page_id, pos) = 1)
+        b as (select *, (page_id % 4)::integer as run from abs_links where url is not null and url <> ''
+              qualify row_number() over (partition by url order by page_id % 4, page_id, pos) = 1)
         select url, {file_path('title', 'source', 'null::varchar')} as article_file_path, title, source,
-               null::varchar as publish_date, coalesce(length(title) > 0, false) as has_text, true as is_new
+               null::varchar as publish_date, coalesce(length(title) > 0, false) as has_text, run = 3 as is_new, run
         from b""",
     "stream_state": FOLDING["state_last_write"],
 }

@@ -9,7 +9,7 @@ from gleaner.functions import strings as S
 from gleaner.operators import papers as P
 from gleaner.operators.extract import extract_listing, with_profile
 from gleaner.plans.common import NAV_PROFILE, host, load
-from gleaner.session import materialize, shared_path, spread, table_path
+from gleaner.session import materialize, shared_path, spread
 from gleaner.sources.registry import RegistryStore
 from gleaner.streaming.ingest import run_stream_ingest
 from gleaner.streaming.state import read_state, start_state_stream
@@ -65,24 +65,37 @@ def _nav_articles(batch: DataFrame) -> DataFrame:
                      F.lit(None).cast("string").alias("publish_date"), F.col("title").alias("text")))
 
 
+#: Arrivals of the streaming queries: files, each a micro-batch.
+ARRIVALS = 4
+
+
+def arrivals(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
+    """A table as a stream of ``ARRIVALS`` files that arrive one after another, its rows
+    dealt by ``key``; every row arrives."""
+    rows = load(spark, sf, table)
+    folder = shared_path(spark, "arrivals", unique=True)
+    for k in range(ARRIVALS):
+        rows.where(F.pmod(F.col(key), F.lit(ARRIVALS)) == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    return (spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", 1).parquet(folder))
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf, "pages")).schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
+    """The registry after the pages arrived in several micro-batches, a run each."""
     store = RegistryStore(spark, shared_path(spark, "stream-registry", unique=True))
     ckpt = shared_path(spark, "checkpoints", "stream-ingest", unique=True)
-    run_stream_ingest(spark, stream, store, _nav_articles, ["page_id", "pos"], ckpt)
+    run_stream_ingest(spark, arrivals(spark, sf, "pages", "page_id"), store, _nav_articles, ["page_id", "pos"], ckpt)
     return store.read().select("url", "article_file_path", "title", "source", "publish_date",
-                               "has_text", "is_new")
+                               "has_text", "is_new", F.col("batch_id").cast("int").alias("run"))
 
 
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf, "events")).schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-              .select("user_id", "event_type", "value", "ts", "event_id"))
+    """The state after the events arrived in several micro-batches, with a snapshot
+    between them."""
+    stream = arrivals(spark, sf, "events", "event_id").select("user_id", "event_type", "value", "ts", "event_id")
     log = shared_path(spark, "state-log", unique=True)
     ckpt = shared_path(spark, "checkpoints", "stream-state", unique=True)
-    start_state_stream(stream, ["user_id", "event_type"], "value", ["ts", "event_id"], log, ckpt)
+    start_state_stream(stream, ["user_id", "event_type"], "value", ["ts", "event_id"], log, ckpt, compact_every=3)
     return read_state(spark, log, ["user_id", "event_type"])
 
 

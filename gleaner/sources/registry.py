@@ -2,16 +2,17 @@
 
 Layout under ``root`` (a folder in shared storage):
 
-    data/attempt=A/part-*.parquet        registry rows that attempt A wrote
-    documents/attempt=A/part-*.parquet   documents (path, url, kind, body) of the same run
-    commits/run-N.json                   the marker of run N: its attempts
+    data/attempt=A/bucket=B/part-*.parquet   registry rows that attempt A wrote, by URL hash
+    documents/attempt=A/part-*.parquet       documents (path, url, kind, body) of the same run
+    commits/run-N.json                       the marker of run N: its attempts
 
 Readers see the rows of attempts that a marker names, so what a failed attempt left
 behind is never read, and a run's registry rows and documents appear together.
 ``is_new`` is not stored: it is ``batch_id == last committed run``, which is exactly
 "clear the flag on every old row, set it on the rows of this run" without
 rewriting the old rows.  A run that inserts nothing still commits, so all flags clear.
-Several writers may run at once (see ``gleaner.sources.commits``).
+Several writers may run at once (see ``gleaner.sources.commits``).  A run that asks which
+of its URLs are known reads only the buckets that they fall into.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import materialize
 from gleaner.sources.commits import CommitLog
 
 REGISTRY_SCHEMA = T.StructType([
@@ -42,10 +44,13 @@ DOCUMENT_SCHEMA = "path string, url string, kind string, body string"
 
 
 class RegistryStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 16):
+        self.spark, self.n_buckets = spark, n_buckets       # the number stays with the registry
         self.log = CommitLog(spark, root)
 
+    def bucket(self):
+        return F.pmod(F.xxhash64("url"), F.lit(self.n_buckets)).cast("int")
+
     # -- reading ----------------------------------------------------------
     def current_batch(self) -> Optional[int]:
         """Last committed run id (one scalar to the driver), None when empty."""
@@ -62,22 +67,32 @@ class RegistryStore:
         if rows is None:
             empty = self.spark.createDataFrame([], REGISTRY_SCHEMA)
             return empty.withColumn("batch_id", F.lit(None).cast("long"))
-        return rows.withColumn("is_new", F.col("batch_id") == F.lit(cur))
+        return rows.drop("bucket").withColumn("is_new", F.col("batch_id") == F.lit(cur))
 
     def documents(self, upto: Optional[int] = None) -> DataFrame:
         """Documents of committed runs."""
         rows = self.log.read("documents", before=None if upto is None else upto + 1)
         return self.spark.createDataFrame([], DOCUMENT_SCHEMA + ", batch_id long") if rows is None else rows
 
-    def known_urls(self, before: int) -> DataFrame:
-        """URLs of runs before ``before`` (a replayed run must not see its own rows)."""
+    def known_urls(self, before: int, among: Optional[DataFrame] = None) -> DataFrame:
+        """URLs of runs before ``before`` (a replayed run must not see its own rows); with
+        ``among`` (url) only of the buckets in which those URLs would be."""
         rows = self.log.read("data", before=before)
-        return self.spark.createDataFrame([], "url string") if rows is None else rows.select("url")
+        if rows is None:
+            return self.spark.createDataFrame([], "url string")
+        if among is not None:                               # at most n_buckets numbers
+            rows = rows.where(F.col("bucket").isin([r[0] for r in among.select(self.bucket().alias("b")).distinct().collect()]))
+        return rows.select("url")
+
+    def new_among(self, batch: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+        """(the batch, written once, and the known URLs of its buckets)."""
+        batch = materialize(batch, "batch")
+        return batch, self.known_urls(run, among=batch)
 
     # -- writing ----------------------------------------------------------
     def write_attempt(self, new_rows: DataFrame) -> str:
         """Write registry rows that no marker names yet."""
-        return self.log.write_attempt("data", new_rows.drop("is_new"))
+        return self.log.write_attempt("data", new_rows.drop("is_new").withColumn("bucket", self.bucket()), ["bucket"])
 
     def commit(self, new_rows: DataFrame, batch_id: int, stream: Optional[str] = None,
                stream_batch: Optional[int] = None) -> None:
@@ -91,9 +106,10 @@ class RegistryStore:
         computes against the runs before it; computed again if another writer was
         first.  Returns the run."""
         def tables(run: int) -> dict:
-            return {name: rows.drop("is_new") for name, rows in build(run).items()}
+            out = {name: rows.drop("is_new") for name, rows in build(run).items()}
+            return out | {"data": out["data"].withColumn("bucket", self.bucket())} if "data" in out else out
 
-        return self.log.append(tables, stream, stream_batch)
+        return self.log.append(tables, stream, stream_batch, partitions={"data": ["bucket"]})
 
     def next_batch_id(self) -> int:
         cur = self.current_batch()

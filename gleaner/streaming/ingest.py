@@ -31,9 +31,15 @@ def run_stream_ingest(spark: SparkSession, stream: DataFrame, store: RegistrySto
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         articles = to_articles(batch)
+
+        def build(run: int) -> dict:
+            # only the registry's buckets that the batch falls into are read
+            rows, known = store.new_among(articles, run)
+            return {"data": new_registry_rows(rows, known, order)}
+
         name = stream_id or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         if store.run_of(name, batch_id) is None:
-            store.append(lambda run: {"data": new_registry_rows(articles, store.known_urls(before=run), order)}, name, batch_id)
+            store.append(build, name, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -93,6 +93,20 @@ def test_registry_and_documents_appear_together(spark):
     assert [r.url for r in store.read().collect()] == [r.url for r in store.documents().collect()] == ["u1"]
 
 
+def test_only_the_buckets_of_the_batch_are_read(spark):
+    store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True), n_buckets=32)
+    old = _batch(spark, [(f"u{i}", "t", "s", None, "x", i) for i in range(300)])
+    store.append(lambda run: {"data": I.new_registry_rows(old, None, ORDER)})
+    new = _batch(spark, [("u7", "t", "s", None, "x", 0), ("fresh", "t", "s", None, "x", 1)])
+    rows, known = store.new_among(new, 1)
+    buckets = {r[0] for r in new.select(store.bucket()).collect()}
+    assert len(buckets) <= 2
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:300]
+    assert {r.url for r in known.collect()} >= {"u7"} and known.count() < 60
+    assert [r.url for r in I.new_registry_rows(rows, known, ORDER).collect()] == ["fresh"]
+
+
 def test_a_registry_without_rows(spark):
     store = RegistryStore(spark, shared_path(spark, "test-registry", unique=True))
     b = _batch(spark, [])

@@ -96,3 +96,34 @@ def test_stream_state_with_retention_equals_batch(spark):
     want = sorted(tuple(r) for r in ev.groupBy("user_id", "event_type").agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("last_value")).collect())
     assert got == want
+
+
+def test_snapshots_bound_what_a_reader_folds(spark):
+    from gleaner.streaming import state as S
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    src = shared_path(spark, "test-state-src", unique=True)
+    for k in range(5):
+        ev.where(F.col("event_id") % 5 == k).coalesce(1).write.parquet(f"{src}/{k}")
+    log = shared_path(spark, "test-state-log", unique=True)
+    ckpt = shared_path(spark, "test-state-ckpt", unique=True)
+    key = ["user_id", "event_type"]
+
+    def run():
+        stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", True).parquet(src))
+        start_state_stream(stream, key, "value", ["ts", "event_id"], log, ckpt, compact_every=2)
+
+    run()
+    upto, path = S.last_snapshot(spark, log)
+    assert upto == 3                                            # batches 0 to 4, snapshots after 1 and 3
+    state = read_state(spark, log, key)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert any("batch_id" in x[:200] and "> 3)" in x[:200] for x in plan.split("PartitionFilters")[1:])
+    got = sorted(tuple(r) for r in state.collect())
+    want = sorted(tuple(r) for r in ev.groupBy(*key).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value")).collect())
+    assert got == want
+    # a snapshot that exists isn't written again; a half-written one isn't seen
+    assert not S.compact(spark, log, key, 3)
+    spark.range(1).write.parquet(f"{log}-snapshots/upto-9-lost")
+    assert S.last_snapshot(spark, log) == (upto, path)
