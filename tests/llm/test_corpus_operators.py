@@ -574,7 +574,7 @@ def test_registered_sql_equals_the_queries(spark):
     from gleaner.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in registry.SQL.items():
         got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()
