@@ -39,7 +39,7 @@ from gleaner.llm.wordbpe import encoder, ended, vocabulary_text
 CAPACITY, SEPARATOR = 2048, 0
 GROUP, ISLANDS, EPOCHS = 8_000, 2, 2
 POPULATION, PATIENCE, KEEP_FILL = 4, 10, 0.998
-BATCH_BYTES = 8e6
+BATCH_BYTES = 4e6
 
 
 # --- tokens ---------------------------------------------------------------------

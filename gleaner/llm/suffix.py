@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import table_path
-from gleaner.llm.util import drop, prefix_sums, row_of, span_hashes, store
+from gleaner.llm.util import drop, prefix_sums, released, row_of, span_hashes, store
 
 LENGTH, ANCHOR = 200, 64
 SPAN = LENGTH - ANCHOR + 1                 # 137 anchors to choose from
@@ -100,7 +100,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("key2", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             key, key2 = (batch.column(c).to_numpy() for c in ("key", "key2"))
             for at, _, texts in _steps(batch, "data"):
                 doc, _, _, _, h = runs(texts)
@@ -118,7 +118,7 @@ def segments(work: DataFrame) -> DataFrame:
                         ("starts", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             cols = {c: batch.column(c).to_pylist() for c in ("key", "key2", "copies", "hashes")}
             for at, _, texts in _steps(batch, "data"):
                 doc, a, b, p, h = runs(texts)
@@ -199,7 +199,7 @@ def bucket_masks(distinct: DataFrame) -> DataFrame:
 
     def run(batches):
         held = []
-        for batch in batches:                            # sorted by bucket
+        for batch in released(batches):                            # sorted by bucket
             for r in batch.to_pylist():
                 if len(held) >= CHUNK and held[-1]["bucket"] != r["bucket"]:
                     yield solve(held)
@@ -216,7 +216,7 @@ def split_masks(distinct: DataFrame) -> DataFrame:
     """The same for segments of larger buckets: their strings are counted under
     their own digests, with partial counts before the shuffle."""
     def strings(batches):
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for r in batch.to_pylist():
                 out += [(hashlib.md5(r["seg"][i:i + LENGTH]).digest(), r["bucket"], r["digest"], i, r["n"])
@@ -293,7 +293,7 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataF
               ("kept_sha256", pa.string())] + ([("kept", pa.string())] if keep_text else [])
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for r in batch.slice(at, 256).to_pylist():

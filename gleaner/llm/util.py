@@ -71,6 +71,13 @@ def release() -> None:
         trim(0)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; freed memory goes back to the system after each."""
+    for batch in batches:
+        yield batch
+        release()
+
+
 def slices(batches: Iterator[pa.RecordBatch], batch_bytes: float) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``batch_bytes`` each, a row at least; freed
     memory goes back to the system after each batch of Spark's."""
