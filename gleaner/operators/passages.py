@@ -28,9 +28,13 @@ from gleaner.sources.commits import CommitLog
 #: embed(rows, key columns, text column) -> (key columns, embedding)
 Embed = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
+CHUNK = ["doc_id", "chunk_pos", "chunk_hash", "chunk_text"]
+
 
 class PassageIndex:
-    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 16, embed: Embed = R.hash_embed):
+    """``embed`` None: the default embedding, made on each row itself."""
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 16, embed: Optional[Embed] = None):
         self.spark, self.log, self.n_buckets, self.embed = spark, CommitLog(spark, root), n_buckets, embed
 
     def bucket(self):
@@ -40,26 +44,55 @@ class PassageIndex:
     def build(self, docs: DataFrame, size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP) -> int:
         """Add the documents (doc_id, text) that the index lacks, and new chunks of those
         it has; the run.  Of equal chunks of a document the first is stored; a null text
-        is an empty one."""
+        is an empty one.
+
+        What is new is found by keys alone.  A text is not shuffled unless its document
+        is new to an index that has others, or stands in several rows."""
         def rows(run: int) -> dict:
-            texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            chunks = (R.chunk(texts, "text", size, overlap)
-                      .withColumn("chunk_hash", F.sha2("chunk_text", 256)).withColumn("_key", F.struct("doc_id", "chunk_hash")))
-            tools = R.tool_catalog(texts, "doc_id", "text").select(
-                "doc_id", (F.col("doc_id") * 2 + F.col("tool_pos")).alias("tool_id"), "description")
+            texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
             have, listed = self.log.read("chunks", before=run), self.log.read("catalog", before=run)
-            chunks = dedup_first(chunks.select("_key", "doc_id", "chunk_pos", "chunk_hash", "chunk_text"), ["chunk_pos"], key="_key")
-            if have is not None:
-                chunks = anti_known(chunks, have.select(F.struct("doc_id", "chunk_hash").alias("_key")), key="_key")
+            several = materialize(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several-rows")
+            several = None if several.isEmpty() else several
+
+            def chunks_of(some: DataFrame) -> DataFrame:
+                """Keys and texts of the first of a document's equal chunks."""
+                if several is None:
+                    return R.distinct_chunks(some, "text", size, overlap).select(*CHUNK)
+                once = R.distinct_chunks(some.join(several, "doc_id", "left_anti"), "text", size, overlap).select(*CHUNK)
+                more = R.distinct_chunks(some.join(several, "doc_id", "left_semi"), "text", size, overlap).select(*CHUNK)
+                more = dedup_first(more.withColumn("_key", F.struct("doc_id", "chunk_hash")), ["chunk_pos"], key="_key")
+                return once.unionByName(more.select(*CHUNK))
+
+            if have is None:
+                chunks = chunks_of(texts)
+            else:
+                have = have.select(F.struct("doc_id", "chunk_hash").alias("_key"))
+                keys = R.distinct_chunks(texts, "text", size, overlap).select("doc_id", F.struct("doc_id", "chunk_hash").alias("_key"))
+                grown = materialize(anti_known(keys, have, key="_key").select("doc_id").distinct(), "new-keys")
+                chunks = chunks_of(texts.join(grown, "doc_id", "left_semi"))
+                chunks = anti_known(chunks.withColumn("_key", F.struct("doc_id", "chunk_hash")), have, key="_key").drop("_key")
             if listed is not None:
-                tools = anti_known(tools, listed, key="doc_id")
-            # each is read twice: for its vectors and for its texts
-            chunks, tools = materialize(chunks.drop("_key"), "new-chunks"), materialize(tools, "new-tools")
-            chunks = chunks.join(self.embed(chunks, ["doc_id", "chunk_hash"], "chunk_text"), ["doc_id", "chunk_hash"])
-            tools = tools.join(self.embed(tools, ["tool_id"], "description"), "tool_id")
+                unlisted = materialize(anti_known(texts.select("doc_id"), listed, key="doc_id").distinct(), "unlisted")
+                texts = texts.join(unlisted, "doc_id", "left_semi")
+            tools = R.tool_catalog(texts, "doc_id", "text").select(
+                "doc_id", (F.col("doc_id") * 2 + F.col("tool_pos")).alias("tool_id"), "description")
+            chunks = self._embedded(chunks, ["doc_id", "chunk_hash"], "chunk_text", "new-chunks")
+            if self.embed is not None or several is None:
+                tools = self._embedded(tools, ["tool_id"], "description", "new-tools")
+            else:                                       # a tool's vector is that of all its rows
+                more = materialize(tools.join(several, "doc_id", "left_semi"), "new-tools")
+                more = more.join(R.hash_embed(more, ["tool_id"], "description"), "tool_id")
+                tools = R.hash_vector(tools.join(several, "doc_id", "left_anti"), "description").unionByName(more)
             return {"chunks": chunks.withColumn("bucket", self.bucket()), "catalog": tools}
 
-        return self.log.append(rows, partitions={"chunks": ("bucket",)})
+        return self.log.append(rows, partitions={"chunks": ("bucket",)}, gather=False)
+
+    def _embedded(self, rows: DataFrame, key: Sequence[str], text: str, name: str) -> DataFrame:
+        """``rows`` with their embedding."""
+        if self.embed is None:
+            return R.hash_vector(rows, text)
+        rows = materialize(rows, name)                  # read twice: for the vectors and for the texts
+        return rows.join(self.embed(rows, key, text), list(key))
 
     # -- reading --------------------------------------------------------------
     def chunks(self, doc_ids: Optional[DataFrame] = None) -> Optional[DataFrame]:
@@ -79,7 +112,7 @@ class PassageIndex:
         """(qid, rank, sim, doc_id, chunk_pos, chunk_hash, chunk_text): the ``k`` passages most similar
         to each question among the documents of its ``k_tools`` best tools.  A question
         without tokens finds nothing."""
-        q = materialize(self.embed(questions.select(qid, text), [qid], text), "question-vectors")
+        q = materialize((self.embed or R.hash_embed)(questions.select(qid, text), [qid], text), "question-vectors")
         tools = R.cosine_topk(q, self.catalog(), k_tools, qid, "tool_id")
         picked = materialize(tools.select("qid", F.expr("cid div 2").alias("doc_id")).distinct(), "picked-documents")
         chunks = materialize(self.chunks(picked), "picked-chunks")

@@ -94,6 +94,21 @@ def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK
     return d.select("*", F.size("_p").alias("n_tokens"), F.array_join("_p", " ").alias("chunk_text")).drop("_p")
 
 
+def distinct_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``chunk`` by tokens as chunk_pos, chunk_hash (SHA-256), chunk_text; of a row's equal
+    chunks only the first.  Decided in the row: no shuffle."""
+    step = size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.size("_t") - overlap) / F.lit(float(step))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(F.col("_t"), i * step + 1, size), " "))
+    d = df.withColumn("_t", tokens(F.col(text))).withColumn("_c", parts)
+    d = d.withColumn("_h", F.transform("_c", lambda c: F.sha2(c, 256)))
+    d = d.withColumn("_z", F.transform("_c", lambda c, i: F.struct(
+        i.alias("chunk_pos"), F.col("_h")[i].alias("chunk_hash"), c.alias("chunk_text"))))
+    first = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.col("_z")).otherwise(
+        F.filter("_z", lambda z: F.array_position("_h", z["chunk_hash"]) == z["chunk_pos"] + 1))
+    return d.select(*[c for c in df.columns if c != text], F.inline(first))
+
+
 # -- hashed term-frequency embedding -----------------------------------------
 def token_bucket(w: Column, dims: int = HASH_DIMS) -> Column:
     """Bucket of a token: first 32 bits of its md5, modulo ``dims``."""
@@ -127,6 +142,20 @@ def hash_embed(df: DataFrame, key: Sequence[str], text: str, dims: int = HASH_DI
     return sparse.select(*key, dense.alias(out))
 
 
+def hash_vector(df: DataFrame, text: str, dims: int = HASH_DIMS, out: str = "embedding") -> DataFrame:
+    """``df`` and its rows' default embedding: ``hash_embed`` where every row is a key.
+
+    Built-in functions on the row alone: neither the text nor its counts are shuffled,
+    and no join brings the vector back to the row."""
+    buckets = F.transform(tokens(F.lower(F.col(text))), lambda w: token_bucket(w, dims).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (
+        F.size("_buckets") - F.size(F.array_remove("_buckets", i))).cast("double"))
+    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, n: s + n * n))
+    vector = F.transform("_counts", lambda n: F.when(F.col("_norm") > 0, n / F.col("_norm")).otherwise(F.lit(0.0)))
+    rows = df.withColumn("_buckets", F.coalesce(buckets, F.array().cast("array<int>"))).withColumn("_counts", counts)
+    return rows.withColumn("_norm", norm).withColumn(out, vector).drop("_buckets", "_counts", "_norm")
+
+
 def model_embed(text: Column, fn, dims: int) -> Column:
     """Plug point for a real embedding model: ``fn(list[str]) -> np.ndarray``
     (n x dims), applied per Arrow batch."""

@@ -92,11 +92,13 @@ class CommitLog:
             raise RunTaken(f"run {batch_id} of {self.root} was committed by another writer")
 
     # -- tables ----------------------------------------------------------------
-    def write_attempt(self, table: str, rows: DataFrame, partitions: Sequence[str] = ()) -> str:
+    def write_attempt(self, table: str, rows: DataFrame, partitions: Sequence[str] = (), gather: bool = True) -> str:
         """Write rows of ``table`` (``partitions``: further partition columns); the
-        attempt's name.  Nothing is visible before a marker names it."""
+        attempt's name.  Nothing is visible before a marker names it.  With ``gather``
+        the rows of a folder are brought together first; without, every task
+        writes its own file per folder, and wide rows stay where they are."""
         attempt = f"a{uuid.uuid4().hex}"
-        if partitions:                                  # one file or few per folder, whatever the tasks
+        if partitions and gather:                       # one file or few per folder, whatever the tasks
             rows = rows.repartition(*partitions)
         (rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", *partitions)
              .parquet(f"{self.root}/{table}"))
@@ -121,14 +123,14 @@ class CommitLog:
 
     def append(self, build: Callable[[int], Mapping[str, DataFrame]], stream: Optional[str] = None,
                stream_batch: Optional[int] = None, tries: int = 20,
-               partitions: Mapping[str, Sequence[str]] = {}) -> int:
+               partitions: Mapping[str, Sequence[str]] = {}, gather: bool = True) -> int:
         """Commit one run: ``build(run)`` gives the rows of each table, computed against
         the runs before ``run``.  If another writer takes that run first, they are
         computed again for the next one.  Returns the run."""
         for _ in range(tries):
             last = self.last()
             run = 0 if last is None else last + 1
-            attempts = {table: self.write_attempt(table, rows, partitions.get(table, ())) for table, rows in build(run).items()}
+            attempts = {table: self.write_attempt(table, rows, partitions.get(table, ()), gather) for table, rows in build(run).items()}
             try:
                 self.claim(run, attempts, stream, stream_batch)
                 return run

@@ -84,3 +84,41 @@ def test_label_lists_per_question(spark):
     for r in R.topk_labelled(q, c, 3, "qid", "cid", "labels", "label").orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.cid)
     assert got == {0: [8, 7, 6], 1: [6, 3, 0], 2: [8, 7, 5], 3: [8, 7, 6]}
+
+
+def test_a_build_shuffles_no_text(spark):
+    index = PassageIndex(spark, shared_path(spark, "test-passages", unique=True))
+    write, plans = index.log.write_attempt, {}
+
+    def seen(table, rows, *more):
+        plans.setdefault(table, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(table, rows, *more)
+
+    index.log.write_attempt = seen
+    for _ in range(2):
+        index.build(_docs(spark), size=8, overlap=2)
+    assert all("Exchange" not in plans[t][0] and "Join" not in plans[t][0] for t in ("chunks", "catalog"))
+    assert index.catalog().count() == 12 and index.chunks().where("batch_id > 0").isEmpty()
+
+
+def test_equal_chunks_of_a_document_in_one_row_or_several(spark):
+    words = "a b c d e f g h "
+    rows = [(1, words * 3), (1, "x y " + words), (2, words * 3), (2, words * 3), (3, words), (4, "z " * 40), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = PassageIndex(spark, shared_path(spark, "test-passages", unique=True))
+    index.build(docs, size=8, overlap=0)
+    got = sorted((r.doc_id, r.chunk_text, r.chunk_pos) for r in index.chunks().collect())
+    chunks = R.chunk(docs.na.fill({"text": ""}), "text", 8, 0).groupBy("doc_id", "chunk_text").agg(F.min("chunk_pos").alias("chunk_pos"))
+    assert got == sorted((r.doc_id, r.chunk_text, r.chunk_pos) for r in chunks.collect())
+    assert index.catalog().count() == 14
+    # a document that has grown: its new chunks only, the others untouched
+    index.build(spark.createDataFrame([(3, words + "new"), (4, "z " * 40)], "doc_id long, text string"), size=8, overlap=0)
+    new = index.chunks().where("batch_id = 1").collect()
+    assert [(r.doc_id, r.chunk_text, r.chunk_pos) for r in new] == [(3, "new", 1)]
+
+
+def test_hash_vector_equals_hash_embed(spark):
+    rows = [*DOCS, (6, "Ä ä ß  \t a\r\na A"), (7, "  x y")]
+    want = {r.doc_id: r.embedding for r in R.hash_embed(_docs(spark, rows), ["doc_id"], "text").collect()}
+    got = {r.doc_id: r.embedding for r in R.hash_vector(_docs(spark, rows), "text").collect()}
+    assert got == want
