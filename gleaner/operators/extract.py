@@ -1,7 +1,7 @@
 """Spark wrappers around the per-page extraction functions.
 
-Only the HTML pass runs in Python (Arrow batches via ``mapInPandas`` /
-``pandas_udf``).  Callers select the needed columns first: column pruning does
+Only the HTML pass runs in Python (Arrow batches via ``mapInArrow`` /
+``mapInPandas`` / ``pandas_udf``).  Callers select the needed columns first: column pruning does
 not reach through a Python stage.
 """
 
@@ -11,14 +11,19 @@ from dataclasses import asdict, dataclass
 from typing import Iterable, Optional, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import extract as X
+from gleaner.functions.batches import release, slices
 
 PF = "pf_"
 
+#: Bytes of pages that a worker turns into Python objects at a time.
+STEP_BYTES = 1e6
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -97,6 +102,34 @@ def with_profile(df: DataFrame, p: Profile) -> DataFrame:
     return df.select("*", *[_lit(vals[k], t).alias(PF + k) for k, t in X.PROFILE_COLUMNS])
 
 
+def map_pages(src: DataFrame, keep: Sequence[str], fields: str, rows_of) -> DataFrame:
+    """``rows_of(page)``, rows of ``fields``, for every page of ``src`` (a dict of its columns),
+    with the page's ``keep`` columns.
+
+    A batch is taken in steps of ``STEP_BYTES``: only a step's pages are Python objects
+    at a time, whatever the session's batch size, and ``keep`` columns never are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keep = list(keep)
+    kinds = to_arrow_schema(T._parse_datatype_string(fields))
+    schema = T.StructType([src.schema[c] for c in keep] + T._parse_datatype_string(fields).fields)
+
+    def run(batches):
+        for step in slices(batches, STEP_BYTES):
+            at, out = [], []
+            for i, page in enumerate(step.to_pylist()):
+                found = rows_of(page)
+                at += [i] * len(found)
+                out += found
+            columns = list(zip(*out)) or [()] * len(kinds)
+            taken = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [step.column(c).take(taken) for c in keep] + [pa.array(v, type=f.type) for v, f in zip(columns, kinds)],
+                names=[*keep, *kinds.names])
+
+    return src.mapInArrow(run, schema)
+
+
 LISTING_FIELDS = "pos int, href string, title string, date_raw string, date_kind string"
 
 
@@ -112,28 +145,18 @@ def extract_listing(df: DataFrame, keep: Sequence[str] = ("page_id",),
     """
     pf_cols = [PF + k for k, _ in X.PROFILE_COLUMNS]
     src = df.select(*keep, "html", *[c for c in pf_cols if c not in keep])
-    keep_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields
-                            if f.name in keep)
-    schema = f"{keep_schema}, {LISTING_FIELDS}"
-    keep = list(keep)
     names = [k for k, _ in X.PROFILE_COLUMNS]
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.to_dict("records"):
-                prof = {k: rec[PF + k] for k in names}
-                if rec[PF + "source"] is None:
-                    continue
-                base = [rec[k] for k in keep]
-                cands = X.listing_candidates(rec["html"], prof)
-                if not cands and diagnostics and X.scoped_root(X.parse(rec["html"]), prof) is None:
-                    out.append(base + [-1, None, None, None, "no_container"])
-                for cand in cands:
-                    out.append(base + list(cand))
-            yield pd.DataFrame(out, columns=keep + ["pos", "href", "title", "date_raw", "date_kind"])
-
-    return src.mapInPandas(run, schema)
+    def rows_of(page: dict) -> list:
+        prof = {k: page[PF + k] for k in names}
+        if prof["source"] is None:
+            return []
+        cands = X.listing_candidates(page["html"], prof)
+        if not cands and diagnostics and X.scoped_root(X.parse(page["html"]), prof) is None:
+            return [(-1, None, None, None, "no_container")]
+        return cands
+
+    return map_pages(src, keep, LISTING_FIELDS, rows_of)
 
 
 @F.pandas_udf(T.StringType())
@@ -228,13 +251,16 @@ def parse_pages(df: DataFrame, keep: Sequence[str] = ("page_id",), rules: Sequen
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for rec in pdf.to_dict("records"):
-                mine = [(i, r) for i, r in rules
-                        if (r.base_url in (rec["url"] or "") if by_url else r.source == rec[PF + "source"])]
-                base = [rec[k] for k in keep]
-                out += [base + x for x in page_rows(rec["html"], {k: X.opt(rec[PF + k]) if k.endswith("source") else rec[PF + k]
-                                                                  for k in names}, mine)]
-            yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("node", "parent", "section_pos", "pos")})
+            step = max(1, int(len(pdf) * STEP_BYTES / max(1, pdf["html"].str.len().sum())))
+            for at in range(0, len(pdf), step):        # only a step's pages as records and trees
+                out = []
+                for rec in pdf.iloc[at:at + step].to_dict("records"):
+                    mine = [(i, r) for i, r in rules
+                            if (r.base_url in (rec["url"] or "") if by_url else r.source == rec[PF + "source"])]
+                    base = [rec[k] for k in keep]
+                    out += [base + x for x in page_rows(rec["html"], {k: X.opt(rec[PF + k]) if k.endswith("source") else rec[PF + k]
+                                                                      for k in names}, mine)]
+                yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("node", "parent", "section_pos", "pos")})
+            release()
 
     return src.mapInPandas(run, f"{keep_schema}, {TAGGED_FIELDS}")

@@ -233,3 +233,41 @@ def test_path_collisions(spark):
     assert rows.count() == 3                                  # every article kept
     (c,) = I.path_collisions(rows, ORDER).collect()
     assert (c.article_file_path, c.n_articles, c.stored_url) == ("docs/same_s_2025_01_01.txt", 2, "u2")
+
+
+def test_a_worker_holds_a_step_of_pages(spark, monkeypatch):
+    """One Arrow batch of 40 MB of pages: a worker has few of them as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gleaner.operators import extract as E
+
+    page = "<ul>" + "".join(f'<li><a href="/a{i}">a{i}</a></li>' for i in range(3)) + "</ul>" + "x" * 100_000
+    pages = spark.createDataFrame([(7, "https://s.example/list", page)], "page_id long, url string, html string")
+    prof = E.Profile(source="s", base_url="https://s.example", cand_tag="li", wrapped=True, title_tag="a", date_tag=None)
+    src = E.with_profile(pages, prof)
+    batch = pa.concat_tables([src.toArrow()] * 400).combine_chunks().to_batches()[0]
+    with monkeypatch.context() as m:
+        m.setattr(type(src), "mapInArrow", lambda self, fn, schema: fn)
+        run = E.extract_listing(src, keep=("page_id", "url"))
+    tracemalloc.start()
+    rows = ids = 0
+    for out in run(iter([batch])):
+        rows += out.num_rows
+        ids += sum(out.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, ids) == (1200, 7 * 1200)
+    assert peak < 15e6                                        # a step is 1 MB of pages, and its trees
+
+
+def test_parse_pages_in_steps(spark):
+    from gleaner.operators import extract as E
+
+    pages = spark.createDataFrame([(i, "https://s.example/list", f'<li><a href="/a{i}">a</a></li>' + "x" * 300_000) for i in range(8)]
+                                  + [(8, "https://s.example/list", None)], "page_id long, url string, html string")
+    prof = E.Profile(source="s", base_url="https://s.example", cand_tag="li", wrapped=True, title_tag="a", date_tag=None)
+    got = E.parse_pages(E.with_profile(pages.coalesce(1), prof), keep=("page_id",)).collect()
+    assert sorted(r.page_id for r in got if r.kind == "status") == list(range(9))
+    assert {(r.page_id, r.href) for r in got if r.kind == "listing"} == {(i, f"/a{i}") for i in range(8)}
