@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,26 +67,29 @@ def _nav_articles(batch: DataFrame) -> DataFrame:
                      F.lit(None).cast("string").alias("publish_date"), F.col("title").alias("text")))
 
 
-#: Arrivals of the streaming queries: files, each a micro-batch.
+#: Arrivals of the streaming queries, each a micro-batch.
 ARRIVALS = 4
 
 
-def arrivals(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
-    """A table as a stream of ``ARRIVALS`` files that arrive one after another, its rows
-    dealt by ``key``; every row arrives."""
+def arrivals(spark: SparkSession, sf: str, table: str, key: str) -> Iterator[DataFrame]:
+    """A table as a stream that arrives in ``ARRIVALS`` parts, its rows dealt by ``key``; every
+    row arrives.  After each part the stream of all files so far: a run to its end with
+    one checkpoint finds that part's files new and takes them as one micro-batch.
+
+    A part is as many files as the table has tasks, so no task reads or writes a whole part."""
     rows = load(spark, sf, table)
     folder = shared_path(spark, "arrivals", unique=True)
     for k in range(ARRIVALS):
-        rows.where(F.pmod(F.col(key), F.lit(ARRIVALS)) == k).coalesce(1).write.parquet(f"{folder}/{k}")
-    return (spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+        rows.where(F.pmod(F.col(key), F.lit(ARRIVALS)) == k).write.parquet(f"{folder}/{k}")
+        yield spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder)
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The registry after the pages arrived in several micro-batches, a run each."""
     store = RegistryStore(spark, shared_path(spark, "stream-registry", unique=True))
     ckpt = shared_path(spark, "checkpoints", "stream-ingest", unique=True)
-    run_stream_ingest(spark, arrivals(spark, sf, "pages", "page_id"), store, _nav_articles, ["page_id", "pos"], ckpt)
+    for pages in arrivals(spark, sf, "pages", "page_id"):
+        run_stream_ingest(spark, pages, store, _nav_articles, ["page_id", "pos"], ckpt)
     return store.read().select("url", "article_file_path", "title", "source", "publish_date",
                                "has_text", "is_new", F.col("batch_id").cast("int").alias("run"))
 
@@ -92,10 +97,11 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
     """The state after the events arrived in several micro-batches, with a snapshot
     between them."""
-    stream = arrivals(spark, sf, "events", "event_id").select("user_id", "event_type", "value", "ts", "event_id")
     log = shared_path(spark, "state-log", unique=True)
     ckpt = shared_path(spark, "checkpoints", "stream-state", unique=True)
-    start_state_stream(stream, ["user_id", "event_type"], "value", ["ts", "event_id"], log, ckpt, compact_every=3)
+    for events in arrivals(spark, sf, "events", "event_id"):
+        stream = events.select("user_id", "event_type", "value", "ts", "event_id")
+        start_state_stream(stream, ["user_id", "event_type"], "value", ["ts", "event_id"], log, ckpt, compact_every=3)
     return read_state(spark, log, ["user_id", "event_type"])
 
 

@@ -127,3 +127,27 @@ def test_snapshots_bound_what_a_reader_folds(spark):
     assert not S.compact(spark, log, key, 3)
     spark.range(1).write.parquet(f"{log}-snapshots/upto-9-lost")
     assert S.last_snapshot(spark, log) == (upto, path)
+
+
+def test_an_arrival_is_many_files_and_one_micro_batch(spark, monkeypatch):
+    from gleaner.plans import papers_streams as P
+
+    sf = shared_path(spark, "test-arrivals", unique=True)
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    pages.repartition(6).write.parquet(f"{sf}/pages.parquet")
+    paths = {}
+
+    def kept(session, *parts, unique=False):
+        paths[parts[-1]] = shared_path(session, *parts, unique=unique)
+        return paths[parts[-1]]
+
+    monkeypatch.setattr(P, "shared_path", kept)
+    runs = {r.url: r.run for r in P.stream_ingest(spark, sf).collect()}
+    parts = [spark.read.parquet(f"{paths['arrivals']}/{k}") for k in range(P.ARRIVALS)]
+    assert all(len(p.inputFiles()) > 1 for p in parts)            # no task has a whole arrival
+    assert sum(p.count() for p in parts) == pages.count()
+    links = _nav_articles(pages).select("url", (F.col("page_id") % P.ARRIVALS).alias("run"))
+    assert runs == {r.url: r.run for r in links.groupBy("url").agg(F.min("run").alias("run")).collect()}
+    markers = RegistryStore(spark, paths["stream-registry"]).log.markers().orderBy("batch_id").collect()
+    assert [(m.batch_id, m.stream_batch) for m in markers] == [(k, k) for k in range(P.ARRIVALS)]
+    assert len({m.stream for m in markers}) == 1
