@@ -17,6 +17,9 @@ Prefixes with more than 1 / ``SHARE`` of all words (at most ``SHARE`` of them) a
 split by the hash of the next word, and joins find their counts in a broadcast
 table of at most that many rows; no other key has more than that share of the rows.
 
+A task holds one step of ``BATCH_BYTES`` of text, with nothing of 8 bytes for each byte of
+it, and hands its stripes on in batches of about ``ENTRIES`` entries.
+
 Defined cases: null and empty texts and pieces without words have no phrases; a
 null lang is ``und``; very long texts and words are whole; repeated rows count each;
 of equal scores and counts the smaller phrase in UTF-8 bytes comes first; an empty
@@ -25,6 +28,8 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,17 +40,17 @@ from gleaner.session import table_path
 from gleaner.llm.util import drop, mix, prefix_sums, slices, span_hashes, store
 
 LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
-BITS, SHARE, BATCH_BYTES = 26, 10_000, 8e6
+BITS, SHARE, BATCH_BYTES = 26, 10_000, 4e6
+#: Entries of stripes in one batch that a task hands on.
+ENTRIES = 100_000
 #: Rows of one lang that one task ranks.
 BLOCK = 16_000
 _BITMAP = 1 << 15                                       # bits of one row of Spark's bitmap functions
 _K = np.uint64(0xD6E8FEB86659FD93)
 
-_CLASS = np.zeros(256, np.uint8)                        # 0 word, 1 blank, 2 end of a piece
-_CLASS[[0x20, 0x09]] = 1
-_CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+# tables of bytes.translate: an index by uint8 would take 8 bytes for each byte of text
+_CLASS = bytes(2 if b in b".,;:!?\n\v\f\r" else 1 if b in b" \t" else 0 for b in range(256))    # 0 word, 1 blank, 2 end of a piece
+_LOWER = bytes(range(256)).lower()
 
 
 # --- one batch ------------------------------------------------------------------------
@@ -76,32 +81,39 @@ class Words:
         lang = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
         text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
         off = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-        data = _LOWER[np.frombuffer(text.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]]
+        data = (text.buffers()[2] or pa.py_buffer(b""))[off[0]:off[-1]].to_pybytes().translate(_LOWER)
         off = off - off[0]
-        kind = _CLASS[data]
+        kind = np.frombuffer(data.translate(_CLASS), np.uint8)
         word = kind == 0
-        first = word.copy()
-        first[1:] &= ~word[:-1]
+        first, last = word.copy(), word.copy()
+        np.greater(word[1:], word[:-1], out=first[1:])
+        np.greater(word[:-1], word[1:], out=last[:-1])
         edge = off[:-1][np.diff(off) > 0]
         first[edge] = word[edge]
-        start = np.flatnonzero(first)
-        doc = np.searchsorted(off, start, "right") - 1
-        piece = np.cumsum(kind == 2)[start] + doc       # grows with every piece and text
-        size = np.bincount(np.cumsum(first)[word] - 1, minlength=len(start)) if len(start) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        edge = edge[edge > 0] - 1
+        last[edge] = word[edge]
+        start, end = np.flatnonzero(first), np.flatnonzero(last)
+        del first, last
+        size = np.concatenate([[0], np.cumsum(end - start + 1)]).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [
-            None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[word]))]).dictionary_encode()
-        self.names = coded.dictionary.cast(pa.large_string())
-        self.code = coded.indices.to_numpy().astype(np.int64)
-        self.langs = lang.dictionary.cast(pa.large_string())
-        self.lang = lang.indices.to_numpy().astype(np.int64)[doc]
+            None, pa.py_buffer(size), pa.py_buffer(np.frombuffer(data, np.uint8)[word])]).dictionary_encode()
+        del data, word, end, size
+        doc = np.searchsorted(off, start, "right") - 1
+        piece = np.searchsorted(np.flatnonzero(kind == 2), start) + doc       # grows with every piece and text
         self.next = np.zeros(len(start), bool)
         self.next[:-1] = piece[1:] == piece[:-1]
+        del kind, start, piece
+        self.names = coded.dictionary.cast(pa.large_string())
+        self.name_hash = hashes(self.names)
+        self.code = coded.indices.to_numpy()
+        self.langs = lang.dictionary.cast(pa.large_string())
+        self.lang = lang.indices.to_numpy()[doc]
+        del coded, doc
         # a lang and word together; their hash is computed once
-        self.key = self.lang * max(1, len(self.names)) + self.code
-        self.keys, self.of = np.unique(self.key, return_inverse=True)
         n = max(1, len(self.names))
-        self.key_hash = of_lang(hashes(self.names)[self.keys % n], hashes(self.langs)[self.keys // n])
+        self.keys, of = np.unique(self.lang * np.int64(n) + self.code, return_inverse=True)
+        self.of = of.astype(np.int32)
+        self.key_hash = of_lang(self.name_hash[self.keys % n], hashes(self.langs)[self.keys // n])
 
 
 def allowed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -109,8 +121,8 @@ def allowed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def stripes(langs: pa.Array, prefixes: pa.Array, names: pa.Array, prefix: np.ndarray, lang_of: np.ndarray,
-            after: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
+def stripes(langs: pa.Array, prefixes: pa.Array, names: pa.Array, name_hash: np.ndarray, prefix: np.ndarray,
+            lang_of: np.ndarray, after: np.ndarray, split: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (key, stripe) of occurrences: ``prefix`` (into ``prefixes``, of langs ``lang_of``)
     followed by ``after`` (0: the rest, else 1 + a name); the stripe of a prefix
     has ``split`` slices.
@@ -118,24 +130,33 @@ def stripes(langs: pa.Array, prefixes: pa.Array, names: pa.Array, prefix: np.nda
     Words hold no blank and no tab, so a key is "prefix TAB slice TAB lang" and a
     stripe is its entries "word TAB count" with blanks between."""
     n = len(names) + 1
-    pairs, count = np.unique(prefix * n + after, return_counts=True)
+    pairs, count = np.unique(prefix * np.int64(n) + after, return_counts=True)
     who, what = pairs // n, pairs % n
-    name_hash = np.concatenate([np.zeros(1, np.uint64), hashes(names)])
-    part = np.where(what > 0, (name_hash[what] % split[who].astype(np.uint64)).astype(np.int64), 0)
-    order = np.lexsort((part, who))
-    who, what, part, count = who[order], what[order], part[order], count[order]
+    del pairs, prefix, after
+    part = np.zeros(len(who), np.int64)
+    cut = np.flatnonzero((split > 1)[who] & (what > 0))
+    if len(cut):
+        part[cut] = name_hash[what[cut] - 1] % split[who[cut]].astype(np.uint64)
+        order = np.lexsort((part, who))
+        who, what, part, count = who[order], what[order], part[order], count[order]
+        del order
     new = np.ones(len(who), bool)
     new[1:] = (who[1:] != who[:-1]) | (part[1:] != part[:-1])
-    at = np.flatnonzero(new)
+    at = np.append(np.flatnonzero(new), len(who))
+    names = pa.concat_arrays([pa.array([""], pa.large_string()), names])
 
     def text(x):
         return pa.array(x).cast(pa.large_string())
 
     tab, blank = (pa.scalar(x, pa.large_string()) for x in ("\t", " "))
-    entries = pc.binary_join_element_wise(pa.concat_arrays([text([""]), names]).take(pa.array(what)), text(count), tab)
-    key = pc.binary_join_element_wise(prefixes.take(pa.array(who[at])), text(part[at]), langs.take(pa.array(lang_of[who[at]])), tab)
-    stripe = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int64)), entries), blank)
-    return pa.RecordBatch.from_arrays([key.cast(pa.string()), stripe.cast(pa.string())], names=["key", "stripe"])
+    edges = np.unique(np.append(np.searchsorted(at, np.arange(0, len(who), ENTRIES)), len(at) - 1))
+    for low, high in zip(edges[:-1], edges[1:]):
+        begin, of = at[low:high + 1], slice(at[low], at[high])
+        entries = pc.binary_join_element_wise(names.take(pa.array(what[of])), text(count[of]), tab)
+        row, begin = begin[:-1], begin - begin[0]
+        key = pc.binary_join_element_wise(prefixes.take(pa.array(who[row])), text(part[row]), langs.take(pa.array(lang_of[who[row]])), tab)
+        stripe = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(begin), entries), blank)
+        yield pa.RecordBatch.from_arrays([key.cast(pa.string()), stripe.cast(pa.string())], names=["key", "stripe"])
 
 
 def split_of(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -146,6 +167,42 @@ def split_of(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(hot[0][at] == h, hot[1][at], 1)
 
 
+def words_of(batch: pa.RecordBatch, bits: np.ndarray, large: tuple) -> Iterator[pa.RecordBatch]:
+    """Stripes of the one-word prefixes of a batch."""
+    w = Words(batch)
+    n = max(1, len(w.names))
+    ok = allowed(bits, w.key_hash)[w.of]
+    after = np.zeros(len(ok), np.int32)
+    both = np.flatnonzero(ok[:-1] & ok[1:] & w.next[:-1])
+    after[both] = w.code[both + 1] + 1
+    del both
+    return stripes(w.langs, w.names.take(pa.array(w.keys % n)), w.names, w.name_hash, w.of[ok], w.keys // n, after[ok],
+                   split_of(w.key_hash, large))
+
+
+def pairs_of(batch: pa.RecordBatch, bits: np.ndarray, large: tuple) -> Iterator[pa.RecordBatch]:
+    """Stripes of the two-word prefixes of a batch."""
+    w = Words(batch)
+    n = np.int64(max(1, len(w.keys)))
+    at = np.flatnonzero(w.next)
+    pair, of = np.unique(w.of[at] * n + w.of[at + 1], return_inverse=True)
+    one, two = pair // n, pair % n
+    h = of_pair(w.key_hash[one], w.key_hash[two])
+    good = allowed(bits, h)
+    # only pairs that may be frequent, numbered anew
+    number = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
+    one, two, h = one[good], two[good], h[good]
+    id_at = np.full(len(w.code), -1, np.int32)
+    id_at[at] = number[of]
+    del at, pair, of, good, number
+    # a triple that may be frequent is two such pairs in a row
+    begin = np.flatnonzero((id_at[:-1] >= 0) & (id_at[1:] >= 0))
+    name = max(1, len(w.names))
+    text = [w.names.take(pa.array(w.keys[x] % name)) for x in (one, two)]
+    prefixes = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string()))
+    return stripes(w.langs, prefixes, w.names, w.name_hash, id_at[begin], w.keys[one] // name, w.code[begin + 2] + 1, split_of(h, large))
+
+
 # --- jobs -----------------------------------------------------------------------------
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -202,17 +259,8 @@ def word_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
-        bits, large = shared.value
         for batch in slices(batches, BATCH_BYTES):
-            w = Words(batch)
-            n = max(1, len(w.names))
-            good = allowed(bits, w.key_hash)
-            ok = good[w.of]
-            after = np.zeros(len(ok), np.int64)
-            both = np.flatnonzero(ok[:-1] & ok[1:] & w.next[:-1])
-            after[both] = w.code[both + 1] + 1
-            yield stripes(w.langs, w.names.take(pa.array(w.keys % n)), w.names, w.of[ok], w.keys // n, after[ok],
-                          split_of(w.key_hash, large))
+            yield from words_of(batch, *shared.value)
 
     return merge(docs.mapInArrow(run, _STRIPE), "word-stripes")
 
@@ -236,27 +284,8 @@ def pair_stripes(docs: DataFrame, bitmap: np.ndarray, hot: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches):
-        bits, large = shared.value
         for batch in slices(batches, BATCH_BYTES):
-            w = Words(batch)
-            n = len(w.keys)
-            at = np.flatnonzero(w.next)
-            pair, of = np.unique(w.of[at] * max(1, n) + w.of[at + 1], return_inverse=True)
-            one, two = pair // max(1, n), pair % max(1, n)
-            h = of_pair(w.key_hash[one], w.key_hash[two])
-            good = allowed(bits, h)
-            # only pairs that may be frequent, numbered anew
-            number = np.cumsum(good) - 1
-            kept = np.flatnonzero(good)
-            id_at = np.full(len(w.code), -1)
-            id_at[at] = np.where(good[of], number[of], -1)
-            # a triple that may be frequent is two such pairs in a row
-            begin = np.flatnonzero((id_at[:-1] >= 0) & (id_at[1:] >= 0)) if len(id_at) else at
-            name = max(1, len(w.names))
-            text = [w.names.take(pa.array(w.keys[x[kept]] % name)) for x in (one, two)]
-            prefixes = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string()))
-            yield stripes(w.langs, prefixes, w.names, id_at[begin], w.keys[one[kept]] // name,
-                          w.code[begin + 2] + 1, split_of(h[kept], large))
+            yield from pairs_of(batch, *shared.value)
 
     return merge(docs.mapInArrow(run, _STRIPE), "pair-stripes")
 

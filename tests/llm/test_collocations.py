@@ -2,6 +2,7 @@
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,34 @@ def test_exact_scores_of_large_counts(spark):
     wide = "cast(%d as decimal(19,0))"
     got = spark.sql(f"select ({wide % a} * {wide % a} * cast(1000000 as decimal(7,0))) div ({wide % left} * {wide % right})").first()[0]
     assert got == 10**6 * a * a // (left * right)
+
+
+def test_words_of_a_batch_take_few_bytes_for_each_byte_of_text():
+    """Executors went past their memory: nothing of 8 bytes stands for each byte of text."""
+    rng = np.random.default_rng(3)
+    names = np.array(["w%d" % i for i in range(3000)])
+    text = [" ".join(rng.choice(names, 400)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(text), "text": text})
+    C.Words(batch)                                  # powers of the hashes are kept
+    tracemalloc.start()
+    try:
+        w = C.Words(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(w.code) == 400_000
+    assert peak < 14 * batch.nbytes
+
+
+def test_stripes_are_handed_on_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(C, "ENTRIES", 3)
+    rows = made(4)
+    batch = pa.RecordBatch.from_pydict({"lang": [g for _, g in rows], "text": [t for t, _ in rows]})
+    bits, none = np.full(1 << (C.BITS - 3), 255, np.uint8), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for of in (C.words_of, C.pairs_of):
+        got = list(of(batch, bits, none))
+        assert len(got) > 10 and sum(len(b) for b in got) == len({k for b in got for k in b.column("key").to_pylist()})
+        # a batch ends with the stripe that fills it
+        assert all(sum(len(x.split(" ")) for x in b.column("stripe").to_pylist()[:-1]) <= 3 for b in got)
+    monkeypatch.setattr(C, "SHARE", 3)              # slices of hot prefixes, too
+    assert got_of(C.collocations(frame(spark, rows), top=7)) == brute(rows, top=7)
