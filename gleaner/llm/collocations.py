@@ -43,6 +43,8 @@ LEAST, TOP, SCALE, SUBSUMED = 10, 2000, 1_000_000, 50
 BITS, SHARE, BATCH_BYTES = 26, 10_000, 4e6
 #: Entries of stripes in one batch that a task hands on.
 ENTRIES = 100_000
+#: Bytes of words that are hashed at once: sums and powers take 40 bytes for each.
+HASHED = 1 << 18
 #: Rows of one lang that one task ranks.
 BLOCK = 16_000
 _BITMAP = 1 << 15                                       # bits of one row of Spark's bitmap functions
@@ -62,7 +64,13 @@ def hashes(words: pa.Array) -> np.ndarray:
         return np.zeros(0, np.uint64)
     off = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
-    return span_hashes(prefix_sums(data), off[:-1] - off[0], off[1:] - off[0])
+    off = off - off[0]
+    out = np.empty(len(words), np.uint64)
+    edges = np.unique(np.append(np.searchsorted(off[:-1], np.arange(0, off[-1], HASHED)), [0, len(words)]))
+    for low, high in zip(edges[:-1], edges[1:]):
+        at = off[low:high + 1] - off[low]
+        out[low:high] = span_hashes(prefix_sums(data[off[low]:off[high]]), at[:-1], at[1:])
+    return out
 
 
 def of_lang(word: np.ndarray, lang: np.ndarray) -> np.ndarray:

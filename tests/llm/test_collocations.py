@@ -138,3 +138,13 @@ def test_stripes_are_handed_on_in_small_batches(spark, monkeypatch):
         assert all(sum(len(x.split(" ")) for x in b.column("stripe").to_pylist()[:-1]) <= 3 for b in got)
     monkeypatch.setattr(C, "SHARE", 3)              # slices of hot prefixes, too
     assert got_of(C.collocations(frame(spark, rows), top=7)) == brute(rows, top=7)
+
+
+def test_hashes_in_small_steps(monkeypatch):
+    words = pa.array(["", "a", "b" * 50, "", "ab", "ba", "é", "x" * 9, "a", ""], pa.large_string())
+    whole = C.hashes(words)
+    assert len(set(whole.tolist())) == 7 and len(C.hashes(words[:0])) == 0
+    for step in (1, 2, 7, 60):
+        monkeypatch.setattr(C, "HASHED", step)
+        for low in range(len(words)):
+            assert C.hashes(words[low:]).tolist() == whole[low:].tolist()
