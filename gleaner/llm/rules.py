@@ -4,7 +4,8 @@
 expressions of the text alone, ``verdict`` turns the table into one boolean
 expression; no user function, join or shuffle is involved.
 
-Defined cases: a null or empty text has no words (every count 0, base_failed);
+Defined cases: a null or empty text has no words (every count 0, base_failed, no
+measure of the table is taken of it);
 texts of any length are read whole; repeated rows give repeated rows; an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -92,10 +93,13 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def verdict(rules=RULES) -> Column:
-    """The threshold table as one boolean expression (a null ratio passes)."""
+    """The threshold table as one boolean expression (a null ratio passes).
+
+    Each measure is guarded by itself, as Spark may evaluate it ahead of the others: a
+    measure with two bounds is a common subexpression.  Without words there is none."""
     out = F.lit(True)
     for _, measure, low, high in rules:
-        m = F.expr(measure)
+        m = F.when(F.col("n_words") > 0, F.expr(measure))
         if low is not None:
             out = out & F.coalesce(m >= low, F.lit(True))
         if high is not None:

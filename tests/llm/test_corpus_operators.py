@@ -566,6 +566,30 @@ def test_rules_against_brute_force(docs, empty):
     assert not re.search("Python|Arrow|Exchange", plan)
 
 
+def test_rules_of_texts_without_words(spark, tmp_path):
+    """A share of no words is no division by zero, in whichever way Spark evaluates it."""
+    import duckdb
+
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "the cat sat on a mat of the house and it was good to see that it is in the sun"),
+            (6, "# " * 30)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    cols = ["doc_id", "word_chars", "n_symbols", "n_words", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "base_failed", "kept"]
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({rules.SQL})").fetchall())
+    assert [r[0] for r in want if r[-1]] == [5]
+    got = rules.op10_quality_rules(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(cols).collect())) == want
+    assert [r["doc_id"] for r in got.where("kept").collect()] == [5]
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        assert sorted(map(tuple, rules.op10_quality_rules(spark, str(tmp_path)).select(cols).collect())) == want
+        assert [r["doc_id"] for r in rules.op10_quality_rules(spark, str(tmp_path)).where("kept").collect()] == [5]
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "true")
+
+
 # --- entry and pipeline ----------------------------------------------------------------
 
 def test_registered_sql_equals_the_queries(spark):
